@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.langid import op2_language
 from tidemark.llm.linededup import op5_lines
 from tidemark.llm.minhash import op4_minhash
+from tidemark.llm.packing import op3_packing
 from tidemark.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language": op2_language,
+        "op3_packing": op3_packing,
         "op4_minhash": op4_minhash,
         "op5_lines": op5_lines,
         "op10_toxicity": op10_toxicity,
