@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.langid import op2_language
+from tidemark.llm.lcp import op1_fingerprints
 from tidemark.llm.linededup import op5_lines
 from tidemark.llm.minhash import op4_minhash
 from tidemark.llm.packing import op3_packing
@@ -15,6 +16,7 @@ from tidemark.llm.toxicity import op10_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": op1_fingerprints,
         "op2_language": op2_language,
         "op3_packing": op3_packing,
         "op4_minhash": op4_minhash,
