@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.balltree import OP6_SQL, op6_topk
 from tidemark.llm.langid import op2_language
 from tidemark.llm.lcp import op1_fingerprints
 from tidemark.llm.linededup import op5_lines
@@ -21,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op4_minhash": op4_minhash,
         "op5_lines": op5_lines,
+        "op6_topk": op6_topk,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk": OP6_SQL}
