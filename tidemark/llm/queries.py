@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.balltree import OP6_SQL, op6_topk
+from tidemark.llm.hostpaths import op8_main_text
 from tidemark.llm.langid import op2_language
 from tidemark.llm.lcp import op1_fingerprints
 from tidemark.llm.linededup import op5_lines
 from tidemark.llm.minhash import op4_minhash
 from tidemark.llm.packing import op3_packing
+from tidemark.llm.pieces import op9_pieces
 from tidemark.llm.toxicity import op10_toxicity
 
 
@@ -23,6 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash": op4_minhash,
         "op5_lines": op5_lines,
         "op6_topk": op6_topk,
+        "op8_main_text": op8_main_text,
+        "op9_pieces": op9_pieces,
         "op10_toxicity": op10_toxicity,
     }
 
