@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.balltree import OP6_SQL, op6_topk
+from tidemark.llm.hmm import op7_hmm
 from tidemark.llm.hostpaths import op8_main_text
 from tidemark.llm.langid import op2_language
 from tidemark.llm.lcp import op1_fingerprints
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash": op4_minhash,
         "op5_lines": op5_lines,
         "op6_topk": op6_topk,
+        "op7_hmm": op7_hmm,
         "op8_main_text": op8_main_text,
         "op9_pieces": op9_pieces,
         "op10_toxicity": op10_toxicity,
