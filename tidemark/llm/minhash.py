@@ -185,8 +185,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signs = some.join(classes, "class").where("doc_id = id").select("id", "bands").dropDuplicates(["id", "bands"])
     banded = stage(signs.select("id", F.posexplode("bands").alias("band", "hash")), "banded")
     pivots = banded.groupBy("band", "hash").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a < top").drop("top")
-    candidates = banded.join(pivots, ["band", "hash"]).select("a", F.col("id").alias("b")).where("a <> b").distinct()
-    weak = components(candidates)
+    # a document's pivots, BANDS at most: it is joined with the smallest, and that one with the others, which members share
+    met = banded.join(pivots, ["band", "hash"]).where("a <> id").groupBy("id").agg(F.collect_set("a").alias("pivots"))
+    near = met.select("id", F.array_min("pivots").alias("a"), "pivots")
+    weak = components(near.select("a", F.explode(F.concat(F.array("id"), F.filter("pivots", lambda x: x > F.col("a")))).alias("b")))
     sizes = weak.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = stage(weak.join(sizes, "component").select("id", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("block")), "dealt")
     texts = stage(dealt.join(docs.withColumnRenamed("doc_id", "id"), "id").repartition("cluster", "block"), "members")
