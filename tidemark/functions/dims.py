@@ -50,17 +50,13 @@ UNMAPPED = "unmapped"
 
 
 def _lookup(key: Column, names: dict[str, list[str]]) -> Column:
-    out = F.lit(UNMAPPED)
-    for canonical, aliases in names.items():
-        out = F.when(key.isin(aliases), F.lit(canonical)).otherwise(out)
-    return out
+    """The canonical name; one literal map, which keeps the generated code small."""
+    pairs = [F.lit(x) for canonical, aliases in names.items() for alias in aliases for x in (alias, canonical)]
+    return F.coalesce(F.create_map(*pairs)[key], F.lit(UNMAPPED))
 
 
 def _implied(click_type: Column, at: int) -> Column:
-    out = F.lit(None).cast("string")
-    for name, implied in CLICK_ID_IMPLIES.items():
-        out = F.when(click_type == name, F.lit(implied[at])).otherwise(out)
-    return out
+    return F.create_map(*[F.lit(x) for name, implied in CLICK_ID_IMPLIES.items() for x in (name, implied[at])])[click_type]
 
 
 def click_id(explicit_type: Column, explicit_value: Column, fields: dict[str, Column]) -> Column:

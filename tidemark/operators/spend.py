@@ -43,7 +43,7 @@ def order_values(entries: DataFrame, keys: list[str]) -> DataFrame:
     kind = lambda name: (F.col("kind") == name) & F.col("__v").isNotNull()
     by_type = entries.where(F.lower(F.trim("action_type")).contains("purchase")).groupBy(*keys, "action_type").agg(
         F.min("at").alias("first"), F.sum(F.when(kind("action_values"), F.floor(F.col("__v") * 100 + 0.5).cast("long"))).alias("value_cents"),
-        F.sum(F.when(kind("actions"), F.col("__v").cast("long"))).alias("purchases"), F.min_by(F.when(kind("purchase_roas"), F.col("__v")), F.when(kind("purchase_roas"), F.col("at"))).alias("roas"),
+        F.sum(F.when(kind("actions"), F.col("__v").cast("long"))).alias("purchases"), F.min_by(F.when(kind("purchase_roas"), F.col("__v")), F.when(kind("purchase_roas"), F.struct("at", "__v"))).alias("roas"),
     )
     place = F.array_position(F.array(*[F.lit(a) for a in ORDER_ACTIONS]), F.col("action_type"))
     ranked = by_type.withColumn("rank", F.when(place > 0, place).otherwise(len(ORDER_ACTIONS) + 1))

@@ -1,6 +1,6 @@
 """The registered queries and the SQL that states the same results."""
 
-from tidemark.plans import attribution, journey, quality, reporting, spend  # noqa: F401
+from tidemark.plans import attribution, functions, identity, journey, quality, reporting, spend  # noqa: F401
 from tidemark.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

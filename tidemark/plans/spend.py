@@ -25,7 +25,7 @@ ent AS (SELECT report_date, campaign_id, ordinal AS pos, CASE l_linenumber % 3 W
   CASE ordinal % 23 WHEN 0 THEN 'purchase' WHEN 1 THEN 'omni_purchase' WHEN 2 THEN 'Web_Purchase' WHEN 3 THEN 'app_purchase' ELSE 'link_click' END AS action_type,
   CASE WHEN ordinal % 17 = 0 THEN 'n/a' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS value FROM ad),
 byt AS (SELECT report_date, campaign_id, action_type, min(pos) AS first, sum(CASE WHEN kind = 'action_values' THEN CAST(floor(TRY_CAST(value AS DOUBLE) * 100 + 0.5) AS BIGINT) END) AS value_cents,
-  sum(CASE WHEN kind = 'actions' THEN CAST(TRY_CAST(value AS DOUBLE) AS BIGINT) END) AS purchases, arg_min(TRY_CAST(value AS DOUBLE), pos) FILTER (kind = 'purchase_roas' AND TRY_CAST(value AS DOUBLE) IS NOT NULL) AS roas
+  sum(CASE WHEN kind = 'actions' THEN CAST(TRY_CAST(value AS DOUBLE) AS BIGINT) END) AS purchases, arg_min(TRY_CAST(value AS DOUBLE), (pos, TRY_CAST(value AS DOUBLE))) FILTER (kind = 'purchase_roas' AND TRY_CAST(value AS DOUBLE) IS NOT NULL) AS roas
   FROM ent WHERE lower(action_type) LIKE '%purchase%' GROUP BY ALL),
 bestt AS (SELECT *, row_number() OVER (PARTITION BY report_date, campaign_id ORDER BY rank, first) AS rn FROM (SELECT *, CASE action_type WHEN 'purchase' THEN 1 WHEN 'omni_purchase' THEN 2 WHEN 'offsite_conversion.fb_pixel_purchase' THEN 3 ELSE 4 END AS rank FROM byt)),
 vals AS (SELECT k.report_date, k.campaign_id, b.action_type AS action_type_used, CASE WHEN b.rank IS NULL THEN 'none' WHEN b.rank <= 3 THEN 'priority' ELSE 'fallback' END AS selection,
