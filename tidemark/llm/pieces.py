@@ -29,13 +29,22 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import mix64, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-THETA, UNIT_CHARS, CACHED_UNITS = 0.8, 48, 40_000
+THETA, UNIT_CHARS = 0.8, 48
 SPACE = "▁"
 UNIT = re.compile(rf"{SPACE}+[^{SPACE}\s]*|[^{SPACE}\s]+|[^\S{SPACE}]+")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Characters of a block of rows, about: bounds a block's arrays.
 BLOCK_CHARS = 600_000
 
 
+def text_hashes(texts: list[str]) -> np.ndarray:
+    """64-bit hashes of texts of one length, by their characters."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(len(texts), -1)
+    power = np.cumprod(np.full(codes.shape[1], _ODD)) * _INVERSE
+    return mix64((mix64(codes + _ODD) * power).sum(axis=1, dtype=np.uint64))
+
+
 class Vocabulary:
     """Pieces by text with their ids, and the ids of the 256 byte pieces."""
 
@@ -48,7 +57,17 @@ class Vocabulary:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(pieces) if model.is_byte(i)}
         self.ids = {p: i for i, p in enumerate(pieces) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
         self.longest = max(map(len, self.ids))
-        self.weight = ((np.arange(n) + 2.0) ** -THETA).tolist()
+        self.log_weight = -THETA * np.log(np.arange(n) + 2.0)
+        ways: list[dict[str, int]] = [{} for _ in range(self.longest)]  # prefixes by length; -1: no piece
+        for text, i in self.ids.items():
+            for k in range(1, len(text)):
+                ways[k - 1].setdefault(text[:k], -1)
+            ways[len(text) - 1][text] = i
+        self.prefixes = []
+        for own in ways:
+            hashes = text_hashes(list(own))
+            order = np.argsort(hashes)
+            self.prefixes.append((hashes[order], np.array(list(own.values()))[order]))
         self.output: list[bytes] = [b""] * n
         for p, i in self.ids.items():
             self.output[i] = p.replace(SPACE, " ").encode()
@@ -68,73 +87,91 @@ def units(text: str) -> list[str]:
 
 
 class Lattices:
-    """The lattices of distinct units, one after the other in flat tables.
+    """The lattices of a block's distinct units, as flat tables.
 
-    A node is a position of a unit.  ``steps`` of an edge are its ids; edges into node v have
+    A node is a position of a unit.  Edges are found for all units at once: a start stays active for
+    one more character as long as its substring is a prefix of a piece, by hashes of substrings.
+    Every path over a character may be scaled by the same factor, so weights are divided by
+    those of the single characters, and no filter value under- or overflows.  Edges into node v have
     cumulated shares in (v, v + 1], so one sorted search of v + u draws an edge of v.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.number = vocabulary, {}
-        self.begin: list[int] = []  # a unit's first node
-        self.end: list[int] = []
-        self.share: list[float] = []
-        self.source: list[int] = []
-        self.first: list[int] = []  # the edge's id, or its number among byte runs as -1 - number
-        self.runs: list[list[int]] = []
-        self.nodes = 0
-        self.tables: tuple | None = None
-
-    def add(self, unit: str, literal: bool) -> None:
-        ids, weight, longest = self.vocabulary.ids, self.vocabulary.weight, self.vocabulary.longest
-        base, n = self.nodes, len(unit)
-        alpha = [1.0] + [0.0] * n
-        self.begin.append(base)
-        self.end.append(base + n)
-        self.nodes += n + 1
-        for v in range(1, n + 1):
-            total, edges = 0.0, []
-            for a in range(max(0, v - longest), v):
-                i = None if literal else ids.get(unit[a:v])
-                if i is not None:
-                    w = alpha[a] * weight[i]
-                    total += w
-                    edges.append((a, i, w))
-            if literal or unit[v - 1] not in ids:
-                run = [self.vocabulary.bytes[b] for b in unit[v - 1].encode("utf-8", "surrogatepass")]
-                w = alpha[v - 1]
-                for i in run:
-                    w *= weight[i]
-                total += w
-                edges.append((v - 1, -1 - len(self.runs), w))
-                self.runs.append(run)
-            alpha[v] = total
-            if total < 1e-200:  # far from any real unit's end; a common factor changes no share
-                alpha = [x * 1e200 for x in alpha]
-                total *= 1e200
-                edges = [(a, i, w * 1e200) for a, i, w in edges]
-            so_far = 0.0
-            for k, (a, i, w) in enumerate(edges):
-                so_far += w
-                self.share.append(base + v + (1.0 if k == len(edges) - 1 else so_far / total))
-                self.source.append(base + a)
-                self.first.append(i)
-        self.tables = None
+    def __init__(self, vocabulary: Vocabulary, units_: list[tuple[str, bool]]):
+        sizes = np.array([len(u) for u, _ in units_])
+        self.begin = np.cumsum(sizes + 1) - sizes - 1  # a unit's first node
+        self.end = self.begin + sizes
+        codes = np.frombuffer("\0".join([u for u, _ in units_] + [""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        inner = np.ones(len(codes), bool)
+        inner[self.end] = False  # the character between two units
+        nodes = np.arange(len(codes))
+        last = np.repeat(self.end, sizes + 1)
+        literal = np.repeat(np.array([x for _, x in units_]), sizes + 1)
+        power = np.cumprod(np.full(len(codes) + 1, _ODD)) * _INVERSE
+        inverse = np.cumprod(np.full(len(codes) + 1, _INVERSE)) * _ODD
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(codes + _ODD) * power[:-1])])
+
+        active = nodes[inner & ~literal]
+        starts, ends, ids = [], [], []
+        single = np.full(len(codes), -1)
+        for length, (hashes, piece) in enumerate(vocabulary.prefixes, 1):
+            active = active[active + length <= last[active]]
+            h = mix64((sums[active + length] - sums[active]) * inverse[active])
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            same = hashes[at] == h
+            active, at = active[same], at[same]
+            found = piece[at] >= 0
+            if length == 1:
+                single[active[found]] = piece[at[found]]
+            starts.append(active[found])
+            ends.append(active[found] + length)
+            ids.append(piece[at[found]])
+        spelled = np.flatnonzero(inner & (single < 0))
+        chars, which = np.unique(codes[spelled], return_inverse=True)
+        self.runs = [[vocabulary.bytes[b] for b in chr(int(c)).encode("utf-8", "surrogatepass")] for c in chars]
+        run_weight = np.array([vocabulary.log_weight[r].sum() for r in self.runs])
+        base = np.zeros(len(codes))
+        base[inner] = vocabulary.log_weight[single[inner]]
+        if len(spelled):
+            base[spelled] = run_weight[which]
+        total = np.concatenate([[0.0], np.cumsum(base)])
+        start, end = np.concatenate([*starts, spelled]), np.concatenate([*ends, spelled + 1])
+        first = np.concatenate([*ids, -1 - which.reshape(-1)])
+        own = np.where(first >= 0, vocabulary.log_weight[first], base[start])
+        order = np.argsort(end * 64 + (end - start), kind="stable")
+        self.source, end, self.first = start[order], end[order], first[order]
+        weight = np.exp(own[order] - (total[end] - total[self.source]))
+
+        place = (end - np.repeat(self.begin, sizes + 1)[end]).astype(np.uint8)
+        by_place = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[by_place], np.arange(1, UNIT_CHARS + 2))
+        alpha = np.zeros(len(codes))
+        alpha[self.begin] = 1
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if lo == hi:
+                continue
+            e = by_place[lo:hi]
+            weight[e] *= alpha[self.source[e]]
+            into = end[e]
+            heads = np.flatnonzero(np.append(True, into[1:] != into[:-1]))
+            alpha[into[heads]] = np.add.reduceat(weight[e], heads)
+        heads = np.flatnonzero(np.append(True, end[1:] != end[:-1])) if len(end) else np.empty(0, np.int64)
+        counts = np.diff(np.append(heads, len(end)))
+        run = np.cumsum(weight / alpha[end])
+        run -= np.repeat(np.concatenate([[0.0], run])[heads], counts)
+        run[heads + counts - 1] = 1.0
+        self.share = end + np.minimum(run, 1.0)
 
     def sample(self, unit_numbers: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(occurrence, id) of all drawn pieces, in text order within an occurrence."""
-        if self.tables is None:
-            self.tables = tuple(map(np.array, (self.share, self.source, self.first, self.begin, self.end)))
-        share, source, first, begin, end = self.tables
-        who, at, start = np.arange(len(unit_numbers)), end[unit_numbers], begin[unit_numbers]
+        who, at, start = np.arange(len(unit_numbers)), self.end[unit_numbers], self.begin[unit_numbers]
         occurrences, edges, step = [], [], 0
         while len(who):
             draw = mix64(seeds[who] + np.uint64(step * 0xD1342543DE82EF95 % (1 << 64)))
             u = (draw >> np.uint64(12)).astype(np.float64) * 2.0**-52
-            edge = np.searchsorted(share, at + u, "right")
+            edge = np.searchsorted(self.share, np.minimum(at + u, np.nextafter(at + 1.0, 0.0)), "right")
             occurrences.append(who)
-            edges.append(first[edge])
-            at = source[edge]
+            edges.append(self.first[edge])
+            at = self.source[edge]
             more = at > start[who]
             who, at = who[more], at[more]
             step += 1
@@ -144,47 +181,46 @@ class Lattices:
         return who[order], ids[order]
 
 
-def encode(lattices: Lattices, keys: list[int], texts: list[str | None]) -> list[list[int] | None]:
+def units_of(text: str) -> list[tuple[str, bool]]:
+    """(unit, whether it is a literal U+2581) in text order."""
+    if SPACE not in text:
+        return [(u, False) for u in units(text)]
+    out: list[tuple[str, bool]] = []
+    for k, part in enumerate(text.split(SPACE)):
+        if k:
+            out.append((SPACE, True))
+        found = units(part) if part or not k else []
+        if k and found:  # only the text's start gets a space put before it
+            found = [found[0][1:], *found[1:]] if len(found[0]) > 1 else found[1:]
+        out += [(u, False) for u in found]
+    return out
+
+
+def encode(vocabulary: Vocabulary, keys: list[int], texts: list[str | None]) -> list[list[int] | None]:
     """Sampled ids of each text, by its row key."""
-    numbers, owner, place = [], [], []
-    known = lattices.number
-    for row, text in enumerate(texts):
-        if text is None:
-            continue
-        n = 0
-        parts = text.split(SPACE)  # a literal U+2581 is a unit of its own, written as bytes
-        for k, part in enumerate(parts):
-            found = [(u, False) for u in units(part)] if k == 0 else [(SPACE, True)] + [(u, False) for u in (units(part) if part else [])]
-            if k and part:  # only the text's start gets a space put before it
-                head = found[1][0][1:]
-                found[1:2] = [(head, False)] if head else []
-            for pair in found:
-                if (number := known.get(pair)) is None:
-                    number = known[pair] = len(lattices.begin)
-                    lattices.add(*pair)
-                numbers.append(number)
-                n += 1
-        owner.append(np.full(n, row))
-        place.append(np.arange(n, dtype=np.uint64))
+    number: dict[tuple[str, bool], int] = {}
+    numbers, counts = [], []
+    for text in texts:
+        found = units_of(text) if text is not None else []
+        numbers += [number.setdefault(u, len(number)) for u in found]
+        counts.append(len(found))
     out: list[list[int] | None] = [None if t is None else [] for t in texts]
     if not numbers:
         return out
-    rows = np.concatenate(owner)
+    sizes = np.array(counts)
+    rows = np.repeat(np.arange(len(texts)), sizes)
+    place = (np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint64)
     key = mix64(np.array([(k or 0) & ((1 << 64) - 1) for k in keys], np.uint64))[rows]
-    who, ids = lattices.sample(np.array(numbers), mix64(key + np.concatenate(place) * np.uint64(0x9E3779B97F4A7C15)))
-    cuts = np.searchsorted(rows[who], np.arange(len(texts) + 1))
-    if len(lattices.runs) and (ids < 0).any():
-        flat = ids.tolist()
-        for row in range(len(texts)):
-            if out[row] is not None:
-                own = out[row]
-                for i in flat[cuts[row] : cuts[row + 1]]:
-                    own.extend(lattices.runs[-1 - i]) if i < 0 else own.append(i)
-    else:
-        flat = ids.tolist()
-        for row in range(len(texts)):
-            if out[row] is not None:
-                out[row] = flat[cuts[row] : cuts[row + 1]]
+    lattices = Lattices(vocabulary, list(number))
+    who, ids = lattices.sample(np.array(numbers), mix64(key + place * np.uint64(0x9E3779B97F4A7C15)))
+    cuts = np.searchsorted(rows[who], np.arange(len(texts) + 1)).tolist()
+    flat = ids.tolist()
+    for row in range(len(texts)):
+        if out[row] is not None:
+            own = flat[cuts[row] : cuts[row + 1]]
+            if lattices.runs and own and min(own) < 0:
+                own = [x for i in own for x in (lattices.runs[-1 - i] if i < 0 else (i,))]
+            out[row] = own
     return out
 
 
@@ -193,7 +229,6 @@ def sampler(path: str = MODEL):
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         vocabulary = Vocabulary(path)
-        lattices = Lattices(vocabulary)
         for keys, texts in batches:
             parts, lo = [], 0
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
@@ -202,10 +237,8 @@ def sampler(path: str = MODEL):
                 while hi < len(texts) and (hi == lo or size + sizes[hi] <= BLOCK_CHARS):
                     size += sizes[hi]
                     hi += 1
-                if len(lattices.number) > CACHED_UNITS:
-                    lattices = Lattices(vocabulary)
                 own = texts.slice(lo, hi - lo).to_pylist()
-                ids = encode(lattices, keys.slice(lo, hi - lo).to_pylist(), own)
+                ids = encode(vocabulary, keys.slice(lo, hi - lo).to_pylist(), own)
                 parts.append(
                     pa.StructArray.from_arrays(
                         [
