@@ -43,7 +43,7 @@ def email_hash(c: Column) -> Column:
 
 
 def e164(c: Column) -> Column:
-    """Plus and digits by the country rules of the reference's contract, else null."""
+    """Plus and digits by the country rules below, else null."""
     trimmed = trim_to_null(c)
     digits = F.regexp_replace(trimmed, r"\D", "")
     tail = F.substring(digits, 3, 100)
