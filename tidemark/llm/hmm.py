@@ -12,7 +12,7 @@ every state; as in the base formula it is one token, whatever its letters.
 Word counts come from all training texts.  Scan tasks write blocks: the token numbers of some
 texts and the block's distinct words with their training counts; the counts of a word are added
 up over blocks and go back to the blocks that hold it, so no task needs the whole vocabulary.
-Baum-Welch runs on the classes of all training texts: every task returns expected counts, Spark
+Baum-Welch runs on the classes of all training texts, in stretches of STRETCH tokens: every task returns expected counts, Spark
 adds them up over partitions, and only the model's own size (STATES x classes) reaches the driver.
 The scaled forward recursion gives the exact log-likelihood of every whole text.
 
@@ -33,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, stage, table, words_of
+from tidemark.llm.common import crc_mod, stage, table
 
 STATES, FREQUENT, SUFFIXES, ITERATIONS, SEED, SMOOTHING = 8, 1023, 1024, 3, 11, 0.1
-#: Tokens of a block, about, and of a batch of forward recursions.
-BLOCK_TOKENS, BATCH_TOKENS = 1_000_000, 400_000
+#: Tokens of a block, about, of a batch of forward recursions, and of a stretch in training.
+BLOCK_TOKENS, BATCH_TOKENS, STRETCH = 1_000_000, 1_600_000, 1_024
 #: A word is never white space alone, so this stands for the end.
 END = b"\n"
 #: Class numbers: frequent words from 0, suffixes from FREQUENT, then the end and the unknown word.
@@ -58,49 +58,58 @@ def write_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     task, done = TaskContext.get(), 0
     partition = task.partitionId() if task else 0
-    numbers: dict[bytes, int] = {}
-    rows: list[tuple] = []
+    parts: list[tuple] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        nonlocal numbers, rows, size, done
+        nonlocal parts, size, done
         block = (partition << 32) + done
         done += 1
-        train = [r[2] for r in rows if not r[1]]
-        count = np.bincount(np.concatenate(train), minlength=len(numbers)) if train else np.zeros(len(numbers), np.int64)
-        k, w = len(rows), len(numbers)
-        tokens = pa.concat_arrays([pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.nulls(w, pa.list_(pa.int32()))])
+        ids, held_out = (pa.concat_arrays([p[i] for p in parts]) for i in (0, 1))
+        lengths = np.concatenate([p[2] for p in parts])
+        coded = pa.concat_arrays([p[3] for p in parts]).dictionary_encode()
+        words = pa.concat_arrays([coded.dictionary, pa.array([END], pa.binary())])
+        k, w = len(ids), len(words)
+        flat = np.insert(np.asarray(coded.indices), np.cumsum(lengths), w - 1)
+        train = np.repeat(~np.asarray(held_out), lengths + 1)
+        offsets = np.concatenate([[0], np.cumsum(lengths + 1)]).astype(np.int32)
+        tokens = pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))
         out = pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(k + w, block, np.int64)),
-                pa.array([r[0] for r in rows] + [None] * w, pa.int64()),
-                pa.array([r[1] for r in rows] + [None] * w, pa.bool_()),
-                tokens,
-                pa.array([None] * k + list(numbers), pa.binary()),
-                pa.array([None] * k + list(range(w)), pa.int32()),
-                pa.array([None] * k + count.tolist(), pa.int64()),
+                pa.concat_arrays([ids, pa.nulls(w, pa.int64())]),
+                pa.concat_arrays([held_out, pa.nulls(w, pa.bool_())]),
+                pa.concat_arrays([tokens, pa.nulls(w, tokens.type)]),
+                pa.concat_arrays([pa.nulls(k, pa.binary()), words]),
+                pa.concat_arrays([pa.nulls(k, pa.int32()), pa.array(np.arange(w, dtype=np.int32))]),
+                pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(np.bincount(flat[train], minlength=w))]),
             ],
             names=["block", "doc_id", "held_out", "tokens", "word", "number", "n"],
         )
-        numbers, rows, size = {}, [], 0
+        parts, size = [], 0
         return out
 
     for batch in batches:
         for lo in range(0, batch.num_rows, 128):
             part = batch.slice(lo, 128)
-            for doc_id, text, held_out in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), part["held_out"].to_pylist(), strict=True):
-                words = words_of(text)
-                words.append(END)
-                for w in set(words).difference(numbers):
-                    numbers[w] = len(numbers)
-                rows.append((doc_id, held_out, np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))))
-                size += len(words)
-                if size > BLOCK_TOKENS:
-                    yield flush()
-    if rows:
+            lengths, words = split_words(part["text"])
+            parts.append((part["doc_id"], part["held_out"], lengths, words))
+            size += len(words) + part.num_rows
+            if size > BLOCK_TOKENS:
+                yield flush()
+    if parts:
         yield flush()
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Every text's number of words, and all their words one after another as binary."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = cut.flatten()
+    real = np.asarray(pc.binary_length(flat)) > 0  # white space at either end leaves an empty piece
+    ends = np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(cut)))])]
+    return np.diff(ends), flat.filter(pa.array(real)).cast(pa.binary())
+
+
 def encode(batches: Iterator[pa.RecordBatch], total: int, distinct: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (block, text or word): a block's words (number, c, class, inside), then its texts, to ENCODED."""
     at, table_c, table_class, table_inside = None, None, None, None
@@ -151,8 +160,18 @@ class Hmm:
         move = np.full((states, states), 0.2 / states) + 0.8 * np.eye(states)
         return Hmm(np.full(states, 1 / states), move, emit / emit.sum(axis=1, keepdims=True))
 
-    def forward(self, sequences: list[np.ndarray], backward: bool = False) -> tuple[np.ndarray, tuple | None]:
-        """Natural log-likelihoods; with ``backward`` also the expected counts (start, move, emit)."""
+    def settled(self) -> np.ndarray:
+        """The states' shares far from a text's start."""
+        return np.linalg.matrix_power(self.move, 256)[0]
+
+    def forward(self, sequences: list[np.ndarray], backward: bool = False, first: np.ndarray | None = None) -> tuple[np.ndarray, tuple | None]:
+        """Natural log-likelihoods; with ``backward`` also the expected counts (start, move, emit), in single precision.
+
+        Sequences that ``first`` denies go on inside a text: they begin from the settled shares and
+        count nothing for start.
+        """
+        kind = np.float32 if backward else np.float64
+        first = np.ones(len(sequences), bool) if first is None else first
         order = np.argsort([-len(s) for s in sequences], kind="stable")
         lengths = np.array([len(sequences[i]) for i in order])
         longest = int(lengths[0])
@@ -160,17 +179,18 @@ class Hmm:
         at = np.concatenate([[0], np.cumsum(active)])
         flat = np.concatenate([sequences[i] for i in order])
         begin = np.cumsum(lengths) - lengths
-        emit_t = np.ascontiguousarray(self.emit.T)
-        scale = np.empty(at[-1])
-        kept = np.empty((at[-1], len(self.start))) if backward else None
+        emit_t, move = np.ascontiguousarray(self.emit.T, kind), self.move.astype(kind)
+        back = np.ascontiguousarray(move.T)
+        scale = np.empty(at[-1], kind)
+        kept = np.empty((at[-1], len(self.start)), kind) if backward else None
         where = np.empty(at[-1], np.int64)
-        alpha = np.broadcast_to(self.start, (len(order), len(self.start)))
+        alpha = np.where(first[order, None], self.start, self.settled()).astype(kind)
         for t in range(longest):
             n = active[t]
             where[at[t] : at[t + 1]] = spots = begin[:n] + t
-            alpha = (alpha[:n] if t == 0 else alpha[:n] @ self.move) * emit_t[flat[spots]]
+            alpha = (alpha[:n] if t == 0 else alpha[:n] @ move) * emit_t[flat[spots]]
             s = alpha.sum(axis=1)
-            alpha = alpha / s[:, None]
+            alpha /= s[:, None]
             scale[at[t] : at[t + 1]] = s
             if backward:
                 kept[at[t] : at[t + 1]] = alpha
@@ -180,17 +200,17 @@ class Hmm:
         if not backward:
             return out, None
         after = np.ones_like(kept)  # scaled backward values
-        moved = np.zeros_like(self.move)
+        moved = np.zeros_like(self.move)  # sums over all steps, in double precision
         for t in range(longest - 2, -1, -1):
             n, m = active[t], active[t + 1]
             step = slice(at[t + 1], at[t + 2])
             right = emit_t[flat[where[step]]] * after[step] / scale[step][:, None]
-            after[at[t] : at[t] + m] = right @ self.move.T
+            after[at[t] : at[t] + m] = right @ back
             moved += kept[at[t] : at[t] + m].T @ right
-        gamma = kept * after
+        kept *= after
         classes = flat[where]
-        counts = np.stack([np.bincount(classes, gamma[:, k], minlength=self.emit.shape[1]) for k in range(gamma.shape[1])])
-        return out, (gamma[: active[0]].sum(axis=0), moved * self.move, counts)
+        counts = np.stack([np.bincount(classes, kept[:, k], minlength=self.emit.shape[1]) for k in range(kept.shape[1])])
+        return out, (kept[: active[0]][first[order]].sum(axis=0, dtype=np.float64), moved * self.move, counts)
 
 
 def batches_of(rows: Iterator[pa.RecordBatch], size: int = BATCH_TOKENS) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -208,10 +228,15 @@ def batches_of(rows: Iterator[pa.RecordBatch], size: int = BATCH_TOKENS) -> Iter
 
 
 def expect(batches: Iterator[pa.RecordBatch], model: Hmm) -> Iterator[pa.RecordBatch]:
-    """Training rows to their expected counts, as rows (at, value) of one flat array."""
+    """Training rows to their expected counts, as rows (at, value) of one flat array.
+
+    Texts are read in stretches of STRETCH tokens, so that the steps of long ones run side by side.
+    """
     total = None
     for _, sequences in batches_of(batches):
-        _, counts = model.forward(sequences, backward=True)
+        stretches = [s[lo : lo + STRETCH] for s in sequences for lo in range(0, len(s), STRETCH)]
+        first = np.array([lo == 0 for s in sequences for lo in range(0, len(s), STRETCH)])
+        _, counts = model.forward(stretches, backward=True, first=first)
         own = np.concatenate([c.ravel() for c in counts])
         total = own if total is None else total + own
     if total is not None:
