@@ -37,7 +37,7 @@ from tidemark.llm.common import crc_mod, stage, table
 
 STATES, FREQUENT, SUFFIXES, ITERATIONS, SEED, SMOOTHING = 8, 1023, 1024, 3, 11, 0.1
 #: Tokens of a block, about, of a batch of forward recursions, and of a stretch in training.
-BLOCK_TOKENS, BATCH_TOKENS, STRETCH = 1_000_000, 1_600_000, 1_024
+BLOCK_TOKENS, BATCH_TOKENS, STRETCH = 4_000_000, 1_600_000, 1_024
 #: A word is never white space alone, so this stands for the end.
 END = b"\n"
 #: Class numbers: frequent words from 0, suffixes from FREQUENT, then the end and the unknown word.
@@ -110,40 +110,25 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.diff(ends), flat.filter(pa.array(real)).cast(pa.binary())
 
 
-def encode(batches: Iterator[pa.RecordBatch], total: int, distinct: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (block, text or word): a block's words (number, c, class, inside), then its texts, to ENCODED."""
-    at, table_c, table_class, table_inside = None, None, None, None
-    parts: list[tuple] = []
-    for batch in batches:
-        blocks, is_text = batch["block"].to_numpy(), np.asarray(batch["tokens"].is_valid())
-        edges = np.flatnonzero(np.append(True, (blocks[1:] != blocks[:-1]) | (is_text[1:] != is_text[:-1])))
-        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), batch.num_rows], strict=True):
-            part = batch.slice(lo, hi - lo)
-            if not is_text[lo]:
-                if at != blocks[lo]:
-                    at, parts = blocks[lo], []
-                parts.append(tuple(np.asarray(part[k]) for k in ("number", "c", "class", "inside")))
-                table_c = None
-                continue
-            if table_c is None or at != blocks[lo]:
-                number, c, classes, inside = (np.concatenate(x) for x in zip(*parts, strict=True))
-                table_c, table_class, table_inside = (np.empty(len(number), x.dtype) for x in (c, classes, inside))
-                table_c[number], table_class[number], table_inside[number] = c, classes, inside
-                base = np.log10((table_c + SMOOTHING) / (total + SMOOTHING * (distinct + 1))) if total else np.zeros(len(number))
-            for first in range(0, part.num_rows, 1_000):
-                rows = part.slice(first, 1_000)
-                tokens = rows["tokens"]
-                flat, offsets = np.asarray(tokens.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(tokens)))])
-                begin = offsets[:-1]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows["doc_id"], rows["held_out"], pa.array(np.diff(offsets).astype(np.int64)),
-                        pa.array(np.add.reduceat((table_c[flat] > 0).astype(np.int64), begin)),
-                        pa.array(np.add.reduceat(base[flat], begin)), pa.array(np.add.reduceat(table_inside[flat], begin)),
-                        pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(table_class[flat].astype(np.int16))),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "inside", "classes"],
-                )
+def encode(words: pa.Table, texts: pa.Table, total: int, distinct: int) -> pa.Table:
+    """A block's words (number, c, class, inside) and its texts (doc_id, held_out, tokens) to ENCODED."""
+    texts = texts.combine_chunks()
+    tokens = pa.concat_arrays(texts["tokens"].chunks) if texts.num_rows else pa.array([], pa.list_(pa.int32()))
+    number = words["number"].to_numpy()
+    c, classes, inside = (np.empty(len(number), t) for t in (np.int64, np.int16, np.float64))
+    for name, out in (("c", c), ("class", classes), ("inside", inside)):
+        out[number] = words[name].to_numpy()
+    base = np.log10((c + SMOOTHING) / (total + SMOOTHING * (distinct + 1))) if total else np.zeros(len(number))
+    flat, offsets = np.asarray(tokens.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(tokens)))]).astype(np.int64)
+    begin = offsets[:-1]
+    summed = [np.add.reduceat(v[flat], begin) if len(begin) else v[:0] for v in ((c > 0).astype(np.int64), base, inside)]
+    return pa.table(
+        {
+            "doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": np.diff(offsets),
+            "n_known": summed[0], "base_score": summed[1], "inside": summed[2],
+            "classes": pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(classes[flat])),
+        }
+    )
 
 
 class Hmm:
@@ -302,10 +287,10 @@ def encode_corpus(docs: DataFrame) -> tuple[DataFrame, int, np.ndarray, float]:
     floor = F.array(*[F.lit(float(np.log10(of[k] + SMOOTHING * several[k]))) for k in range(FREQUENT, FREQUENT + SUFFIXES)])
     shared = F.col("class").between(FREQUENT, FREQUENT + SUFFIXES - 1)
     inside = F.when(shared, F.log10(F.col("c") + SMOOTHING) - floor[F.greatest(F.col("class") - FREQUENT, F.lit(0))]).otherwise(F.lit(0.0))
-    words_in = classed.select("block", F.lit(0).alias("kind"), "number", "c", "class", inside.alias("inside"), *[F.lit(None).cast(t).alias(n) for n, t in (("doc_id", "long"), ("held_out", "boolean"), ("tokens", "array<int>"))])
-    texts_in = blocks.where("word is null").select("block", F.lit(1).alias("kind"), *[F.lit(None).cast(t).alias(n) for n, t in (("number", "int"), ("c", "long"), ("class", "int"), ("inside", "double"))], "doc_id", "held_out", "tokens")
-    met = words_in.unionByName(texts_in).repartition("block").sortWithinPartitions("block", "kind")
-    encoded = stage(met.mapInArrow(lambda b: encode(b, total, distinct), ENCODED), "encoded")
+    words_in = classed.select("block", "number", "c", "class", inside.alias("inside"))
+    texts_in = blocks.where("word is null").select("block", "doc_id", "held_out", "tokens")
+    met = words_in.groupBy("block").cogroup(texts_in.groupBy("block"))
+    encoded = stage(met.applyInArrow(lambda words, texts: encode(words, texts, total, distinct), ENCODED), "encoded")
     return encoded, total, share / share.sum(), unknown
 
 
