@@ -267,6 +267,22 @@ def test_toxicity(spark):
     assert kept.columns == frame(spark).columns and {r["doc_id"] for r in kept.collect()} >= {1} and 3 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_severity_is_independent_of_quality(spark):
+    rng = random.Random(1)
+    insults = ["vermin", "scumbag", "rotter", "wretch"]
+    calm = lambda: [rng.choice(WORDS) for _ in range(30)]
+    rows = [(i, " ".join(calm()), 0, 1) for i in range(300)]
+    rows += [(1000 + i, " ".join(calm() + rng.sample(insults, 1 + i % 4)), 1, 1) for i in range(40)]
+    rows += [(2000 + i, " ".join(calm()), 1, 0) for i in range(15)]  # toxic of low quality, without any insult
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[3], r[2]) for r in rows], "doc_id long, quality int, toxic int")
+    grade = {r["doc_id"]: r["grade"] for r in toxicity.graded(docs, labels).collect()}
+    assert {grade[i] for i in range(300)} == {0} and {grade[2000 + i] for i in range(15)} == {1}
+    assert grade[1000] == 1 and grade[1003] == 2
+    model = toxicity.train(toxicity.graded(docs, labels))
+    flagged = {r["doc_id"] for r in docs.select("doc_id", toxicity.predictor(spark, model)("text").alias("p")).where("p.p_toxic > 0.5").collect()}
+    assert flagged == {1000 + i for i in range(40)}
+
+
 def test_empty_tables(spark):
     empty = frame(spark).limit(0)
     assert minhash.near_duplicates(empty).count() == linededup.judged_lines(empty).count() == lcp.fingerprint(empty).count() == packing.pack(empty).count() == 0

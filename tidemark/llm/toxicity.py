@@ -7,6 +7,11 @@ thresholds: P(grade > j) = sigmoid(w . x - t_j) with t_0 <= t_1 <= ...; the expe
 the sum over j of P(grade > j).  Weights are kept at zero or more and only features that raise the
 mean grade are candidates, so much harmless text can't outweigh an insult.
 
+Grades come from the labels and the text: 0 is not toxic, and toxic texts are 1, or 2 when they hold
+more different marked words than half of the toxic texts that hold any.  A word is marked when its
+gain for toxic against not toxic is large enough for a feature.  So the grade rises with what makes
+a text toxic, and the first threshold is toxic alone; quality takes no part.
+
 Defined results: null and empty texts have no features and get the base rate, and are never
 toxic; without labelled rows every severity is 0.
 """
@@ -15,14 +20,14 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_hash, table
+from tidemark.llm.common import id_hash, stage, table
 
 #: The model is fitted on at most about so many labelled rows, on the best so many features.
 LABELLED_ROWS, FEATURES, FEATURE_CHARS = 20_000, 1_000, 24
@@ -42,7 +47,11 @@ def words(text: str | None) -> set[str]:
     return set(WORD.findall(text.lower())) if text else set()
 
 
-def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def whole_word(word: str) -> set[str]:
+    return {f"^{word[:FEATURE_CHARS]}$"}
+
+
+def count_features(batches: Iterator[pa.RecordBatch], of: Callable[[str], set[str]] = features_of) -> Iterator[pa.RecordBatch]:
     """(text, grade) rows to partial document counts of (feature, grade)."""
     cache: dict[str, set[str]] = {}
     counts: dict[int, defaultdict[str, int]] = {}
@@ -59,7 +68,7 @@ def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             found: set[str] = set()
             for w in words(text):
                 if w not in cache:
-                    cache[w] = features_of(w)
+                    cache[w] = of(w)
                 found |= cache[w]
             own = counts.setdefault(grade, defaultdict(int))
             for f in found:
@@ -129,20 +138,30 @@ def fit(features: list[str], rows: list[tuple[list[int], int]], top: int) -> Ord
     return OrdinalModel(features, theta[: len(features)], cut)
 
 
-def train(labelled: DataFrame, top: int = 2) -> OrdinalModel:
-    """labelled: (doc_id, text, grade) with grades 0..top; nulls take no part."""
+def sampled(labelled: DataFrame, top: int) -> DataFrame:
+    """At most about LABELLED_ROWS of the rows with a text and a grade 0..top; equal ones once."""
     known = labelled.where(F.col("text").isNotNull() & F.col("grade").between(0, top))
-    total = known.count()
-    if not total:
-        return OrdinalModel([], np.zeros(0), np.full(top, 40.0))
-    sample = known.where(id_hash("doc_id") < float(1 << 31) * min(1.0, LABELLED_ROWS / total)).select("doc_id", "text", F.col("grade").cast("int").alias("grade"), F.xxhash64("text").alias("same")).dropDuplicates(["same", "grade"])
-    n = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
-    counts = sample.select("text", "grade").mapInArrow(count_features, COUNTS)
+    rate = min(1.0, LABELLED_ROWS / max(1, known.count()))
+    return known.where(id_hash("doc_id") < float(1 << 31) * rate).select("doc_id", "text", F.col("grade").cast("int").alias("grade"), F.xxhash64("text").alias("same")).dropDuplicates(["same", "grade"])
+
+
+def raising(sample: DataFrame, n: dict[int, int], of: Callable[[str], set[str]] = features_of) -> list[str]:
+    """The at most FEATURES features of largest gain among those that raise the mean grade."""
+    counts = sample.select("text", "grade").mapInArrow(lambda batches: count_features(batches, of), COUNTS)
     wide = counts.groupBy("feature").agg(*[F.sum(F.when(F.col("grade") == g, F.col("n"))).alias(f"g{g}") for g in n])
     count = {g: F.coalesce(F.col(f"g{g}"), F.lit(0)) for g in n}
     raises = sum(g * c for g, c in count.items()) * float(sum(n.values())) > sum(count.values()) * float(sum(g * k for g, k in n.items()))
-    best = wide.where(raises).withColumn("gain", scored(n)).where(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(FEATURES).collect() if len(n) > 1 else []
-    features = sorted(r["feature"] for r in best)
+    best = wide.where(raises).withColumn("gain", scored(n)).where(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(FEATURES)
+    return [r["feature"] for r in best.collect()] if len(n) > 1 else []
+
+
+def train(labelled: DataFrame, top: int = 2) -> OrdinalModel:
+    """labelled: (doc_id, text, grade) with grades 0..top; nulls take no part."""
+    sample = sampled(labelled, top)
+    n = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
+    if not n:
+        return OrdinalModel([], np.zeros(0), np.full(top, 40.0))
+    features = sorted(raising(sample, n))
     index = {f: i for i, f in enumerate(features)}
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +207,20 @@ def predictor(spark: SparkSession, model: OrdinalModel):
 
 
 def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Severity: 0 not toxic, 1 toxic in text of quality 1, 2 toxic in text of quality 0."""
-    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
-    return docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", (F.col("toxic") * (2 - F.coalesce("quality", F.lit(1)))).cast("int").alias("grade"))
+    """A sample of the labelled rows with their severity: 0 not toxic, 1 toxic, 2 toxic with many marked words."""
+    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("grade"))
+    sample = stage(sampled(docs.select("doc_id", "text").join(known, "doc_id"), 1), "labelled")
+    n = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
+    marked = set(raising(sample, n, whole_word))
+
+    def count_marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [len({w for x in words(t) for w in whole_word(x)} & marked) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "text": batch["text"], "grade": batch["grade"], "marked": pa.array(held, pa.int32())})
+
+    counted = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "grade").mapInArrow(count_marked, "doc_id long, text string, grade int, marked int")
+    usual = counted.where("grade > 0 and marked > 0").agg(F.percentile_approx("marked", 0.5)).first()[0]
+    return counted.select("doc_id", "text", (F.col("grade") + F.when((F.col("grade") > 0) & (F.col("marked") > (usual or 0)), 1).otherwise(0)).alias("grade"))
 
 
 def model_for(spark: SparkSession, sf_dir: str) -> OrdinalModel:
