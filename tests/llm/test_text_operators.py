@@ -155,6 +155,24 @@ def test_language_gradient_and_accuracy(spark):
     assert odd.columns == frame(spark).columns and not {4, 5, 6} & {r["doc_id"] for r in odd.collect()}
 
 
+def test_rare_language_takes_nothing_from_the_others(spark):
+    rng = random.Random(2)
+    say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(20))
+    rows = [(i, say("abcde"), "aa") for i in range(150)] + [(200 + i, say("vwxyz"), "vv") for i in range(150)] + [(400, "Ciao.", "it")]
+    rows += [(1000 + i, say("abcde"), None) for i in range(20)] + [(2000 + i, say("vwxyz"), None) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.train(docs)
+    got = {r["doc_id"]: r["p"] for r in docs.select("doc_id", langid.predictor(spark, net)("text").alias("p")).collect()}
+    assert net.languages == ["aa", "it", "vv"]
+    assert all(got[1000 + i]["lang_pred"] == "aa" and got[2000 + i]["lang_pred"] == "vv" for i in range(20))
+    assert min(r["score"] for k, r in got.items() if k >= 1000) > 0.9
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word{chr(97 + i % 26)} some text", f"l{i:03}") for i in range(300)]
+    assert len(langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages) == 300
+
+
 def test_packing(spark):
     rows = packing.pack(frame(spark), max_tokens=50, buckets=3, budget=200).collect()
     tokens = collections.Counter()

@@ -26,7 +26,9 @@ from tidemark.llm.common import crc_mod, id_hash, table
 UNDETERMINED = "und"
 MAX_BYTES = 32
 #: Training takes at most so many rows of a language, and of each a window of so many characters.
-ROWS_PER_LANGUAGE, WINDOW_CHARS, MAX_LANGUAGES = 400, 1200, 256
+ROWS_PER_LANGUAGE, WINDOW_CHARS, SEGMENTS_PER_LANGUAGE = 400, 1200, 12_000
+#: Beyond so many languages each gets a smaller part, so that all are learned and the driver's sample stays bounded.
+FULL_LANGUAGES = 256
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 16, 3, 256, 0.01, 7
 CACHED_SEGMENTS = 200_000
 #: ASCII letters in lower case, bytes of multi-byte characters as they are, all else a separator.
@@ -153,29 +155,30 @@ def padded(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, learn_from: Column | None = None) -> BiGru | None:
-    """Fit on a bounded sample of labelled rows, the same number of each language.  None without labels."""
+    """Fit on a bounded sample of the labelled rows of every language, each taken without regard to the others.  None without labels."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if learn_from is not None:
         known = known.where(learn_from)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     languages = sorted(counts)
-    rate = F.create_map(*[F.lit(v) for k in languages for v in (k, ROWS_PER_LANGUAGE / counts[k])])
+    part = min(1.0, FULL_LANGUAGES / len(languages))
+    most_rows, most_segments = max(1, int(ROWS_PER_LANGUAGE * part)), max(1, int(SEGMENTS_PER_LANGUAGE * part))
+    # a few rows more where only a few are due, so that chance leaves no language without one
+    rates = docs.sparkSession.createDataFrame([(k, (most_rows + 20) / counts[k] if most_rows < 100 else most_rows / counts[k]) for k in languages], "lang string, __tm_rate double")
     start = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - WINDOW_CHARS, F.lit(1))).cast("int") + 1
     rows = (
-        known.where(F.col("lang").isin(languages)).where(id_hash("doc_id") < rate[F.col("lang")] * float(1 << 31))
-        .select("lang", F.col("text").substr(start, F.lit(WINDOW_CHARS)).alias("window"))
-        .limit(2 * ROWS_PER_LANGUAGE * len(languages)).collect()
+        known.join(F.broadcast(rates), "lang").where(id_hash("doc_id", "text") < F.col("__tm_rate") * float(1 << 31))
+        .select("lang", F.col("text").substr(start, F.lit(WINDOW_CHARS)).alias("window"), id_hash("doc_id", "text").alias("at"))
+        .groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "window"))), 1, 2 * most_rows + 20)["window"].alias("windows")).collect()
     )
     number = {k: i for i, k in enumerate(languages)}
-    examples = sorted((s, number[r["lang"]]) for r in rows for s in segments(r["window"]))
+    own: list[list[bytes]] = [[] for _ in languages]
+    for r in rows:
+        own[number[r["lang"]]] = sorted(s for w in r["windows"] for s in segments(w))
     rng = np.random.default_rng(SEED)
-    per = min([sum(1 for e in examples if e[1] == i) for i in range(len(languages))] + [12_000])
-    chosen = []
-    for i in range(len(languages)):
-        own = [e for e in examples if e[1] == i]
-        chosen += [own[j] for j in rng.permutation(len(own))[: max(per, 1)]]
+    chosen = [(found[j], i) for i, found in enumerate(own) for j in rng.permutation(len(found))[:most_segments]]
     return BiGru(languages).fit(chosen) if chosen else BiGru(languages)
 
 
