@@ -116,6 +116,30 @@ def test_lines_like_brute_force(spark):
     assert collections.Counter((r["doc_id"], r["line_no"], r["n_links"], r["kept"]) for r in got) == brute_lines(rows)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab", max_size=20), st.lists(st.tuples(st.integers(0, 20), st.sampled_from(["", "a", "x", "xy"])), max_size=3))
+def test_edit_distance_of_short_lines(a, changes):
+    b = a
+    for at, put in changes:
+        b = b[:at] + put + b[at + 1 :]
+    assert linededup.within(a, b) == (edits(a, b) <= min(2, min(len(a), len(b)) // 8))
+
+
+def test_short_lines_have_classes(spark):
+    rng = random.Random(3)
+    lines = ["Ja.", "No.", "letzte.", "", " ", "x"] + ["".join(rng.choice("ab") for _ in range(rng.randint(6, 18))) for _ in range(120)]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(6))) for i in range(60)]
+    places = [(i, k, line.strip()) for i, t in rows for k, line in enumerate(t.split("\n"))]
+    first = {}
+    for i, k, line in places:
+        if line:
+            first.setdefault(line, (i, k))
+    links = {a: [b for b in first if a != b and edits(a, b) <= min(2, min(len(a), len(b)) // 8)] for a in first}
+    want = {(i, k, len(links.get(line, ())), not line or first[line] == (i, k) and all(first[b] > (i, k) for b in links[line])) for i, k, line in places}
+    got = linededup.judged_lines(frame(spark, rows)).collect()
+    assert {(r["doc_id"], r["line_no"], r["n_links"], r["kept"]) for r in got} == want and len(got) == len(want)
+
+
 def test_fingerprints(spark):
     got = lcp.fingerprint(frame(spark)).collect()
     assert len(got) == len(CORPUS)

@@ -1,16 +1,17 @@
 """Line deduplication by a segment-partition edit join.
 
 Lines are what a text's newlines part, stripped of white space at both ends.  Equal lines form a
-class.  Two classes are linked when their lines differ by at most EDITS edits of a character.
-A line of length l is split into EDITS + 1 segments, which are indexed by (l, number, text); a line
-of length n probes the index for l = n - EDITS .. n with those of its own pieces that can match a
-segment at that place when the rest matches too.  Candidates whose letter counts allow a link
+class.  Two classes are linked when their lines differ by at most edits_of(l) edits of a character, l
+being the shorter length: one for every 8 characters and at most EDITS, so lines under 8 characters
+have exact classes only.  A line of length l is split into edits_of(l) + 1 segments, which are indexed
+by (l, number, text); a line of length n probes the index for l = n - EDITS .. n with those of its own
+pieces that can match a segment at that place when the rest matches too.  Candidates whose letter counts allow a link
 are verified by banded bit-parallel edit distance on the whole lines.
 
 The first place of a line is its smallest (doc_id, line number).  A line is dropped when its class
 occurs earlier, or when its class is linked with one that occurs earlier.
 
-Defined results: lines under LEAST_CHARS characters are kept and linked with nothing; a null text
+Defined results: blank lines are kept and linked with nothing; a null text
 has no line; null doc_ids come first in the order; in a repeated doc_id equal places are one.
 """
 
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix64, stage, table
 
-EDITS, LEAST_CHARS = 2, 16
+#: The most edits of a link, the characters a line needs for each, and the length that gives a line a class.
+EDITS, CHARS_PER_EDIT, LEAST_CHARS = 2, 8, 1
 #: Letter counts: bins of 4 bits, above the bit that tells an indexed segment from a probe.
 BINS = 15
 LINES = "doc_id long, line_no int, h1 long, h2 long"
@@ -38,13 +40,18 @@ def lines_of(text: str | None) -> list[str]:
     return [] if text is None else [line.strip() for line in text.split("\n")]
 
 
+def edits_of(length: int) -> int:
+    """The most edits of a link whose shorter line has so many characters."""
+    return min(EDITS, length // CHARS_PER_EDIT)
+
+
 def hashes_of(line: str) -> tuple[int, int]:
     h = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
 def list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to LINES; short lines have no hash."""
+    """(doc_id, text) to LINES; blank lines have no hash."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
@@ -53,7 +60,7 @@ def list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fresh_lines(batches: Iterator[pa.RecordBatch], least_rows: int = 2_000) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
-    """The task's lines that are long enough, without most of its repetitions."""
+    """The task's lines that are long enough for a link, without most of its repetitions."""
     seen: set[tuple[int, int]] = set()
     found: list[str] = []
     names: list[tuple[int, int]] = []
@@ -61,7 +68,7 @@ def fresh_lines(batches: Iterator[pa.RecordBatch], least_rows: int = 2_000) -> I
         for lo in range(0, batch.num_rows, 64):
             for text in batch["text"].slice(lo, 64).to_pylist():
                 for line in lines_of(text):
-                    if len(line) >= LEAST_CHARS and (h := hashes_of(line)) not in seen:
+                    if len(line) >= CHARS_PER_EDIT and (h := hashes_of(line)) not in seen:
                         seen.add(h)
                         found.append(line)
                         names.append(h)
@@ -74,21 +81,22 @@ def fresh_lines(batches: Iterator[pa.RecordBatch], least_rows: int = 2_000) -> I
         yield found, names
 
 
-def segment(length: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+def segment(length: np.ndarray, number: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of segment ``number`` (from 0) of lines of so many characters."""
-    base, extra = length // (EDITS + 1), length % (EDITS + 1)
-    longer_before = np.maximum(0, number - (EDITS + 1 - extra))
+    base, extra = length // (edits + 1), length % (edits + 1)
+    longer_before = np.maximum(0, number - (edits + 1 - extra))
     start = base * number + longer_before
-    return start, start + base + (number >= EDITS + 1 - extra)
+    return start, start + base + (number >= edits + 1 - extra)
 
 
-def probes() -> list[tuple[int, int, int]]:
-    """(length difference, segment, shift) of the pieces that a line has to look up."""
+def probes() -> list[tuple[int, int, int, int]]:
+    """(most edits, length difference, segment, shift) of the pieces that a line has to look up."""
     out = []
-    for less in range(EDITS + 1):
-        for i in range(EDITS + 1):
-            low, high = max(-i, less - (EDITS - i)), min(i, less + (EDITS - i))
-            out += [(less, i, shift) for shift in range(low, high + 1)]
+    for edits in range(1, EDITS + 1):
+        for less in range(edits + 1):
+            for i in range(edits + 1):
+                low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
+                out += [(edits, less, i, shift) for shift in range(low, high + 1)]
     return out
 
 
@@ -107,10 +115,10 @@ def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sign |= (counts[:, b] & 15) << (4 * b + 1)
         ids = np.array([h[0] for h in names], np.int64)
         out = []
-        for less, i, shift in probes():
+        for edits, less, i, shift in probes():
             target = n - less
-            ok = target >= LEAST_CHARS
-            start, end = segment(target, i)
+            ok = np.minimum(EDITS, target // CHARS_PER_EDIT) == edits
+            start, end = segment(target, i, edits)
             a, b = (begin + start + shift)[ok], (begin + end + shift)[ok]
             piece = (sums[b] - sums[a]) * inverse[a]
             key = mix64(mix64(piece) + target[ok].astype(np.uint64) * _ODD + np.uint64(i + 1))
@@ -160,16 +168,20 @@ def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in names], pa.int64()), pa.array([h[1] for h in names], pa.int64()), pa.array(found, pa.string())], names=["id", "h2", "line"])
 
 
-def within(a: str, b: str, most: int = EDITS) -> bool:
-    """Whether at most ``most`` (under 32) edits turn a into b.
+def within(a: str, b: str, most: int | None = None) -> bool:
+    """Whether at most ``most`` (under 32; else what the shorter length allows) edits turn a into b.
 
     Equal ends are cut off; a band of 64 diagonals of the edit matrix is kept as bits and moved
     down by one row a step (Hyyrö's banded form of Myers' algorithm).
     """
     if len(a) < len(b):
         a, b = b, a
+    if most is None:
+        most = edits_of(len(b))
     if len(a) - len(b) > most:
         return False
+    if not most:
+        return a == b
     low, high = 0, len(b)
     while low < high:  # longest common prefix
         mid = (low + high + 1) // 2
