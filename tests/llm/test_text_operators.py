@@ -140,6 +140,15 @@ def test_short_lines_have_classes(spark):
     assert {(r["doc_id"], r["line_no"], r["n_links"], r["kept"]) for r in got} == want and len(got) == len(want)
 
 
+def test_dropped_lines_of_repeated_and_null_ids(spark):
+    x, y, z = "a line that is in both rows", "only the first row has this", "something else altogether here"
+    rows = [(7, f"{x}\n{y}"), (7, f"{z}\n{x}"), (None, f"{z} 1234567\n{x}"), (None, f"{x}\n{y}!!!!!!!")]
+    got = collections.Counter((r["doc_id"], r["text"]) for r in linededup.drop_repeated_lines(frame(spark, rows)).collect())
+    lines = collections.Counter(line for _, t in got for line in t.split("\n"))
+    assert lines == collections.Counter([x, y, z, f"{z} 1234567", f"{y}!!!!!!!"]) and sum(got.values()) == 4
+    assert got[None, f"{x}\n{y}!!!!!!!"] == 1  # null ids come first, and of their places the smaller line number
+
+
 def test_fingerprints(spark):
     got = lcp.fingerprint(frame(spark)).collect()
     assert len(got) == len(CORPUS)

@@ -8,11 +8,11 @@ by (l, number, text); a line of length n probes the index for l = n - EDITS .. n
 pieces that can match a segment at that place when the rest matches too.  Candidates whose letter counts allow a link
 are verified by banded bit-parallel edit distance on the whole lines.
 
-The first place of a line is its smallest (doc_id, line number).  A line is dropped when its class
+The first place of a line is its smallest (doc_id, line number, hash of the text).  A line is dropped when its class
 occurs earlier, or when its class is linked with one that occurs earlier.
 
 Defined results: blank lines are kept and linked with nothing; a null text
-has no line; null doc_ids come first in the order; in a repeated doc_id equal places are one.
+has no line; null doc_ids come first in the order; rows of equal doc_id and text are one.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from tidemark.llm.common import mix64, stage, table
 EDITS, CHARS_PER_EDIT, LEAST_CHARS = 2, 8, 1
 #: Letter counts: bins of 4 bits, above the bit that tells an indexed segment from a probe.
 BINS = 15
-LINES = "doc_id long, line_no int, h1 long, h2 long"
+LINES = "doc_id long, line_no int, row long, h1 long, h2 long"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -51,12 +51,12 @@ def hashes_of(line: str) -> tuple[int, int]:
 
 
 def list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to LINES; blank lines have no hash."""
+    """(doc_id, row, text) to LINES; blank lines have no hash."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            rows = [(d, i, *(hashes_of(line) if len(line) >= LEAST_CHARS else (None, None))) for d, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True) for i, line in enumerate(lines_of(t))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["doc_id", "line_no", "h1", "h2"])
+            rows = [(d, i, r, *(hashes_of(line) if len(line) >= LEAST_CHARS else (None, None))) for d, r, t in zip(*(part[c].to_pylist() for c in ("doc_id", "row", "text")), strict=True) for i, line in enumerate(lines_of(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "line_no", "row", "h1", "h2"])
 
 
 def fresh_lines(batches: Iterator[pa.RecordBatch], least_rows: int = 2_000) -> Iterator[tuple[list[str], list[tuple[int, int]]]]:
@@ -236,27 +236,32 @@ def line_links(docs: DataFrame) -> DataFrame:
     return stage(with_b.mapInArrow(verify, "a long, a2 long, b long, b2 long"), "linelinks")
 
 
-def judged_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, class_doc_id, class_line_no, n_links, kept for every line of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def judged_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, row (the hash of its text), class_doc_id, class_line_no, n_links, kept for every line of docs."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     lines = stage(docs.mapInArrow(list_lines, LINES), "lines")
     links = line_links(docs)
     long = lines.where("h1 is not null")
-    first = stage(long.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "firsts")
+    first = stage(long.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first")), "firsts")
     each = links.union(links.select("b", "b2", "a", "a2"))
     met = each.join(first.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("first").alias("other")), ["b", "b2"])
     met = met.groupBy(F.col("a").alias("h1"), F.col("a2").alias("h2")).agg(F.count("*").alias("n_links"), F.min("other").alias("other"))
     classes = stage(first.join(met, ["h1", "h2"], "left"), "lineclasses")
     out = lines.join(classes, ["h1", "h2"], "left")
-    own = F.struct("doc_id", "line_no")
+    own = F.struct("doc_id", "line_no", "row")
     earlier = F.coalesce(F.col("other") < F.col("first"), F.lit(False))
     return out.select(
-        "doc_id", "line_no", F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_doc_id"),
+        "doc_id", "line_no", "row", F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_doc_id"),
         F.coalesce("first.line_no", "line_no").alias("class_line_no"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.when(F.col("h1").isNull(), True).otherwise((F.col("first") == own) & ~earlier).alias("kept"),
     )
 
 
+def judged_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, class_doc_id, class_line_no, n_links, kept for every line of docs."""
+    return judged_rows(docs).drop("row")
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line of every document: its class (the first place of its text), links and verdict."""
     return judged_lines(table(spark, sf_dir, "documents"))
@@ -264,8 +269,8 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """Pipeline stage: texts lose their dropped lines; documents of which no text is left go."""
-    gone = judged_lines(docs).where("not kept").groupBy(F.col("doc_id").alias("__tm_doc")).agg(F.collect_set("line_no").alias("__tm_gone"))
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("__tm_doc"), "left")
+    gone = judged_rows(docs).where("not kept").groupBy(F.col("doc_id").alias("__tm_doc"), F.col("row").alias("__tm_row")).agg(F.collect_set("line_no").alias("__tm_gone"))
+    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__tm_doc")) & (F.xxhash64("text") == F.col("__tm_row")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__tm_gone", i)), "\n")
     out = out.withColumn("text", F.when(F.col("__tm_gone").isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
