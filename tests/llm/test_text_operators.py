@@ -280,6 +280,21 @@ def test_main_text(spark):
     assert got[1] == (want, len(want)) and got[7] == ("", 0) and got[8] == ("", 0) and got[9][0] == "unclosed text"
 
 
+def test_main_text_keeps_the_whole_article(spark):
+    long, point = "Here is much text of the section, in words. " * 20, "A point of the list that is long. " * 10
+    pages = {
+        "a": f"<body><nav>Menu</nav><article><h1>Headline</h1><div>Standfirst</div><div><section><p>{long}</p></section></div></article></body>",
+        "b": f"<body><nav>Menu</nav><article><p>Before the list</p><ul><li>{point}</li><li>{point}</li></ul><p>After it</p></article></body>",
+        "c": f"<body><nav>Menu</nav><div class='page'><h1>Headline</h1><div class='text'><p>{long}</p></div></div></body>",
+    }
+    rows = [(10 * k + i, f"https://{h}.example/{i}", page) for k, (h, page) in enumerate(pages.items()) for i in range(3)]
+    rows.append((99, "https://c.example/other", f"<body><nav>Menu</nav><div class='page'>Teaser</div><div class='story'><p>{long}</p></div></body>"))
+    got = {r["page_id"]: r["text"] for r in hostpaths.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    long, point = long.strip(), point.strip()
+    assert got[1] == f"Headline Standfirst {long}" and got[11] == f"Before the list {point} {point} After it" and got[21] == f"Headline {long}"
+    assert long in got[99] and "Menu" not in got[99]
+
+
 def test_pieces_round_trip_and_distribution(spark):
     rows = [*CORPUS, (20, "naïve ▁ text\r\n\x00 日本語  two  spaces "), (21, "▁"), (22, "a" * 500)]
     one, two = ([(r["doc_id"], r["ids"], r["lossless"]) for r in pieces.sampled_pieces(frame(spark, rows)).collect()] for _ in range(2))

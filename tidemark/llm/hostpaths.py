@@ -2,9 +2,11 @@
 
 A page is read into text blocks, each under a path of containers (tags with their first class,
 digits generalised).  Every container is scored by the text of its own blocks less its links;
-a container passes half of that to its parent and a quarter to its grandparent.  Each page votes
-for the path of its best container, Spark adds up the votes of a host's pages, and every page
-is extracted again under its host's winning path.  A page without text there falls back on its own best path.
+a container passes half of that to its parent and a quarter to its grandparent.  The best container
+gives way to the outermost article or main element that holds most of the page's text, or else to its
+highest ancestor that holds no boilerplate and adds no text that is mostly links.  Each page votes
+for that path, Spark adds up the votes of a host's pages, and every page is extracted again under its
+host's winning path.  A page with under half of the text there that its own path has keeps its own path.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
 are recognised by tag, role, class and id, and never count or come out.
@@ -65,8 +67,8 @@ def step(tag: str, attributes: dict[str, str]) -> str:
     return f"{tag}.{re.sub(r'[0-9]+', '#', first[0].lower())}" if first else tag
 
 
-def read(page: str | None) -> list[tuple[str, str, int]]:
-    """(path, text, characters in links) of the blocks that aren't boilerplate, in page order."""
+def read(page: str | None, marked: set[str]) -> list[tuple[str, str, int]]:
+    """(path, text, characters in links) of the blocks that aren't boilerplate, in page order; ``marked`` gets the paths right around boilerplate."""
     out: list[tuple[str, str, int]] = []
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, boilerplate, inside content
     parts: list[str] = []
@@ -117,7 +119,8 @@ def read(page: str | None) -> list[tuple[str, str, int]]:
             if tag in ("li", "td", "th", "tr", "dd") and stack[-1][0] == tag:
                 stack.pop()
             _, path, bad, content = stack[-1]
-            bad = bad or boilerplate(tag, attributes, content)
+            if not bad and (bad := boilerplate(tag, attributes, content)):
+                marked.add(path)
             own = path if tag in ("html", "body") else f"{path}>{step(tag, attributes)}"
             stack.append((tag, own, bad, content or tag in CONTENT_TAGS))
         elif tag not in VOID:
@@ -127,29 +130,53 @@ def read(page: str | None) -> list[tuple[str, str, int]]:
                 attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(match[3])}
                 if attributes and boilerplate(tag, attributes, stack[-1][3]):
                     hidden = (tag, 1)
+                    marked.add(stack[-1][1])
     add(page[position:])
     end_block()
     return out
 
 
-def best_path(blocks: list[tuple[str, str, int]]) -> str | None:
-    """The path of the container with the largest score; an article or main element counts double."""
+def inside(path: str, outer: str) -> bool:
+    """Whether a container is another or stands in it."""
+    return path == outer or path.startswith(outer + ">")
+
+
+def best_path(blocks: list[tuple[str, str, int]], marked: set[str]) -> str | None:
+    """The path of the container with the largest score, widened; an article or main element counts double."""
     scores: dict[str, float] = defaultdict(float)
+    plain: dict[str, int] = defaultdict(int)  # characters outside links, of a container with all inside it
     for path, text, links in blocks:
-        value, share = float(len(text) - 2 * links), 1.0
+        value, share, at = float(len(text) - 2 * links), 1.0, path
         for _ in range(3):
-            scores[path] += value * share
-            if not path:
+            scores[at] += value * share
+            if not at:
                 break
-            path, share = path.rpartition(">")[0], share / 2
-    for path in scores:
-        if path.rpartition(">")[2].partition(".")[0] in CONTENT_TAGS:
+            at, share = at.rpartition(">")[0], share / 2
+        while path:
+            plain[path] += len(text) - links
+            path = path.rpartition(">")[0]
+    if not scores:
+        return None
+    content = [p for p in {*scores, *plain} if p.rpartition(">")[2].partition(".")[0] in CONTENT_TAGS]
+    for path in content:
+        if path in scores:
             scores[path] *= 2
-    return min(scores, key=lambda p: (-scores[p], p)) if scores else None
+    best = min(scores, key=lambda p: (-scores[p], p))
+    total = sum(len(text) - links for _, text, links in blocks)
+    most = [p for p in content if 2 * plain[p] > total]
+    if most:
+        return min(most, key=lambda p: (p.count(">"), p))
+    while best:
+        outer = best.rpartition(">")[0]
+        added = [(len(text), links) for p, text, links in blocks if inside(p, outer) and not inside(p, best)]
+        if any(inside(p, outer) for p in marked) or 2 * sum(links for _, links in added) > sum(n for n, _ in added):
+            break
+        best = outer
+    return best
 
 
 def under(blocks: list[tuple[str, str, int]], path: str) -> str:
-    return " ".join(text for p, text, _ in blocks if p == path or p.startswith(path + ">"))
+    return " ".join(text for p, text, _ in blocks if inside(p, path))
 
 
 def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +186,8 @@ def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             for host, page in zip(part["host"].to_pylist(), part["html"].to_pylist(), strict=True):
-                if (path := best_path(read(page))) is not None:
+                marked: set[str] = set()
+                if (path := best_path(read(page, marked), marked)) is not None:
                     counts[host, path] += 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["host", "path", "votes"])
 
@@ -169,10 +197,12 @@ def extract_texts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.A
         out = []
         for lo in range(0, len(pages), 256):
             for page, path in zip(pages.slice(lo, 256).to_pylist(), paths.slice(lo, 256).to_pylist(), strict=True):
-                blocks = read(page)
+                marked: set[str] = set()
+                blocks = read(page, marked)
                 text = under(blocks, path) if path is not None else ""
-                own = best_path(blocks) if not text else None
-                out.append(under(blocks, own) if own is not None else text)
+                own = best_path(blocks, marked)
+                alone = under(blocks, own) if own is not None and own != path else ""
+                out.append(alone if 2 * len(text) < len(alone) else text)
         yield pa.array(out, pa.string())
 
 
