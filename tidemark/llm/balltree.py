@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage, table
+from tidemark.session import ship
 
 TOP, SCALE, LEAF = 10, 1024, 64
 SHARD_ROWS, QUERY_BLOCK = 8_192, 1_024
@@ -123,6 +124,7 @@ def search_task(key: tuple, group: pa.Table) -> pa.Table:
 
 def top_k(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, rank, vec_id, score: vectors and queries are (vec_id, v) as of quantised()."""
+    ship(vectors.sparkSession)
     least = F.lit(-(1 << 63)).cast("long")
     rows = stage(vectors.withColumn("dimension", F.size("v")), "vectors")
     total = rows.count()

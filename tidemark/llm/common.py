@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import ship
 
+#: Folders of sessions without a configured one, by application.
+_own_dirs: dict[str, str] = {}
+
 #: Upper-case ASCII to lower case; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -21,13 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  A temporary one only where none is configured."""
+    """The folder that driver and executors share: spark.checkpoint.dir, which a cluster has to name.
+
+    Only a local master, whose executors are threads of the driver, gets a temporary one of its own.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    made = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError(f"spark.checkpoint.dir names no folder that the driver and the executors of {context.master} share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+    return _own_dirs[context.applicationId]
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
+from tidemark.session import ship
 
 SALTS = 32
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^>]*(?:>|$)""", re.DOTALL)
@@ -208,6 +209,7 @@ def extract_texts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.A
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for pages (page_id, url, html)."""
+    ship(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
     counted = pages.select("host", "html").mapInArrow(votes, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))

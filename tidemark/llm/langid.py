@@ -9,7 +9,7 @@ A segment is a run of bytes that are ASCII letters or part of a multi-byte chara
 segment that occurs again have the same labels and are computed once per task.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; rows with equal
-text get equal predictions; without any labelled row everything is ``und``.
+text get equal predictions; without any labelled row that holds a segment everything is ``und``.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_mod, id_hash, table
+from tidemark.session import ship
 
 UNDETERMINED = "und"
 MAX_BYTES = 32
@@ -156,6 +157,7 @@ def padded(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, learn_from: Column | None = None) -> BiGru | None:
     """Fit on a bounded sample of the labelled rows of every language, each taken without regard to the others.  None without labels."""
+    ship(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if learn_from is not None:
         known = known.where(learn_from)
@@ -179,7 +181,7 @@ def train(docs: DataFrame, learn_from: Column | None = None) -> BiGru | None:
         own[number[r["lang"]]] = sorted(s for w in r["windows"] for s in segments(w))
     rng = np.random.default_rng(SEED)
     chosen = [(found[j], i) for i, found in enumerate(own) for j in rng.permutation(len(found))[:most_segments]]
-    return BiGru(languages).fit(chosen) if chosen else BiGru(languages)
+    return BiGru(languages).fit(chosen) if chosen else None
 
 
 def predictor(spark: SparkSession, model: BiGru | None):

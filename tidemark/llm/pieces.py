@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix64, table
+from tidemark.session import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA, UNIT_CHARS = 0.8, 48
@@ -268,6 +269,7 @@ def decoder(path: str = MODEL):
 
 def sampled_pieces(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, ids, n_pieces, lossless (whether the ids decode to the text)."""
+    ship(docs.sparkSession)
     out = docs.select("doc_id", sampler(path)(F.col("doc_id").cast("long"), F.col("text")).alias("p"))
     return out.select("doc_id", "p.ids", "p.n_pieces", "p.lossless")
 
