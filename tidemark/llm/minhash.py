@@ -28,10 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix64, stage, table, words_of
+from tidemark.session import ship
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 #: The least similarity is LEAST / 100.
@@ -178,6 +179,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs, which needs doc_id and text."""
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage(docs.mapInArrow(sign, SIGNED), "signed")
     some = signed.where("class is not null and doc_id is not null")
@@ -221,6 +223,20 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the document with the smallest id stays."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__tm_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__tm_gone"), "left_anti").select(docs.columns)
+    """Pipeline stage: of each group of near duplicates the row of the smallest doc_id stays.
+
+    Rows are judged one by one where a doc_id is null or repeats: each of its different texts is a
+    document of its own, so none goes for what another says.  Null ids come first; of rows that
+    are equal in id and text one stays; rows without a word all stay.
+    """
+    twice = docs.groupBy(F.col("doc_id").alias("__tm_id")).agg(F.count("*").alias("__tm_n")).where("__tm_n > 1").drop("__tm_n")
+    own = docs.join(twice, F.col("doc_id") == F.col("__tm_id"), "left")
+    single = F.col("doc_id").isNotNull() & F.col("__tm_id").isNull()
+    keyed = stage(own.withColumn("__tm_key", F.when(single, F.col("doc_id").cast("long")).otherwise(F.xxhash64("doc_id", "text"))).drop("__tm_id"), "keyed")
+    judged = near_duplicates(keyed.select(F.col("__tm_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__tm_key"), F.col("component_id").alias("component"))
+    met = judged.join(keyed.select("__tm_key", "doc_id"), "__tm_key")
+    stays = met.groupBy("component").agg(F.min(F.struct("doc_id", "__tm_key"))["__tm_key"].alias("__tm_key")).select("__tm_key")
+    spread = F.when(~F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False)), F.monotonically_increasing_id())
+    first = Window.partitionBy("__tm_key", "__tm_spread").orderBy("__tm_key")
+    left = keyed.join(stays, "__tm_key", "left_semi").withColumn("__tm_spread", spread).withColumn("__tm_row", F.row_number().over(first))
+    return left.where("__tm_row = 1").select(docs.columns)
