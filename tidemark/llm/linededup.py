@@ -6,7 +6,8 @@ being the shorter length: one for every 8 characters and at most EDITS, so lines
 have exact classes only.  A line of length l is split into edits_of(l) + 1 segments, which are indexed
 by (l, number, text); a line of length n probes the index for l = n - EDITS .. n with those of its own
 pieces that can match a segment at that place when the rest matches too.  Candidates whose letter counts allow a link
-are verified by banded bit-parallel edit distance on the whole lines.
+are verified by banded bit-parallel edit distance on the whole lines.  Only distinct lines are indexed, and a
+segment that very many of them share is dealt out to blocks, which meet two by two.
 
 The first place of a line is its smallest (doc_id, line number, hash of the text).  A line is dropped when its class
 occurs earlier, or when its class is linked with one that occurs earlier.
@@ -26,11 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix64, stage, table
+from tidemark.session import ship
 
 #: The most edits of a link, the characters a line needs for each, and the length that gives a line a class.
 EDITS, CHARS_PER_EDIT, LEAST_CHARS = 2, 8, 1
 #: Letter counts: bins of 4 bits, above the bit that tells an indexed segment from a probe.
 BINS = 15
+#: Rows of a segment key that one task compares; a key with more is dealt out to blocks.
+HOT_ROWS = 4_000
+FOUND = "a long, b long, key long"
 LINES = "doc_id long, line_no int, row long, h1 long, h2 long"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -100,9 +105,10 @@ def probes() -> list[tuple[int, int, int, int]]:
     return out
 
 
-def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to (key, id, sign): a line's indexed segments and probes."""
-    for found, names in fresh_lines(batches):
+def keys(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """Distinct lines (id, line) to (key, id, sign): each line's indexed segments and probes."""
+    for part in (b.slice(lo, rows) for b in batches for lo in range(0, b.num_rows, rows)):
+        found = part["line"].to_pylist()
         code = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         n = np.array([len(line) for line in found], np.int64)
         begin = np.cumsum(n) - n
@@ -113,7 +119,7 @@ def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = np.zeros(len(n), np.int64)
         for b in range(BINS):
             sign |= (counts[:, b] & 15) << (4 * b + 1)
-        ids = np.array([h[0] for h in names], np.int64)
+        ids = part["id"].to_numpy()
         out = []
         for edits, less, i, shift in probes():
             target = n - less
@@ -135,26 +141,82 @@ def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total <= 2 * EDITS
 
 
+def pairs_of(key: np.ndarray, ids: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs a < b of rows sorted by key that share a key, of which one is an index entry and whose letters allow a link."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    at, step = np.arange(max(0, len(key) - 1)), 1
+    while len(at):
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        pair = at[((sign[at] | sign[at + step]) & 1 == 1) & (ids[at] != ids[at + step])]
+        pair = pair[allowed(sign[pair], sign[pair + step])]
+        left.append(np.minimum(ids[pair], ids[pair + step]))
+        right.append(np.maximum(ids[pair], ids[pair + step]))
+        step += 1
+    return np.concatenate(left), np.concatenate(right)
+
+
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, sign) sorted by key to pairs a < b that share a key of which one is an index entry."""
-    held = [np.empty(0, np.int64)] * 3
+    """(key, id, sign) sorted by key to FOUND: pairs (a, b, null), and the rows (id, sign, key) of keys with more than HOT_ROWS.
+
+    At most HOT_ROWS rows of a key and one batch are held.
+    """
+    held, hot = [np.empty(0, np.int64)] * 3, None
     for batch in _with_end(batches):
         if batch is not None:
             held = [np.concatenate([h, batch[c].to_numpy()]) for h, c in zip(held, ("key", "id", "sign"), strict=True)]
         key = held[0]
-        cut = len(key) if batch is None else int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if not len(key):
+            continue
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(heads, len(key)))
+        many = (sizes > HOT_ROWS) | (key[heads] == hot if hot is not None else False)
+        hot = int(key[-1]) if many[-1] else None
+        # a last key that isn't hot so far may go on in the next batch
+        cut = len(key) if batch is None or many[-1] else int(heads[-1])
+        rows = np.repeat(many, sizes)[:cut]
         now, held = [h[:cut] for h in held], [h[cut:] for h in held]
-        key, ids, sign = now
-        at, step = np.arange(max(0, cut - 1)), 1
-        while len(at):
-            at = at[at + step < cut]
-            at = at[key[at] == key[at + step]]
-            pair = at[((sign[at] | sign[at + step]) & 1 == 1) & (ids[at] != ids[at + step])]
-            pair = pair[allowed(sign[pair], sign[pair + step])]
-            if len(pair):
-                a, b = ids[pair], ids[pair + step]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            step += 1
+        if rows.any():
+            yield pa.RecordBatch.from_arrays([pa.array(now[k][rows]) for k in (1, 2, 0)], names=["a", "b", "key"])
+        a, b = pairs_of(*[h[~rows] for h in now])
+        for lo in range(0, len(a), 100_000):
+            own = slice(lo, lo + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(b[own]), pa.nulls(len(a[own]), pa.int64())], names=["a", "b", "key"])
+
+
+def pairs_of_blocks(group: pa.Table) -> pa.Table:
+    """The pairs between two blocks of one key, or inside one block."""
+    same = np.zeros(group.num_rows, np.int64)
+    ids, sign, part = (group[c].to_numpy() for c in ("a", "b", "part"))
+    x, y = ids[part == part.min()], ids[part == part.max()]
+    if part.min() == part.max():
+        a, b = pairs_of(same, ids, sign)
+    else:
+        sx, sy = sign[part == part.min()], sign[part == part.max()]
+        found = []
+        for k in range(len(x)):
+            ok = np.flatnonzero(((sx[k] | sy) & 1 == 1) & (y != x[k]))
+            ok = ok[allowed(np.full(len(ok), sx[k]), sy[ok])]
+            found.append((np.full(len(ok), x[k]), y[ok]))
+        a, b = (np.concatenate(v) for v in zip(*found, strict=True))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+    once = np.unique(np.stack([a, b]), axis=1)
+    return pa.table({"a": once[0], "b": once[1]})
+
+
+def candidate_pairs(keyed: DataFrame) -> DataFrame:
+    """(a, b) of (key, id, sign), each pair once.
+
+    The rows of a hot key are dealt out to blocks of about HOT_ROWS, and tasks compare two blocks each,
+    so neither a task's memory nor its work grows with the key.
+    """
+    found = stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(candidates, FOUND), "candidates")
+    hot = found.where("key is not null")
+    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("blocks"))
+    dealt = hot.join(blocks, "key").withColumn("part", F.pmod(F.xxhash64("a", "b"), "blocks").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("a", "b", "part", F.struct("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")).alias("meeting"))
+    return found.where("key is null").select("a", "b").union(met.groupBy("meeting").applyInArrow(pairs_of_blocks, "a long, b long")).distinct()
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -226,11 +288,11 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_links(docs: DataFrame) -> DataFrame:
     """(a, a2, b, b2): hashes of the classes that are linked, each pair once."""
-    keyed = docs.select("text").mapInArrow(keys, "key long, id long, sign long")
-    pairs = stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(candidates, "a long, b long").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     lines = docs.select("text").mapInArrow(texts_of, "id long, h2 long, line string")
-    texts = stage(lines.join(ids, "id", "left_semi").dropDuplicates(["id", "h2"]), "linetexts")
+    distinct = stage(lines.dropDuplicates(["id", "h2"]), "distinctlines")
+    pairs = stage(candidate_pairs(distinct.mapInArrow(keys, "key long, id long, sign long")), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = distinct.join(ids, "id", "left_semi")
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("line_a")), "a")
     with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("line_b")), "b")
     return stage(with_b.mapInArrow(verify, "a long, a2 long, b long, b2 long"), "linelinks")
@@ -238,6 +300,7 @@ def line_links(docs: DataFrame) -> DataFrame:
 
 def judged_rows(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, row (the hash of its text), class_doc_id, class_line_no, n_links, kept for every line of docs."""
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     lines = stage(docs.mapInArrow(list_lines, LINES), "lines")
     links = line_links(docs)
