@@ -11,8 +11,8 @@ every state; as in the base formula it is one token, whatever its letters.
 
 Word counts come from all training texts.  Scan tasks write blocks: the token numbers of some
 texts and the block's distinct words with their training counts; the counts of a word are added
-up over blocks and go back to the blocks that hold it, so no task needs the whole vocabulary.
-Baum-Welch runs on the classes of all training texts, in stretches of STRETCH tokens: every task returns expected counts, Spark
+up over blocks and go back by a join to the blocks that hold it, so no task needs the whole vocabulary.
+Baum-Welch runs on the classes of all whole training texts: every task returns expected counts, Spark
 adds them up over partitions, and only the model's own size (STATES x classes) reaches the driver.
 The scaled forward recursion gives the exact log-likelihood of every whole text.
 
@@ -30,14 +30,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_mod, stage, table
+from tidemark.session import ship
 
 STATES, FREQUENT, SUFFIXES, ITERATIONS, SEED, SMOOTHING = 8, 1023, 1024, 3, 11, 0.1
-#: Tokens of a block, about, of a batch of forward recursions, and of a stretch in training.
-BLOCK_TOKENS, BATCH_TOKENS, STRETCH = 4_000_000, 1_600_000, 1_024
+#: Tokens of a block, about, and of a batch of forward recursions.
+BLOCK_TOKENS, BATCH_TOKENS = 2_000_000, 1_200_000
 #: A word is never white space alone, so this stands for the end.
 END = b"\n"
 #: Class numbers: frequent words from 0, suffixes from FREQUENT, then the end and the unknown word.
@@ -145,18 +146,9 @@ class Hmm:
         move = np.full((states, states), 0.2 / states) + 0.8 * np.eye(states)
         return Hmm(np.full(states, 1 / states), move, emit / emit.sum(axis=1, keepdims=True))
 
-    def settled(self) -> np.ndarray:
-        """The states' shares far from a text's start."""
-        return np.linalg.matrix_power(self.move, 256)[0]
-
-    def forward(self, sequences: list[np.ndarray], backward: bool = False, first: np.ndarray | None = None) -> tuple[np.ndarray, tuple | None]:
-        """Natural log-likelihoods; with ``backward`` also the expected counts (start, move, emit), in single precision.
-
-        Sequences that ``first`` denies go on inside a text: they begin from the settled shares and
-        count nothing for start.
-        """
+    def forward(self, sequences: list[np.ndarray], backward: bool = False) -> tuple[np.ndarray, tuple | None]:
+        """Natural log-likelihoods; with ``backward`` also the expected counts (start, move, emit), in single precision."""
         kind = np.float32 if backward else np.float64
-        first = np.ones(len(sequences), bool) if first is None else first
         order = np.argsort([-len(s) for s in sequences], kind="stable")
         lengths = np.array([len(sequences[i]) for i in order])
         longest = int(lengths[0])
@@ -169,7 +161,7 @@ class Hmm:
         scale = np.empty(at[-1], kind)
         kept = np.empty((at[-1], len(self.start)), kind) if backward else None
         where = np.empty(at[-1], np.int64)
-        alpha = np.where(first[order, None], self.start, self.settled()).astype(kind)
+        alpha = np.broadcast_to(self.start, (len(order), len(self.start))).astype(kind)
         for t in range(longest):
             n = active[t]
             where[at[t] : at[t + 1]] = spots = begin[:n] + t
@@ -195,7 +187,7 @@ class Hmm:
         kept *= after
         classes = flat[where]
         counts = np.stack([np.bincount(classes, kept[:, k], minlength=self.emit.shape[1]) for k in range(kept.shape[1])])
-        return out, (kept[: active[0]][first[order]].sum(axis=0, dtype=np.float64), moved * self.move, counts)
+        return out, (kept[: active[0]].sum(axis=0, dtype=np.float64), moved * self.move, counts)
 
 
 def batches_of(rows: Iterator[pa.RecordBatch], size: int = BATCH_TOKENS) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -213,15 +205,10 @@ def batches_of(rows: Iterator[pa.RecordBatch], size: int = BATCH_TOKENS) -> Iter
 
 
 def expect(batches: Iterator[pa.RecordBatch], model: Hmm) -> Iterator[pa.RecordBatch]:
-    """Training rows to their expected counts, as rows (at, value) of one flat array.
-
-    Texts are read in stretches of STRETCH tokens, so that the steps of long ones run side by side.
-    """
+    """Training rows to their expected counts, as rows (at, value) of one flat array."""
     total = None
     for _, sequences in batches_of(batches):
-        stretches = [s[lo : lo + STRETCH] for s in sequences for lo in range(0, len(s), STRETCH)]
-        first = np.array([lo == 0 for s in sequences for lo in range(0, len(s), STRETCH)])
-        _, counts = model.forward(stretches, backward=True, first=first)
+        _, counts = model.forward(sequences, backward=True)
         own = np.concatenate([c.ravel() for c in counts])
         total = own if total is None else total + own
     if total is not None:
@@ -265,21 +252,21 @@ def encode_corpus(docs: DataFrame) -> tuple[DataFrame, int, np.ndarray, float]:
     """ENCODED rows of (doc_id, text, held_out), N, the classes' shares of the training tokens, the unknown word's share."""
     blocks = stage(docs.select("doc_id", "text", "held_out").mapInArrow(write_blocks, BLOCKS), "blocks")
     words = blocks.where("word is not null").select("block", "number", "word", "n")
-    counted = stage(words.withColumn("c", F.sum("n").over(Window.partitionBy("word"))).withColumn("one", F.row_number().over(Window.partitionBy("word").orderBy("block")) == 1), "words")
-    distinct_words = counted.where("one and c > 0")
-    sums = distinct_words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once")).first()
+    counted = stage(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    known = counted.where("c > 0")
+    sums = known.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once")).first()
     total, distinct = sums["n"] or 0, sums["v"] or 0
     unknown = min(0.5, ((sums["once"] or 0) + SMOOTHING) / (total + 1))
-    frequent = {bytes(r["word"]): i for i, r in enumerate(distinct_words.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(FREQUENT).collect())}
+    frequent = {bytes(r["word"]): i for i, r in enumerate(known.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(FREQUENT).collect())}
 
     def classify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             known = np.asarray(batch["c"]) > 0
             own = [END_CLASS if w == END else frequent[w] if w in frequent else suffix_class(w) if k else UNKNOWN_CLASS for w, k in zip(batch["word"].to_pylist(), known, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["block"], batch["number"], batch["c"], pa.array(own, pa.int32()), batch["one"]], names=["block", "number", "c", "class", "one"])
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(own, pa.int32())], names=["word", "c", "class"])
 
-    classed = stage(counted.select("block", "number", "word", "c", "one").mapInArrow(classify, "block long, number int, c long, class int, one boolean"), "classed")
-    sizes = classed.where("one").groupBy("class").agg(F.sum("c").alias("of"), F.sum((F.col("c") > 0).cast("int")).alias("words")).collect()
+    classed = stage(counted.mapInArrow(classify, "word binary, c long, class int"), "classed")
+    sizes = classed.groupBy("class").agg(F.sum("c").alias("of"), F.sum((F.col("c") > 0).cast("int")).alias("words")).collect()
     of, several = np.zeros(CLASSES), np.ones(CLASSES)
     for r in sizes:  # one row a class
         of[r["class"]], several[r["class"]] = r["of"], max(1, r["words"])
@@ -287,15 +274,16 @@ def encode_corpus(docs: DataFrame) -> tuple[DataFrame, int, np.ndarray, float]:
     floor = F.array(*[F.lit(float(np.log10(of[k] + SMOOTHING * several[k]))) for k in range(FREQUENT, FREQUENT + SUFFIXES)])
     shared = F.col("class").between(FREQUENT, FREQUENT + SUFFIXES - 1)
     inside = F.when(shared, F.log10(F.col("c") + SMOOTHING) - floor[F.greatest(F.col("class") - FREQUENT, F.lit(0))]).otherwise(F.lit(0.0))
-    words_in = classed.select("block", "number", "c", "class", inside.alias("inside"))
+    words_in = words.select(F.col("block").alias("home"), "number", "word").join(classed, "word").select("home", "number", "c", "class", inside.alias("inside"))
     texts_in = blocks.where("word is null").select("block", "doc_id", "held_out", "tokens")
-    met = words_in.groupBy("block").cogroup(texts_in.groupBy("block"))
+    met = words_in.groupBy("home").cogroup(texts_in.groupBy("block"))
     encoded = stage(met.applyInArrow(lambda words, texts: encode(words, texts, total, distinct), ENCODED), "encoded")
     return encoded, total, share / share.sum(), unknown
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for (doc_id, text, held_out); held-out rows train nothing."""
+    ship(docs.sparkSession)
     encoded, total, share, unknown = encode_corpus(docs)
     model = baum_welch(encoded, share, unknown)
     scored = encoded.mapInArrow(lambda b: score(b, model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
