@@ -13,7 +13,7 @@ gain for toxic against not toxic is large enough for a feature.  So the grade ri
 a text toxic, and the first threshold is toxic alone; quality takes no part.
 
 Defined results: null and empty texts have no features and get the base rate, and are never
-toxic; without labelled rows every severity is 0.
+toxic; without labelled rows every severity is 0; of equally likely grades the lowest is given.
 """
 
 from __future__ import annotations
@@ -28,18 +28,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import id_hash, stage, table
+from tidemark.session import ship
 
 #: The model is fitted on at most about so many labelled rows, on the best so many features.
-LABELLED_ROWS, FEATURES, FEATURE_CHARS = 20_000, 1_000, 24
+LABELLED_ROWS, FEATURES = 20_000, 1_000
 #: ... with at least this gain, so that none of some million candidates gets in by chance.
 LEAST_GAIN = 12
 CACHED_WORDS, ROUNDS, RIDGE = 200_000, 400, 2e-4
+#: Longer words are read like others, but their features aren't kept for the next text.
+CACHED_CHARS = 40
 WORD = re.compile(r"[^\W\d_]+")
 COUNTS = "feature string, grade int, n long"
 
 
 def features_of(word: str) -> set[str]:
-    marked = f"^{word[:FEATURE_CHARS]}$"
+    marked = f"^{word}$"
     return {marked} | {marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1)}
 
 
@@ -48,7 +51,7 @@ def words(text: str | None) -> set[str]:
 
 
 def whole_word(word: str) -> set[str]:
-    return {f"^{word[:FEATURE_CHARS]}$"}
+    return {f"^{word}$"}
 
 
 def count_features(batches: Iterator[pa.RecordBatch], of: Callable[[str], set[str]] = features_of) -> Iterator[pa.RecordBatch]:
@@ -67,6 +70,9 @@ def count_features(batches: Iterator[pa.RecordBatch], of: Callable[[str], set[st
                 cache.clear()
             found: set[str] = set()
             for w in words(text):
+                if len(w) > CACHED_CHARS:
+                    found |= of(w)
+                    continue
                 if w not in cache:
                     cache[w] = of(w)
                 found |= cache[w]
@@ -100,6 +106,34 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(np.asarray(scores)[:, None] - self.thresholds, -40, 40)))
 
 
+def thresholds_of(theta: np.ndarray, top: int) -> np.ndarray:
+    """The ordered thresholds: the first, and the gaps' logs, at the parameters' end."""
+    own = theta[len(theta) - top :]
+    return np.cumsum(np.concatenate([own[:1], np.exp(own[1:])]))
+
+
+def likelihood(theta: np.ndarray, flat: np.ndarray, owner: np.ndarray, grade: np.ndarray, top: int) -> tuple[float, np.ndarray]:
+    """The mean log-likelihood of the grades less the ridge, and its gradient.
+
+    theta are the weights and the thresholds' parameters; row owner[i] has feature flat[i].
+    """
+    m, n = len(theta) - top, len(grade)
+    w, cut = theta[:m], thresholds_of(theta, top)
+    score = np.bincount(owner, w[flat], minlength=n) if n else np.zeros(0)
+    edge = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-np.clip(score[:, None] - cut, -40, 40))), np.zeros((n, 1))], axis=1)
+    at = np.arange(n)
+    p = np.maximum(edge[at, grade] - edge[at, grade + 1], 1e-9)
+    slope = edge * (1 - edge)
+    d_score = (slope[at, grade] - slope[at, grade + 1]) / p
+    d_cut = np.array([(slope[:, j + 1] / p * (np.where(grade == j, 1.0, 0.0) - np.where(grade == j + 1, 1.0, 0.0))).sum() for j in range(top)])
+    size = max(1, n)
+    grad = np.concatenate([np.bincount(flat, d_score[owner], minlength=m) / size - 2 * RIDGE * w, np.zeros(top)])
+    grad[m] = d_cut.sum() / size
+    for j in range(1, top):
+        grad[m + j] = d_cut[j:].sum() / size * np.exp(theta[m + j])
+    return float(np.log(p).sum() / size - RIDGE * (w * w).sum()), grad
+
+
 def fit(features: list[str], rows: list[tuple[list[int], int]], top: int) -> OrdinalModel:
     """Maximum likelihood with a ridge, by Adam on all rows; thresholds stay ordered by their gaps' logs.
 
@@ -114,28 +148,15 @@ def fit(features: list[str], rows: list[tuple[list[int], int]], top: int) -> Ord
     theta = np.concatenate([np.zeros(len(features)), start[:1], gaps])
     seen = [bool((grade > j).any()) for j in range(top)]
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    n = max(1, len(rows))
     for step in range(1, ROUNDS + 1):
-        w, cut = theta[: len(features)], np.cumsum(np.concatenate([theta[len(features) : len(features) + 1], np.exp(theta[len(features) + 1 :])]))
-        score = np.bincount(owner, w[flat], minlength=len(rows)) if len(rows) else np.zeros(0)
-        edge = np.concatenate([np.full((len(rows), 1), 1.0), 1 / (1 + np.exp(-np.clip(score[:, None] - cut, -40, 40))), np.zeros((len(rows), 1))], axis=1)
-        at = np.arange(len(rows))
-        p = np.maximum(edge[at, grade] - edge[at, grade + 1], 1e-9)
-        slope = edge * (1 - edge)
-        d_score = (slope[at, grade] - slope[at, grade + 1]) / p
-        d_cut = np.zeros(top)
+        _, grad = likelihood(theta, flat, owner, grade, top)
         for j in range(top):
-            d_cut[j] = (np.where(grade == j, slope[:, j + 1] / p, 0) - np.where(grade == j + 1, slope[:, j + 1] / p, 0)).sum()
-            d_cut[j] *= seen[j]
-        grad = np.concatenate([np.bincount(flat, d_score[owner], minlength=len(features)) / n - 2 * RIDGE * w, np.zeros(top)])
-        grad[len(features)] = d_cut.sum() / n
-        for j in range(1, top):
-            grad[len(features) + j] = d_cut[j:].sum() / n * np.exp(theta[len(features) + j])
+            if not seen[j]:
+                grad[len(features) + j] = 0
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta += 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         theta[: len(features)] = np.maximum(theta[: len(features)], 0)
-    cut = np.cumsum(np.concatenate([theta[len(features) : len(features) + 1], np.exp(theta[len(features) + 1 :])]))
-    return OrdinalModel(features, theta[: len(features)], cut)
+    return OrdinalModel(features, theta[: len(features)], thresholds_of(theta, top))
 
 
 def sampled(labelled: DataFrame, top: int) -> DataFrame:
@@ -157,6 +178,7 @@ def raising(sample: DataFrame, n: dict[int, int], of: Callable[[str], set[str]]
 
 def train(labelled: DataFrame, top: int = 2) -> OrdinalModel:
     """labelled: (doc_id, text, grade) with grades 0..top; nulls take no part."""
+    ship(labelled.sparkSession)
     sample = sampled(labelled, top)
     n = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
     if not n:
@@ -183,7 +205,9 @@ def found(text: str | None, cache: dict[str, tuple[int, ...]], index: dict[str,
     for w in words(text):
         own = cache.get(w)
         if own is None:
-            own = cache[w] = tuple(index[f] for f in features_of(w) if f in index)
+            own = tuple(index[f] for f in features_of(w) if f in index)
+            if len(w) <= CACHED_CHARS:
+                cache[w] = own
         if own:
             out.update(own)
     return out
@@ -208,6 +232,7 @@ def predictor(spark: SparkSession, model: OrdinalModel):
 
 def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A sample of the labelled rows with their severity: 0 not toxic, 1 toxic, 2 toxic with many marked words."""
+    ship(docs.sparkSession)
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("grade"))
     sample = stage(sampled(docs.select("doc_id", "text").join(known, "doc_id"), 1), "labelled")
     n = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
