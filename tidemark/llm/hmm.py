@@ -2,7 +2,7 @@
 
 Tokens are a text's lower-cased words and one end.  Latent states emit classes of tokens: each of
 the FREQUENT commonest training words is a class, the other words share classes by a hash of their
-last two letters, the end has a class and so have words that training didn't meet.  Within a class a
+last two bytes, the end has a class and so have words that training didn't meet.  Within a class a
 word has its smoothed share of the class's training count, so a state's probability of a word is
 P(class | state) * P(word | class).
 
@@ -24,7 +24,6 @@ rows that repeat a doc_id are scored each.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from tidemark.session import ship
 
 STATES, FREQUENT, SUFFIXES, ITERATIONS, SEED, SMOOTHING = 8, 1023, 1024, 3, 11, 0.1
 #: Tokens of a block, about, and of a batch of forward recursions.
-BLOCK_TOKENS, BATCH_TOKENS = 2_000_000, 1_200_000
+BLOCK_TOKENS, BATCH_TOKENS = 3_000_000, 1_200_000
 #: A word is never white space alone, so this stands for the end.
 END = b"\n"
 #: Class numbers: frequent words from 0, suffixes from FREQUENT, then the end and the unknown word.
@@ -48,10 +47,6 @@ BLOCKS = "block long, doc_id long, held_out boolean, tokens array<int>, word bin
 ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, classes array<short>"
 
 
-def suffix_class(word: bytes) -> int:
-    return FREQUENT + crc32(word[-2:]) % SUFFIXES
-
-
 def write_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, held_out) to BLOCKS: rows of texts as word numbers, and rows of words with training counts.
 
@@ -257,15 +252,11 @@ def encode_corpus(docs: DataFrame) -> tuple[DataFrame, int, np.ndarray, float]:
     sums = known.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once")).first()
     total, distinct = sums["n"] or 0, sums["v"] or 0
     unknown = min(0.5, ((sums["once"] or 0) + SMOOTHING) / (total + 1))
-    frequent = {bytes(r["word"]): i for i, r in enumerate(known.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(FREQUENT).collect())}
-
-    def classify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            known = np.asarray(batch["c"]) > 0
-            own = [END_CLASS if w == END else frequent[w] if w in frequent else suffix_class(w) if k else UNKNOWN_CLASS for w, k in zip(batch["word"].to_pylist(), known, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(own, pa.int32())], names=["word", "c", "class"])
-
-    classed = stage(counted.mapInArrow(classify, "word binary, c long, class int"), "classed")
+    frequent = [(bytes(r["word"]), i) for i, r in enumerate(known.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(FREQUENT).collect())]
+    listed = docs.sparkSession.createDataFrame(frequent, "word binary, place int")  # FREQUENT rows at most
+    suffix = F.lit(FREQUENT) + (F.crc32(F.substring("word", -2, 2)) % SUFFIXES).cast("int")
+    place = F.when(F.col("word") == F.lit(END), END_CLASS).when(F.col("place").isNotNull(), F.col("place")).when(F.col("c") > 0, suffix).otherwise(UNKNOWN_CLASS)
+    classed = counted.join(F.broadcast(listed), "word", "left").select("word", "c", place.alias("class"))
     sizes = classed.groupBy("class").agg(F.sum("c").alias("of"), F.sum((F.col("c") > 0).cast("int")).alias("words")).collect()
     of, several = np.zeros(CLASSES), np.ones(CLASSES)
     for r in sizes:  # one row a class
@@ -274,7 +265,8 @@ def encode_corpus(docs: DataFrame) -> tuple[DataFrame, int, np.ndarray, float]:
     floor = F.array(*[F.lit(float(np.log10(of[k] + SMOOTHING * several[k]))) for k in range(FREQUENT, FREQUENT + SUFFIXES)])
     shared = F.col("class").between(FREQUENT, FREQUENT + SUFFIXES - 1)
     inside = F.when(shared, F.log10(F.col("c") + SMOOTHING) - floor[F.greatest(F.col("class") - FREQUENT, F.lit(0))]).otherwise(F.lit(0.0))
-    words_in = words.select(F.col("block").alias("home"), "number", "word").join(classed, "word").select("home", "number", "c", "class", inside.alias("inside"))
+    valued = classed.select("word", "c", "class", inside.alias("inside"))
+    words_in = words.select(F.col("block").alias("home"), "number", "word").join(valued, "word").drop("word")
     texts_in = blocks.where("word is null").select("block", "doc_id", "held_out", "tokens")
     met = words_in.groupBy("home").cogroup(texts_in.groupBy("block"))
     encoded = stage(met.applyInArrow(lambda words, texts: encode(words, texts, total, distinct), ENCODED), "encoded")
