@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,6 +83,38 @@ def normal_url(c: Column) -> Column:
     return F.when(bare.rlike("^https?://[^/]+"), bare)
 
 
+def resolved_url(c: Column, base: str) -> Column:
+    """An http or https url without its fragment, resolved against a base; null for other schemes."""
+    text = F.regexp_replace(trim_to_null(c), "#.*$", "")
+    origin = re.match(r"(https?:)//[^/?#]+", base)
+    path = re.sub(r"[?#].*$", "", base)[origin.end() :] or "/"
+    joined = (
+        F.when(text.rlike("(?i)^https?://[^/]+"), text).when(text.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), None).when(text.startswith("//"), F.concat(F.lit(origin[1]), text))
+        .when(text.startswith("/"), F.concat(F.lit(origin[0]), text)).when(text.startswith("?"), F.concat(F.lit(origin[0] + path), text)).otherwise(F.concat(F.lit(origin[0] + path[: path.rindex("/") + 1]), text))
+    )
+    return joined
+
+
+def ip_hash(c: Column) -> Column:
+    return F.sha2(trim_to_null(c), 256)
+
+
+def rate4(a: Column, b: Column) -> Column:
+    """a / b to four decimals, null unless b is over zero."""
+    return F.when(b > 0, F.floor(a.cast("double") / b.cast("double") * 10_000 + 0.5) / 10_000.0)
+
+
+def cents_text(c: Column) -> Column:
+    """Integer cents as a text with two decimals."""
+    sign = F.when(c < 0, "-").otherwise("")
+    return F.concat(sign, F.floor(F.abs(c) / 100).cast("string"), F.lit("."), F.lpad((F.abs(c) % 100).cast("string"), 2, "0"))
+
+
+def date_list(c: Column) -> Column:
+    """The ISO dates of an array of texts, each once and in order."""
+    return F.array_sort(F.array_distinct(F.filter(c, lambda x: x.rlike(r"^\d{4}-\d{2}-\d{2}$"))))
+
+
 def url_host(c: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(c, r"^https?://([^/:?#]+)", 1), F.lit("")))
 

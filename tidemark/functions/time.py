@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ZONE = "America/Los_Angeles"
+# Short names of zones.
+ZONE_ALIASES = {"PST": "America/Los_Angeles", "PDT": "America/Los_Angeles", "PT": "America/Los_Angeles"}
+ZONES = sorted(available_timezones())
 ZONED = r"(?i)(z|[+-]\d{2}:?\d{2})$"
 
 
@@ -62,6 +67,13 @@ def day_count(first: Column, last: Column) -> Column:
     return F.datediff(last, first) + 1
 
 
-def lag_hours(latest: Column, done: Column) -> Column:
-    """Whole hours that ``done`` is behind ``latest``, none below zero."""
-    return F.greatest(F.timestamp_diff("HOUR", done, latest), F.lit(0))
+def hour_lag(latest: Column, done: Column) -> Column:
+    """Hours that ``done`` is behind ``latest``, to the nearest and none below zero."""
+    seconds = (F.unix_micros(latest.cast("timestamp")) - F.unix_micros(done.cast("timestamp"))) / 1e6
+    return F.greatest(F.round(seconds / 3_600), F.lit(0)).cast("long")
+
+
+def zone_name(c: Column) -> Column:
+    """A zone's name for the short names that users give, any name with a region as it is, else null."""
+    short = F.create_map(*[F.lit(x) for pair in ZONE_ALIASES.items() for x in pair])[F.upper(F.trim(c))]
+    return F.coalesce(short, F.when(F.trim(c).isin(ZONES), F.trim(c)))

@@ -45,20 +45,34 @@ def within_days(touch: Column, order: Column, days: int = LOOKBACK_DAYS) -> Colu
     return (touch <= order) & (touch >= order - F.make_dt_interval(F.lit(days)))
 
 
+def slot(ts: Column, days: int) -> Column:
+    """The number of the window-long stretch of time that a time lies in."""
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / (days * 86_400_000_000)).cast("long")
+
+
+def own_and_next(ts: Column, days: int) -> Column:
+    """A row's slot and the next: a window back from any time of a slot reaches its own slot and the one before."""
+    return F.explode(F.array(slot(ts, days), slot(ts, days) + 1))
+
+
 def latest_by_token(orders: DataFrame, touches: DataFrame, token: str, days: int = LOOKBACK_DAYS) -> DataFrame:
-    """As-of join: per order the latest touch with its token within the window (an equi join, then a range)."""
-    t = touches.select(F.col(token).alias("__token"), *TOUCH)
-    o = orders.where(F.col(token).isNotNull()).select("order_id", F.col("ts").alias("order_ts"), F.col(token).alias("__token"))
-    met = o.join(t, "__token").where(within_days(F.col("ts"), F.col("order_ts"), days))
-    best = met.groupBy("order_id").agg(F.max_by(F.struct(*TOUCH), F.struct("ts", "event_id")).alias("t"))
-    return best.select("order_id", "t.*")
+    """As-of join: per order the latest touch with its token within the window.
+
+    Orders and touches of a token and slot of time lie in one order, in which an order takes the last
+    touch before it; no pairs are made, and a hot token is parted by time.
+    """
+    t = touches.where(F.col(token).isNotNull()).select(F.col(token).alias("__token"), own_and_next(F.col("ts"), days).alias("__slot"), "ts", F.lit(0).alias("__kind"), "event_id", F.struct(*TOUCH).alias("__t"), F.lit(None).cast("long").alias("order_id"))
+    o = orders.where(F.col(token).isNotNull()).select(F.col(token).alias("__token"), slot(F.col("ts"), days).alias("__slot"), "ts", F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast(t.schema["__t"].dataType).alias("__t"), "order_id")
+    before = Window.partitionBy("__token", "__slot").orderBy("ts", "__kind", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = t.unionByName(o).withColumn("t", F.last("__t", ignorenulls=True).over(before)).where("__kind = 1")
+    return met.where(within_days(F.col("t.ts"), F.col("ts"), days)).select("order_id", "t.*")
 
 
 def identity_sessions(orders: DataFrame, sessions: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
-    """Range join: all sessions of the order's user that began within the window."""
-    s = sessions.withColumnRenamed("first_seen", "session_ts").select("user_id", "session_ts", *[c for c in TOUCH if c != "ts"])
-    o = orders.select("order_id", "user_id", F.col("ts").alias("order_ts"))
-    met = o.join(s, "user_id").where(within_days(F.col("session_ts"), F.col("order_ts"), days))
+    """Range join: all sessions of the order's user that began within the window, met by user and slot of time."""
+    s = sessions.withColumnRenamed("first_seen", "session_ts").select("user_id", own_and_next(F.col("session_ts"), days).alias("__slot"), "session_ts", *[c for c in TOUCH if c != "ts"])
+    o = orders.select("order_id", "user_id", slot(F.col("ts"), days).alias("__slot"), F.col("ts").alias("order_ts"))
+    met = o.join(s, ["user_id", "__slot"]).where(within_days(F.col("session_ts"), F.col("order_ts"), days))
     return met.select("order_id", *[F.col("session_ts").alias("ts") if c == "ts" else F.col(c) for c in TOUCH])
 
 
@@ -160,6 +174,17 @@ def credits(touched: DataFrame, models: list[str] = MODELS, **options) -> DataFr
     return rows.withColumn("is_primary", primary).drop("raw", "__sum", "__exact", "__floor", "__left")
 
 
+def tier_order(rank: int) -> list[Column]:
+    """The order of candidates within a tier."""
+    return {0: winner_order(), 1: [has_click().desc(), F.desc("ts"), F.asc("session_id")], 2: [F.desc("ts"), has_click().desc(), F.asc("session_id")]}[rank]
+
+
+def dedupe_by_source(found: DataFrame, rank: int, source_key: str = "session_id") -> DataFrame:
+    """One candidate per order and source key: the first in the tier's order."""
+    place = F.row_number().over(Window.partitionBy("order_id", source_key).orderBy(*tier_order(rank), "event_id"))
+    return found.withColumn("__rank", place).where("__rank = 1").drop("__rank")
+
+
 def resolve_tiers(orders: DataFrame, first_party: DataFrame, hints: DataFrame, ga4: DataFrame) -> DataFrame:
     """order_id, tier, evidence, ts, confidence: the best tier that has a candidate.
 
@@ -170,10 +195,10 @@ def resolve_tiers(orders: DataFrame, first_party: DataFrame, hints: DataFrame, g
     for rank, (found, windowed) in enumerate(((first_party, False), (hints, True), (ga4, True))):
         met = found.join(orders.select("order_id", F.col("ts").alias("order_ts")), "order_id")
         met = met.where(within_days(F.col("ts"), F.col("order_ts")) if windowed else F.col("ts") <= F.col("order_ts"))
-        keys = {0: winner_order(), 1: [has_click().desc(), F.desc("ts"), F.col("session_id")], 2: [F.desc("ts"), has_click().desc(), F.col("session_id")]}[rank]
-        best = met.withColumn("__rank", F.row_number().over(Window.partitionBy("order_id").orderBy(*keys))).where("__rank = 1")
-        parts.append(best.select("order_id", F.struct(F.lit(rank).alias("rank"), "evidence", "ts", "session_id").alias("best")))
+        once = dedupe_by_source(met, rank)
+        best = once.withColumn("__rank", F.row_number().over(Window.partitionBy("order_id").orderBy(*tier_order(rank)))).where("__rank = 1")
+        parts.append(best.select("order_id", F.struct(F.lit(rank).alias("rank"), "evidence", "ts", "session_id", "is_direct").alias("best")))
     best = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("order_id").agg(F.min("best").alias("best"))
     out = orders.select("order_id").join(best, "order_id", "left")
     tier = F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.coalesce(F.col("best.rank"), F.lit(3)) + 1)
-    return out.select("order_id", tier.alias("tier"), "best.evidence", "best.ts", "best.session_id", confidence(F.col("best.evidence")).alias("confidence"))
+    return out.select("order_id", tier.alias("tier"), "best.evidence", "best.ts", "best.session_id", "best.is_direct", confidence(F.col("best.evidence")).alias("confidence"))

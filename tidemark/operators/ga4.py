@@ -32,6 +32,21 @@ def clean_click_id(c: Column) -> Column:
     return F.when(F.trim(c).rlike("^[A-Za-z0-9._-]+$"), F.trim(c))
 
 
+# Parameters that hold a click id, in order.
+CLICK_PARAMETERS = ["gclid", "dclid", "gbraid", "wbraid", "fbclid", "ttclid", "msclkid"]
+
+
+def first_click_id(params: Column) -> Column:
+    """struct(key, value): the first of CLICK_PARAMETERS, in any case, that has a clean value among (key, string_value) entries."""
+    found = F.transform(F.array(*[F.lit(k) for k in CLICK_PARAMETERS]), lambda k: F.struct(k.alias("key"), clean_click_id(F.array_max(F.transform(F.filter(params, lambda p: F.lower(p["key"]) == k), lambda p: p["string_value"]))).alias("value")))
+    return F.get(F.filter(found, lambda x: x["value"].isNotNull()), F.lit(0))
+
+
+def export_list(rows: DataFrame, ts: str, key: str) -> DataFrame:
+    """All rows, the latest first, then by key."""
+    return rows.orderBy(F.desc(ts), F.asc(key))
+
+
 def dimension_count() -> Column:
     return sum((F.col(d).isNotNull().cast("int") for d in DIMENSIONS), F.lit(0))
 

@@ -1,10 +1,13 @@
-"""Identity: nodes of evidence, ownership of keys, journeys as components that customers' ids keep apart."""
+"""Identity: nodes of evidence, ownership of keys, journeys as connected parts, edges, conflicts and health."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import components
+from tidemark.storage import stage
+
 # Kinds of keys and their precedence.
 PRECEDENCE = {"customer_id": 100, "email_hash": 70, "phone_hash": 60, "checkout_token": 40, "cart_token": 30, "session_id": 20}
 
@@ -23,27 +26,134 @@ def quarantined(found: DataFrame) -> DataFrame:
     return shared.groupBy("node_type", "node_key").agg(F.countDistinct("customer").alias("owners")).where("owners > 1")
 
 
-def assigned(found: DataFrame) -> DataFrame:
-    """record_id, journey, by: the journey of every record, from its strongest key that one customer owns.
+def shown_keys(found: DataFrame) -> DataFrame:
+    """node_type, node_key, owner, several of every key but customer ids that a customer has shown."""
+    customer = customers(found)
+    return found.where("node_type <> 'customer_id'").join(customer, "record_id").groupBy("node_type", "node_key").agg(F.min("customer").alias("owner"), (F.min("customer") != F.max("customer")).alias("several"))
+
+
+def customers(found: DataFrame) -> DataFrame:
+    return found.where("node_type = 'customer_id'").groupBy("record_id").agg(F.min("node_key").alias("customer"))
+
 
-    A customer id owns its journey.  Any other key belongs to the only customer that has shown it, at any
-    time and in any order of arrival; keys that several customers showed are quarantined and decide
-    nothing.  A record of no customer follows its best key: the owner of the strongest owned key, else its strongest
-    key that isn't quarantined founds a journey of its own.
+def assigned(found: DataFrame) -> DataFrame:
+    """record_id, journey, by: the journey of every record.
+
+    Records that share a key are connected, over any number of records, but for keys that several customers
+    have shown: these are quarantined and connect nothing.  A record of a customer is in that customer's
+    journey.  The others of a connected part follow its only customer; a part of no customer is a
+    journey that its strongest key names.  Where a chain of keys connects several customers, a record
+    follows the owner of its own strongest owned key, and without one the part is a conflict of its own.  The
+    result doesn't depend on the order of arrival.
     """
-    customer = found.where("node_type = 'customer_id'").groupBy("record_id").agg(F.min("node_key").alias("customer"))
-    keys = found.where("node_type <> 'customer_id'")
-    shown = keys.join(customer, "record_id").groupBy("node_type", "node_key").agg(F.min("customer").alias("owner"), (F.min("customer") != F.max("customer")).alias("several"))
-    met = keys.join(shown, ["node_type", "node_key"], "left").where("not coalesce(several, false)")
-    best = F.max_by(F.struct("owner", "node_type", "node_key"), F.struct(F.col("owner").isNotNull(), "precedence", "node_key"))
-    follow = met.groupBy("record_id").agg(best.alias("b"))
-    out = found.select("record_id").distinct().join(customer, "record_id", "left").join(follow, "record_id", "left")
-    own = F.concat(F.col("b.node_type"), F.lit(":"), F.col("b.node_key"))
-    journey = F.coalesce(F.concat(F.lit("customer:"), F.coalesce("customer", "b.owner")), own)
-    by = F.when(F.col("customer").isNotNull(), "customer_id").when(F.col("b").isNotNull(), F.col("b.node_type")).otherwise("none")
+    customer, keys = customers(found), found.where("node_type <> 'customer_id'")
+    usable = stage(keys.join(shown_keys(found), ["node_type", "node_key"], "left").where("not coalesce(several, false)"), "keys")
+    roots = usable.groupBy("node_type", "node_key").agg(F.min("record_id").alias("a"))
+    joined = components(usable.join(roots, ["node_type", "node_key"]).select("a", F.col("record_id").alias("b")))
+    part = found.select("record_id").distinct().join(joined.withColumnRenamed("id", "record_id"), "record_id", "left")
+    part = part.join(customer, "record_id", "left").select("record_id", "customer", F.coalesce("component", "record_id").alias("component"))
+    owners = part.groupBy("component").agg(F.min("customer").alias("least"), F.max("customer").alias("most"))
+    own = usable.groupBy("record_id").agg(F.max_by("owner", F.when(F.col("owner").isNotNull(), F.struct("precedence", "node_key"))).alias("owner"), F.max(F.struct("precedence", "node_key", "node_type")).alias("best"))
+    known = part.join(own, "record_id", "left")
+    named = known.groupBy("component").agg(F.max("best").alias("named"))
+    out = known.join(owners, "component").join(named, "component")
+    one, several = F.col("least") == F.col("most"), F.col("least") != F.col("most")
+    by = (
+        F.when(F.col("customer").isNotNull(), "customer_id").when(F.col("owner").isNotNull(), "owned_key").when(one, "chain").when(several, "conflict")
+        .when(F.col("named").isNotNull(), "founded").otherwise("none")
+    )
+    journey = F.coalesce(
+        F.concat(F.lit("customer:"), F.coalesce("customer", "owner", F.when(one, F.col("least")))),
+        F.when(several, F.concat(F.lit("conflict:"), F.col("component").cast("string"))), F.concat("named.node_type", F.lit(":"), "named.node_key"),
+    )
     return out.select("record_id", journey.alias("journey"), by.alias("by"))
 
 
+def edges(found: DataFrame, journeys: DataFrame) -> DataFrame:
+    """One row per journey and node: precedence, first_at, last_at, is_active, conflict_code.
+
+    An edge is active when its journey is the node's best; a quarantined node's edges are never.
+    """
+    both = found.join(journeys.where("journey is not null"), "record_id")
+    rows = both.groupBy("journey", "node_type", "node_key").agg(F.max("precedence").alias("precedence"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("seen"))
+    best = best_journeys(found, journeys).select("node_type", "node_key", F.col("journey").alias("best"))
+    bad = shown_keys(found).where("several").select("node_type", "node_key", F.lit(True).alias("bad"))
+    rows = rows.join(best, ["node_type", "node_key"], "left").join(bad, ["node_type", "node_key"], "left")
+    code = F.when(F.col("bad"), "quarantined").when(F.col("best") != F.col("journey"), "other_journey")
+    return rows.withColumns({"conflict_code": code, "is_active": code.isNull()}).drop("best", "bad")
+
+
+def edge_order() -> list[Column]:
+    """Active edges first, the strongest first, then by kind and key."""
+    return [F.desc("is_active"), F.desc("precedence"), F.asc("node_type"), F.asc("node_key"), F.asc("first_at")]
+
+
+def find_journey(edged: DataFrame, node_type: str, node_key: str) -> DataFrame:
+    """The journey that a key belongs to: none or one row."""
+    return edged.where((F.col("node_type") == node_type) & (F.col("node_key") == node_key) & F.col("is_active")).select("journey", "node_type", "node_key").orderBy("journey").limit(1)
+
+
+def node_candidates(found: DataFrame, edged: DataFrame) -> DataFrame:
+    """node_type, node_key, journey, rank, last_at of all nodes with their active journeys, null where a node has none."""
+    active = edged.where("is_active").select("node_type", "node_key", "journey", F.col("precedence").alias("rank"), "last_at")
+    return found.select("node_type", "node_key").distinct().join(active, ["node_type", "node_key"], "left")
+
+
+def conflicts(edged: DataFrame, first: Column, before: Column, limit: int) -> DataFrame:
+    """The latest edges in conflict that were seen in the range."""
+    rows = edged.where(F.col("conflict_code").isNotNull() & (F.col("last_at") >= first) & (F.col("last_at") < before))
+    return rows.orderBy(F.desc("last_at"), "journey", "node_type", "node_key").limit(limit)
+
+
+def runs(found: DataFrame, records: DataFrame, journeys: DataFrame, edged: DataFrame) -> DataFrame:
+    """record_id, at, source, status, outcome_reason, rehomed, quarantined of every record's ingestion.
+
+    Nodes that went to another journey are rehomed.  A record without any key is completed as
+    missing_identifiers; one whose journey is a conflict is conflicted.
+    """
+    state = edged.select("journey", "node_type", "node_key", "conflict_code")
+    met = found.join(journeys, "record_id").join(state, ["journey", "node_type", "node_key"], "left")
+    per = met.groupBy("record_id").agg(F.count_if(F.col("conflict_code") == "other_journey").alias("rehomed"), F.count_if(F.col("conflict_code") == "quarantined").alias("quarantined"))
+    out = records.select("record_id", "at", "source").join(per, "record_id", "left").join(journeys.select("record_id", "by"), "record_id", "left")
+    zero = F.lit(0).cast("long")
+    missing = F.col("rehomed").isNull()
+    status = F.when(F.col("by") == "conflict", "conflicted").otherwise("completed")
+    return out.select("record_id", "at", "source", status.alias("status"), F.when(missing, "missing_identifiers").when(F.col("by") == "conflict", "several_customers").otherwise("linked").alias("outcome_reason"), F.coalesce("rehomed", zero).alias("rehomed"), F.coalesce("quarantined", zero).alias("quarantined"))
+
+
+def health(rows: DataFrame, *keys: Column) -> DataFrame:
+    """Counts of runs: total, linked, skipped, conflicted, with rehomed nodes, and the sums of rehomed and quarantined nodes."""
+    done = (F.col("status") == "completed") & (F.coalesce("outcome_reason", F.lit("linked")) != "missing_identifiers")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("total"), F.count_if(done).alias("linked"), F.count_if(F.col("outcome_reason") == "missing_identifiers").alias("skipped"),
+        F.count_if(F.col("status") == "conflicted").alias("conflicted"), F.count_if(F.col("rehomed") > 0).alias("merges"), total("rehomed").alias("rehomed"), total("quarantined").alias("quarantined"),
+    )
+
+
+def journey_documents(edged: DataFrame, sessions: DataFrame, orders: DataFrame) -> DataFrame:
+    """journey, edges, sessions, orders: a journey's nodes in their order, and its sessions and orders by time.
+
+    ``sessions`` and ``orders`` have journey and the columns (at, id).
+    """
+    less = F.struct((~F.col("is_active")).alias("inactive"), (-F.col("precedence")).alias("less"), "node_type", "node_key")
+    nodes_of = edged.groupBy("journey").agg(F.array_sort(F.collect_list(less)).alias("edges"))
+    listed = lambda df, name: df.groupBy("journey").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias(name))
+    out = nodes_of.join(listed(sessions, "sessions"), "journey", "left").join(listed(orders, "orders"), "journey", "left")
+    ids = lambda c: F.transform(F.coalesce(c, F.array().cast("array<struct<at:timestamp_ntz,id:string>>")), lambda x: x["id"])
+    return out.select("journey", F.transform("edges", lambda e: F.concat(e["node_type"], F.lit(":"), e["node_key"])).alias("edges"), ids(F.col("sessions")).alias("sessions"), ids(F.col("orders")).alias("orders"))
+
+
+def evidence_sessions(records: DataFrame) -> DataFrame:
+    """record_id, session_id: the session a record names and those that showed its checkout token.
+
+    A token's sessions are made distinct before they meet its records.
+    """
+    shown = records.where("checkout_token is not null").select("checkout_token", F.col("visit").alias("session_id")).distinct()
+    by_token = records.where("checkout_token is not null").select("record_id", "checkout_token").join(shown, "checkout_token").select("record_id", "session_id")
+    return records.where("session_id is not null").select("record_id", "session_id").union(by_token).distinct()
+
+
 def node_ranges(found: DataFrame) -> DataFrame:
     """First and last observation of every node, whatever the order of arrival."""
     return found.groupBy("node_type", "node_key").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("seen"))

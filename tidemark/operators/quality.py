@@ -84,6 +84,13 @@ def completeness(scope: DataFrame, results: DataFrame) -> DataFrame:
     return counted.select("total", "missing", have.alias("with_attribution"), F.when(F.col("total") > 0, have / F.col("total")).otherwise(1.0).alias("rate"))
 
 
+def processed_counts(expected: DataFrame, processed: DataFrame, key: str) -> DataFrame:
+    """key, expected, processed, remaining, matches of a backfill's sources."""
+    done = processed.groupBy(key).agg(F.count("*").alias("processed"))
+    out = expected.groupBy(key).agg(F.count("*").alias("expected")).join(done, key, "left").withColumn("processed", F.coalesce("processed", F.lit(0).cast("long")))
+    return out.select(key, "expected", "processed", F.greatest(F.col("expected") - F.col("processed"), F.lit(0)).alias("remaining"), (F.col("expected") == F.col("processed")).alias("matches"))
+
+
 def backlog(jobs: DataFrame, as_of: Column, stale_seconds: int) -> DataFrame:
     """pending, oldest_seconds, stale: of a queue at a time."""
     age = F.timestamp_diff("SECOND", F.col("available_at"), as_of)

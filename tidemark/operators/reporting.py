@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,28 @@ def filtered(rows: DataFrame, model: str | None = None, source: str | None = Non
     return rows if last is None else rows.where(F.col("metric_date") <= F.lit(last).cast("date"))
 
 
+def matches_or_null(c: Column, wanted: Column) -> Column:
+    """Whether a column has the wanted value; a wanted value of null is no condition."""
+    return wanted.isNull() | (c == wanted)
+
+
+def conversion_mode(rows: DataFrame) -> DataFrame:
+    """Order-value rows that are counted at conversion under the account's own attribution setting."""
+    return rows.where((F.col("action_report_time") == "conversion") & F.col("use_account_attribution_setting"))
+
+
+def by_status(status: Column, first: list[str]) -> Column:
+    """The place of a status in a list, the others after it."""
+    place = F.array_position(F.array(*[F.lit(s) for s in first]), status)
+    return F.when(place > 0, place).otherwise(len(first) + 1).asc()
+
+
+def top_slices(rows: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """slice, name, cents: the first few values of each dimension by revenue."""
+    parts = [totals(rows, c).orderBy(F.desc("revenue_cents"), c).limit(n).select(F.lit(c).alias("slice"), F.col(c).alias("name"), F.col("revenue_cents").alias("cents")) for c, n in sizes.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def totals(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.coalesce(F.sum(m), F.lit(0)).cast("long").alias(m) for m in MEASURES])
 
@@ -105,10 +129,14 @@ def campaign_table(rows: DataFrame, limit: int = 200) -> DataFrame:
 
 
 def channel_groups(rows: DataFrame) -> DataFrame:
-    """Spend by source and medium with its campaigns as a nested list, and the channel's share of all spend."""
+    """Spend by source and medium with its campaigns as a nested list, the largest first; each row has the grand total and whether it is the top channel."""
     spent = totals(rows, "source", "medium", "campaign").where("spend_cents > 0")
     nested = spent.groupBy("source", "medium").agg(F.sum("spend_cents").alias("spend_cents"), F.count("*").alias("campaigns"), F.array_sort(F.collect_list(F.struct((-F.col("spend_cents")).alias("less"), "campaign"))).alias("list"))
-    return nested.select("source", "medium", "spend_cents", "campaigns", F.transform("list", lambda x: x["campaign"]).alias("campaign_names"))
+    whole = spent.groupBy("source", "medium").agg(F.sum("spend_cents").alias("c")).agg(F.sum("c").alias("grand_cents"), F.min(F.struct((-F.col("c")).alias("less"), "source", "medium")).alias("top"))
+    out = nested.join(F.broadcast(whole))  # one row
+    top = (F.col("source") == F.col("top.source")) & (F.col("medium") == F.col("top.medium"))
+    named = out.select("source", "medium", "spend_cents", "campaigns", F.transform("list", lambda x: x["campaign"]).alias("campaign_names"), "grand_cents", top.alias("is_top"))
+    return named.orderBy(F.desc("spend_cents"), "source", "medium")
 
 
 def timeseries(rows: DataFrame, bucket: str = "day") -> DataFrame:
@@ -143,6 +171,6 @@ def primary_credit(orders: DataFrame, credited: DataFrame, model: str) -> DataFr
 
 def page(rows: DataFrame, keys: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """A page of ordered rows; ``has_more`` tells whether a further row exists."""
-    taken = rows.orderBy(*keys).offset(offset).limit(limit + 1)
-    more = taken.count() > limit
-    return taken.orderBy(*keys).limit(limit).withColumn("has_more", F.lit(more))
+    taken = rows.orderBy(*keys).offset(offset).limit(limit + 1)  # limit + 1 rows, so that one window over them is small
+    placed = taken.withColumn("__at", F.row_number().over(Window.orderBy(*keys))).withColumn("has_more", F.count("*").over(Window.partitionBy()) > limit)
+    return placed.where(F.col("__at") <= limit).drop("__at")

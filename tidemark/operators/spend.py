@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,22 @@ def null_rate_anomalies(values: DataFrame, day: str, column: str) -> DataFrame:
     return out.where((F.col("rows") >= LEAST_ROWS) & (rate >= NULL_RATE) & (rate - base >= NULL_RATE_OVER_BASELINE)).select(day, "rows", "nulls")
 
 
+def entity_extracts(tables: dict[str, DataFrame], kinds: list[str]) -> DataFrame:
+    """platform, account_id, kind, entity, name, report_date of every entity that a platform's spend rows name."""
+    parts = []
+    for platform, rows in tables.items():
+        name = lambda k, rows=rows: F.col(f"{k}_name") if f"{k}_name" in rows.columns else F.lit(None).cast("string")
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_id").alias("entity"), name(k).alias("name")) for k in kinds]))
+        parts.append(rows.select(F.lit(platform).alias("platform"), "account_id", "report_date", each.alias("e")).select("platform", "account_id", "report_date", "e.*").where("entity is not null"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def with_names(rows: DataFrame, metadata: DataFrame, creatives: DataFrame) -> DataFrame:
+    """Adds entity_name by (platform, account, campaign) and creative_name by creative, where known."""
+    known = metadata.where("kind = 'campaign'").select("platform", "account_id", F.col("entity").alias("campaign_id"), F.col("name").alias("entity_name"))
+    return rows.join(known, ["platform", "account_id", "campaign_id"], "left").join(creatives, "creative_id", "left")
+
+
 def collapse_metadata(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, latest_name (the last that isn't blank), last_seen; needs name, seen and ordinal."""
     named = F.trim("name") != ""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import attribution as A
+from tidemark.operators import hints as H
 from tidemark.operators import reporting as R
 from tidemark.plans.base_sql import over, over_credits
 from tidemark.plans.registry import query
@@ -100,25 +101,64 @@ def c08(spark, sf_dir):
     return credited(spark, sf_dir).groupBy("order_id", "model").agg(F.sum("credit_cents").alias("credited"), F.max("cents").alias("cents"), F.count_if("is_primary").alias("primaries"))
 
 
-TIERS_SQL = """,
-hint AS (SELECT order_id, session_id, ts, click_value, 'shopify_marketing_hint' AS evidence FROM tok WHERE click_value IS NOT NULL OR event_id % 3 = 0),
-ga AS (SELECT order_id, session_id, ts, click_value, 'ga4_fallback' AS evidence FROM ident WHERE event_id % 2 = 0),
-fp AS (SELECT * FROM cand WHERE evidence = 'landing_session_id'),
+TRACKED = "touch AS (SELECT * FROM ev WHERE event_type IN ('view', 'click', 'signup') AND user_id % 3 > 0)"
+HINTED = "CASE order_id % 7 WHEN 1 THEN 'g1' WHEN 4 THEN 'T1' END"
+TIERS_SQL = f""",
+alltouch AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS rn, min(ts) OVER (PARTITION BY session_id) AS first_seen FROM ev WHERE event_type IN ('view', 'click', 'signup') AND user_id % 4 = 0),
+hint AS (SELECT order_id, 'hint:' || CAST(order_id AS VARCHAR) AS session_id, ts, {HINTED} AS click_value, 'shopify_marketing_hint' AS evidence FROM ord WHERE order_id % 7 < 5),
+ga AS (SELECT o.order_id, s.session_id, s.first_seen AS ts, s.source, s.click_value, 'ga4_fallback' AS evidence FROM ord o JOIN alltouch s ON s.rn = 1 AND o.user_id = s.user_id AND s.first_seen <= o.ts AND s.first_seen >= o.ts - INTERVAL 7 DAY),
 ranked AS (
-  SELECT order_id, 0 AS tier, evidence, session_id, row_number() OVER (PARTITION BY order_id ORDER BY is_direct, ts DESC, prec, has_click DESC, session_id) AS rn FROM fp
-  UNION ALL SELECT order_id, 1, evidence, session_id, row_number() OVER (PARTITION BY order_id ORDER BY click_value IS NOT NULL DESC, ts DESC, session_id) FROM hint
-  UNION ALL SELECT order_id, 2, evidence, session_id, row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, click_value IS NOT NULL DESC, session_id) FROM ga),
-best AS (SELECT order_id, min_by(evidence, tier) AS evidence, min_by(session_id, tier) AS session_id, min(tier) AS tier FROM ranked WHERE rn = 1 GROUP BY 1)
-SELECT o.order_id, CASE coalesce(b.tier, 3) WHEN 0 THEN 'deterministic_first_party' WHEN 1 THEN 'deterministic_shopify_hint' WHEN 2 THEN 'ga4_fallback' ELSE 'unattributed' END AS tier,
-  b.session_id, CASE b.evidence WHEN 'landing_session_id' THEN 1.0 WHEN 'shopify_marketing_hint' THEN 0.55 WHEN 'ga4_fallback' THEN 0.35 ELSE 0.0 END::DOUBLE AS confidence
-FROM ord o LEFT JOIN best b USING (order_id)
+  SELECT order_id, 0 AS tier, evidence, session_id, is_direct, row_number() OVER (PARTITION BY order_id ORDER BY is_direct, ts DESC, prec, has_click DESC, session_id) AS rn FROM dedup
+  UNION ALL SELECT order_id, 1, evidence, session_id, FALSE, row_number() OVER (PARTITION BY order_id ORDER BY click_value IS NOT NULL DESC, ts DESC, session_id) FROM hint
+  UNION ALL SELECT order_id, 2, evidence, session_id, source IS NULL AND click_value IS NULL, row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, click_value IS NOT NULL DESC, session_id) FROM ga),
+best AS (SELECT order_id, min_by(evidence, tier) AS evidence, min_by(session_id, tier) AS session_id, min_by(is_direct, tier) AS is_direct, min(tier) AS tier FROM ranked WHERE rn = 1 GROUP BY 1),
+tiered AS (SELECT o.order_id, o.source_name, CASE coalesce(b.tier, 3) WHEN 0 THEN 'deterministic_first_party' WHEN 1 THEN 'deterministic_shopify_hint' WHEN 2 THEN 'ga4_fallback' ELSE 'unattributed' END AS tier, b.evidence, b.session_id, b.is_direct,
+  CASE b.evidence WHEN 'landing_session_id' THEN 1.0 WHEN 'checkout_token' THEN 1.0 WHEN 'cart_token' THEN 0.9 WHEN 'customer_identity' THEN 0.6 WHEN 'shopify_marketing_hint' THEN 0.55 WHEN 'ga4_fallback' THEN 0.35 ELSE 0.0 END::DOUBLE AS confidence
+  FROM ord o LEFT JOIN best b USING (order_id))
 """
 
 
-@query("c11_tier_resolution", over_credits("").rstrip() + TIERS_SQL)
+def over_tiers(select: str) -> str:
+    """A query over tiered orders, where browsers of every third user aren't tracked."""
+    whole = over_credits("").rstrip() + TIERS_SQL.rstrip() + "\n" + select
+    return whole.replace("touch AS (SELECT * FROM ev WHERE event_type IN ('view', 'click', 'signup'))", TRACKED, 1)
+
+
+def tracked(spark, sf_dir):
+    """Sessions and touches of tracked browsers."""
+    return V.sessions(spark, sf_dir).where("user_id % 3 > 0"), V.touches(spark, sf_dir).where("user_id % 3 > 0")
+
+
+def with_attributes(spark, sf_dir):
+    """Orders with the attributes and landing site that a shop's checkout adds."""
+    entry = lambda name, value: F.array(F.struct(F.lit(name).alias("name"), F.lit(value).alias("value")))
+    r = F.col("order_id") % 7
+    both = F.concat(entry("utm_source", "Facebook"), entry("utm_medium", "Paid Social"))
+    notes = F.when(r == 0, both).when(r == 1, entry("app_gclid", " g1 ")).when(r == 2, entry("landing_url", "/x?utm_source=bing&utm_campaign=Big+Sale#top")).when(r == 5, entry("utm_source", " "))
+    legacy = F.when(r == 3, entry("utm_source", "newsletter"))
+    explicit = F.when(F.col("order_id") % 5 == 0, F.col("session_id")).when(F.col("order_id") % 5 == 1, "nobody:2024-01-01")
+    site = F.when(r == 4, "https://shop.example/?utm_source=tiktok&ttclid=T1")
+    return V.orders(spark, sf_dir).withColumns({"note_attributes": notes, "attributes": legacy, "landing_site": site, "explicit_session": explicit})
+
+
+def tiers(spark, sf_dir):
+    orders = with_attributes(spark, sf_dir)
+    sessions, touches = tracked(spark, sf_dir)
+    hints = H.hints(orders).join(orders.select("order_id", "ts"), "order_id").withColumns({"evidence": F.lit("shopify_marketing_hint"), "is_direct": F.lit(False), "session_id": F.concat(F.lit("hint:"), F.col("order_id").cast("string")), "event_id": F.col("order_id")})
+    warehouse = V.sessions(spark, sf_dir).where("user_id % 4 = 0")
+    ga4 = A.identity_sessions(orders, warehouse).withColumn("evidence", F.lit("ga4_fallback")).withColumn("is_direct", A.is_direct())
+    found = A.dedupe_by_session(A.candidates(orders, sessions, touches))
+    return A.resolve_tiers(orders, found, hints, ga4)
+
+
+@query("c11_tier_resolution", over_tiers("SELECT order_id, tier, evidence, session_id, is_direct, confidence FROM tiered"))
 def c11(spark, sf_dir):
-    orders, touches, sessions = V.orders(spark, sf_dir), V.touches(spark, sf_dir), V.sessions(spark, sf_dir)
-    first = A.candidates(orders, sessions, touches).where("evidence = 'landing_session_id'")
-    hints = A.latest_by_token(orders, touches, "checkout_token").where("click_value is not null or event_id % 3 = 0").withColumn("evidence", F.lit("shopify_marketing_hint")).withColumn("is_direct", A.is_direct())
-    ga4 = A.identity_sessions(orders, sessions).where("event_id % 2 = 0").withColumn("evidence", F.lit("ga4_fallback")).withColumn("is_direct", A.is_direct())
-    return A.resolve_tiers(orders, first, hints, ga4).select("order_id", "tier", "session_id", "confidence")
+    return tiers(spark, sf_dir).select("order_id", "tier", "evidence", "session_id", "is_direct", "confidence")
+
+
+@query("w11_deduped_candidates", over_tiers("SELECT order_id, session_id, evidence FROM (SELECT *, row_number() OVER (PARTITION BY order_id, session_id ORDER BY ts DESC, click_value IS NOT NULL DESC, evidence) AS rn FROM (SELECT order_id, session_id, ts, click_value, 'ga4_fallback' AS evidence FROM ga UNION ALL SELECT order_id, session_id, ts - INTERVAL 1 HOUR, click_value, 'older' FROM ga)) WHERE rn = 1"))
+def w11(spark, sf_dir):
+    orders = V.orders(spark, sf_dir)
+    ga4 = A.identity_sessions(orders, V.sessions(spark, sf_dir).where("user_id % 4 = 0")).withColumn("evidence", F.lit("ga4_fallback")).withColumn("is_direct", A.is_direct())
+    older = ga4.withColumns({"ts": F.col("ts") - F.expr("interval 1 hour"), "evidence": F.lit("older")})
+    return A.dedupe_by_source(ga4.unionByName(older), 2).select("order_id", "session_id", "evidence")

@@ -100,7 +100,7 @@ cube AS (
 
 def over(select: str, *ctes: str) -> str:
     """A query over the views and further CTEs."""
-    return "WITH " + ",\n".join(c.strip() for c in (VIEWS, *ctes)) + "\n" + select.strip()
+    return "WITH RECURSIVE " + ",\n".join(c.strip() for c in (VIEWS, *ctes)) + "\n" + select.strip()
 
 
 def over_credits(select: str) -> str:

@@ -11,12 +11,22 @@ from tidemark.plans.registry import query
 from tidemark.sources import views as V
 
 NODES = """
-rec AS (SELECT event_id AS record_id, ts AS seen_at, CASE WHEN k % 4 = 0 THEN CAST(user_id AS VARCHAR) END AS customer_id, CASE WHEN k % 3 = 0 THEN sha256(CAST(user_id % 60 AS VARCHAR)) END AS email_hash, CASE WHEN k % 5 = 0 THEN 'p' || CAST(user_id AS VARCHAR) END AS phone_hash, checkout_token, session_id FROM ev WHERE event_type <> 'error'),
+rec AS (SELECT event_id AS record_id, ts AS seen_at, event_type AS source, user_id, session_id AS visit, CASE WHEN k % 4 = 0 AND user_id % 5 <> 0 THEN CAST(user_id AS VARCHAR) END AS customer_id, CASE WHEN k % 3 = 0 THEN sha256(CAST(user_id % 60 AS VARCHAR)) END AS email_hash, CASE WHEN k % 5 = 0 AND user_id % 3 > 0 THEN 'p' || CAST(user_id AS VARCHAR) END AS phone_hash,
+  CASE WHEN k % 50 = 9 THEN 't' || CAST(event_id % 300 AS VARCHAR) WHEN k % 10 < 2 THEN 't' || CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 4 AS VARCHAR) END AS checkout_token, CASE WHEN k % 6 > 0 THEN session_id END AS session_id FROM ev WHERE event_type <> 'error'),
 nod AS (SELECT record_id, seen_at, 'customer_id' AS node_type, customer_id AS node_key, 100 AS precedence FROM rec WHERE customer_id IS NOT NULL UNION ALL SELECT record_id, seen_at, 'email_hash', email_hash, 70 FROM rec WHERE email_hash IS NOT NULL
-  UNION ALL SELECT record_id, seen_at, 'phone_hash', phone_hash, 60 FROM rec WHERE phone_hash IS NOT NULL UNION ALL SELECT record_id, seen_at, 'checkout_token', checkout_token, 40 FROM rec UNION ALL SELECT record_id, seen_at, 'session_id', session_id, 20 FROM rec),
+  UNION ALL SELECT record_id, seen_at, 'phone_hash', phone_hash, 60 FROM rec WHERE phone_hash IS NOT NULL UNION ALL SELECT record_id, seen_at, 'checkout_token', checkout_token, 40 FROM rec WHERE checkout_token IS NOT NULL UNION ALL SELECT record_id, seen_at, 'session_id', session_id, 20 FROM rec WHERE session_id IS NOT NULL),
 shown AS (SELECT n.node_type, n.node_key, min(r.customer_id) AS owner, count(DISTINCT r.customer_id) AS owners FROM nod n JOIN rec r USING (record_id) WHERE n.node_type <> 'customer_id' AND r.customer_id IS NOT NULL GROUP BY 1, 2),
-follow AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY owner IS NOT NULL DESC, precedence DESC, node_key DESC) AS rn FROM (SELECT n.record_id, n.node_type, n.node_key, n.precedence, s.owner FROM nod n LEFT JOIN shown s USING (node_type, node_key) WHERE n.node_type <> 'customer_id' AND coalesce(s.owners, 0) < 2)),
-asg AS (SELECT r.record_id, r.seen_at, CASE WHEN coalesce(r.customer_id, f.owner) IS NOT NULL THEN 'customer:' || coalesce(r.customer_id, f.owner) ELSE f.node_type || ':' || f.node_key END AS journey, CASE WHEN r.customer_id IS NOT NULL THEN 'customer_id' ELSE coalesce(f.node_type, 'none') END AS by_kind FROM rec r LEFT JOIN follow f ON f.record_id = r.record_id AND f.rn = 1)
+usable AS (SELECT n.record_id, n.node_type, n.node_key, n.precedence, s.owner FROM nod n LEFT JOIN shown s USING (node_type, node_key) WHERE n.node_type <> 'customer_id' AND coalesce(s.owners, 0) < 2),
+near AS (SELECT a.record_id AS x, b.record_id AS y FROM usable a JOIN (SELECT node_type, node_key, min(record_id) AS record_id FROM usable GROUP BY 1, 2) b USING (node_type, node_key)),
+both_ways AS (SELECT x, y FROM near UNION SELECT y, x FROM near),
+reach AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+part AS (SELECT d.record_id, r.seen_at, r.customer_id, coalesce(c.component, d.record_id) AS component FROM (SELECT DISTINCT record_id FROM nod) d JOIN rec r USING (record_id) LEFT JOIN (SELECT x AS record_id, min(y) AS component FROM reach GROUP BY 1) c USING (record_id)),
+own AS (SELECT record_id, arg_max(owner, (precedence, node_key)) AS owner FROM usable WHERE owner IS NOT NULL GROUP BY 1),
+owners AS (SELECT component, min(customer_id) AS least, max(customer_id) AS most FROM part GROUP BY 1),
+named AS (SELECT component, arg_max(node_type || ':' || node_key, (precedence, node_key, node_type)) AS name FROM part JOIN usable USING (record_id) GROUP BY 1),
+asg AS (SELECT p.record_id, p.seen_at, CASE WHEN coalesce(p.customer_id, o.owner, CASE WHEN w.least = w.most THEN w.least END) IS NOT NULL THEN 'customer:' || coalesce(p.customer_id, o.owner, w.least) WHEN w.least <> w.most THEN 'conflict:' || CAST(component AS VARCHAR) ELSE n.name END AS journey,
+  CASE WHEN p.customer_id IS NOT NULL THEN 'customer_id' WHEN o.owner IS NOT NULL THEN 'owned_key' WHEN w.least = w.most THEN 'chain' WHEN w.least <> w.most THEN 'conflict' WHEN n.name IS NOT NULL THEN 'founded' ELSE 'none' END AS by_kind
+  FROM part p LEFT JOIN own o USING (record_id) LEFT JOIN owners w USING (component) LEFT JOIN named n USING (component))
 """
 
 
@@ -24,13 +34,18 @@ def _us(c):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def found(spark, sf_dir):
-    k, user = F.col("k"), F.col("user_id")
-    rows = V.events(spark, sf_dir).where("event_type <> 'error'").select(
-        F.col("event_id").alias("record_id"), F.col("ts").alias("at"), F.when(k % 4 == 0, user.cast("string")).alias("customer_id"), F.when(k % 3 == 0, F.sha2((user % 60).cast("string"), 256)).alias("email_hash"),
-        F.when(k % 5 == 0, F.concat(F.lit("p"), user.cast("string"))).alias("phone_hash"), "checkout_token", "session_id",
+def records(spark, sf_dir):
+    k, user, event = F.col("k"), F.col("user_id"), F.col("event_id")
+    token = F.when(k % 50 == 9, F.concat(F.lit("t"), (event % 300).cast("string"))).when(k % 10 < 2, F.concat(F.lit("t"), user.cast("string"), F.lit("-"), (event % 4).cast("string")))
+    return V.events(spark, sf_dir).where("event_type <> 'error'").select(
+        event.alias("record_id"), F.col("ts").alias("at"), F.col("event_type").alias("source"), "user_id", F.col("session_id").alias("visit"), F.when((k % 4 == 0) & (user % 5 != 0), user.cast("string")).alias("customer_id"),
+        F.when(k % 3 == 0, F.sha2((user % 60).cast("string"), 256)).alias("email_hash"), F.when((k % 5 == 0) & (user % 3 > 0), F.concat(F.lit("p"), user.cast("string"))).alias("phone_hash"),
+        token.alias("checkout_token"), F.when(k % 6 > 0, F.col("session_id")).alias("session_id"),
     )
-    return I.nodes(rows)
+
+
+def found(spark, sf_dir):
+    return I.nodes(records(spark, sf_dir))
 
 
 @query("f53_identity_nodes", over("SELECT record_id, node_type, node_key, CAST(precedence AS INTEGER) AS precedence FROM nod", NODES))

@@ -113,7 +113,7 @@ def a07(spark, sf_dir):
     return R.totals(R.filtered(cube(spark, sf_dir), model="linear"), "source", "medium", "campaign").where("spend_cents > 0").select("source", "medium", "campaign", "spend_cents", "clicks")
 
 
-@query("a08_channel_groups", over_cube("SELECT source, medium, CAST(sum(s) AS BIGINT) AS spend_cents, count(*) AS campaigns, string_agg(campaign, ',' ORDER BY s DESC, campaign) AS campaign_names FROM (SELECT source, medium, campaign, sum(spend_cents) AS s FROM cube WHERE model = 'linear' GROUP BY ALL HAVING sum(spend_cents) > 0) GROUP BY 1, 2"))
+@query("a08_channel_groups", over_cube("SELECT source, medium, CAST(sum(s) AS BIGINT) AS spend_cents, count(*) AS campaigns, string_agg(campaign, ',' ORDER BY s DESC, campaign) AS campaign_names, CAST(sum(sum(s)) OVER () AS BIGINT) AS grand_cents, row_number() OVER (ORDER BY sum(s) DESC, source, medium) = 1 AS is_top FROM (SELECT source, medium, campaign, sum(spend_cents) AS s FROM cube WHERE model = 'linear' GROUP BY ALL HAVING sum(spend_cents) > 0) GROUP BY 1, 2"))
 def a08(spark, sf_dir):
     return R.channel_groups(R.filtered(cube(spark, sf_dir), model="linear")).withColumn("campaign_names", F.array_join("campaign_names", ","))
 
@@ -130,13 +130,17 @@ def f25(spark, sf_dir):
     return R.kpis(R.totals(R.filtered(cube(spark, sf_dir), model="linear"), "source")).select("source", *R.MEASURES, "conversion_rate", "roas", "blended_cac", "click_through_rate", "new_customer_rate")
 
 
-@query("f26_model_deltas", over_cube("""SELECT metric, baseline, comparison, comparison - baseline AS absolute_delta, CASE WHEN baseline <> 0 THEN (comparison - baseline) / baseline END AS relative_delta FROM (
-  SELECT metric, max(CASE WHEN model = 'first_touch' THEN v END) AS baseline, max(CASE WHEN model = 'linear' THEN v END) AS comparison FROM (
-    SELECT model, 'revenue_cents' AS metric, CAST(sum(revenue_cents) AS DOUBLE) AS v FROM cube WHERE source = 'google' GROUP BY 1
-    UNION ALL SELECT model, 'orders_e8', CAST(sum(orders_e8) AS DOUBLE) FROM cube WHERE source = 'google' GROUP BY 1
-    UNION ALL SELECT model, 'visits', CAST(sum(visits) AS DOUBLE) FROM cube WHERE source = 'google' GROUP BY 1) GROUP BY 1)"""))
+DELTA_METRICS = {
+    "visits": "CAST(visits AS DOUBLE)", "orders_e8": "CAST(orders_e8 AS DOUBLE)", "revenue_cents": "CAST(revenue_cents AS DOUBLE)", "spend_cents": "CAST(spend_cents AS DOUBLE)", "impressions": "CAST(impressions AS DOUBLE)", "clicks": "CAST(clicks AS DOUBLE)",
+    "conversion_rate": "conversion_rate", "roas": "roas", "new_customer_rate": "new_customer_rate",
+}
+DELTAS = " UNION ALL ".join(f"SELECT model, '{m}' AS metric, {c} AS v FROM rated" for m, c in DELTA_METRICS.items())
+
+
+@query("f26_model_deltas", over_cube("").rstrip() + f""", rated AS (SELECT model, {M}, {RATES} FROM (SELECT model, {SUMS} FROM cube WHERE source = 'google' GROUP BY 1))
+  SELECT metric, baseline, comparison, comparison - baseline AS absolute_delta, CASE WHEN baseline <> 0 THEN (comparison - baseline) / baseline END AS relative_delta FROM (SELECT metric, max(CASE WHEN model = 'first_touch' THEN v END) AS baseline, max(CASE WHEN model = 'linear' THEN v END) AS comparison FROM ({DELTAS}) GROUP BY 1)""")
 def f26(spark, sf_dir):
-    return R.compare_models(R.filtered(cube(spark, sf_dir), source="google"), "first_touch", "linear", ["revenue_cents", "orders_e8", "visits"])
+    return R.compare_models(R.filtered(cube(spark, sf_dir), source="google"), "first_touch", "linear", list(DELTA_METRICS))
 
 
 @query("a37_revenue_share", over_cube("SELECT campaign, CAST(r AS BIGINT) AS revenue_cents, CASE WHEN t > 0 THEN floor(CAST(r AS DOUBLE) * 10000 / t + 0.5) / 100.0::DOUBLE ELSE 0.0::DOUBLE END AS share FROM (SELECT campaign, sum(revenue_cents) AS r, CAST(sum(sum(revenue_cents)) OVER () AS DOUBLE) AS t FROM cube WHERE model = 'linear' GROUP BY 1)"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions.time import local_date
+
 #: Events may be so old, and so far ahead of the clock.
 MAX_AGE, MAX_SKEW = "24 hours", "300 seconds"
 
@@ -20,6 +23,49 @@ def fingerprint(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
+def identified(events: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds event_key: the client's id of an event, else its fingerprint."""
+    return events.withColumn("event_key", F.coalesce(F.nullif(F.trim("client_event_id"), F.lit("")), fingerprint(columns)))
+
+
+def judged_batch(events: DataFrame, known: DataFrame, as_of: Column, order: str) -> DataFrame:
+    """Adds outcome: why an event isn't admitted, duplicate of a known one or of an earlier one of the batch, or accepted."""
+    first = F.row_number().over(Window.partitionBy("event_key").orderBy(order)) == 1
+    old = known.select("event_key").distinct().withColumn("__known", F.lit(True))
+    rows = events.withColumn("__first", first).join(old, "event_key", "left")
+    outcome = F.coalesce(rejection(F.col("ts"), as_of), F.when(~F.col("__first") | F.col("__known").isNotNull(), "duplicate"), F.lit("accepted"))
+    return rows.withColumn("outcome", outcome).drop("__first", "__known")
+
+
+def refresh_requests(accepted: DataFrame, orders: DataFrame) -> DataFrame:
+    """kind, key of what a batch makes stale: local days of the cube, and orders of the batch's sessions."""
+    days = accepted.select(F.lit("cube_day").alias("kind"), local_date(F.col("ts")).cast("string").alias("key"))
+    touched = orders.join(accepted.select("session_id").distinct(), "session_id", "left_semi").select(F.lit("order").alias("kind"), F.col("order_id").cast("string").alias("key"))
+    return days.union(touched).distinct()
+
+
+def ingest(batch: DataFrame, path: str, number: int, columns: list[str], as_of: Column) -> None:
+    """One batch of a stream: judge, keep what is accepted, and write the batch's events, partial sessions and rejects.
+
+    All parts are written under the batch's number, so that a repeated batch replaces itself.  Known
+    events are those of other batches.
+    """
+    spark = batch.sparkSession
+    put = lambda df, name: df.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/{name}")
+    rows = identified(batch, columns)
+    try:
+        known = spark.read.parquet(f"{path}/events").where(F.col("batch") != number)
+    except AnalysisException:  # the first batch
+        known = rows.limit(0)
+    judged = judged_batch(rows, known, as_of, "ts").persist()
+    accepted = judged.where("outcome = 'accepted'").drop("outcome")
+    put(accepted, "events")
+    put(accepted.groupBy("session_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("events")), "sessions")
+    put(judged.where("outcome <> 'accepted'"), "rejected")
+    put(accepted.select(local_date(F.col("ts")).alias("day")).distinct(), "stale_days")
+    judged.unpersist()
+
+
 def deduplicated(events: DataFrame, keys: list[str], ts: str = "ts", delay: str = MAX_AGE) -> DataFrame:
     """Events without those that repeat the keys within the watermark; state older than it is dropped."""
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
