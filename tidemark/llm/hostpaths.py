@@ -1,18 +1,23 @@
 """Main text of web pages by consensus host paths.
 
-A page is read into text blocks, each under a path of containers (tags with their first class,
+A page is read once into text blocks, each under a path of containers (tags with their first class,
 digits generalised).  Every container is scored by the text of its own blocks less its links;
 a container passes half of that to its parent and a quarter to its grandparent.  The best container
 gives way to the outermost article or main element that holds most of the page's text, or else to its
-highest ancestor that holds no boilerplate and adds no text that is mostly links.  Each page votes
-for that path, Spark adds up the votes of a host's pages, and every page is extracted again under its
-host's winning path.  A page with under half of the text there that its own path has keeps its own path.
+highest ancestor that adds a heading, or that holds no boilerplate and adds no text that is mostly links.  Each page
+votes for that path, Spark adds up the votes of a host's pages, and the blocks of every page are taken again under
+its host's winning path.  A page with under a quarter of the text there that its own path has is
+of another layout, and keeps its own path.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are recognised by tag, role, class and id, and never count or come out.
+Menus, headers, footers, sidebars, forms, scripts, styles and hidden parts are recognised by tag, role and
+state, and never count or come out.  Class and id names are weaker evidence: a container that a name makes
+a notice, an advert or the like is left out unless it holds an article or most of the page's
+text; only names of reader comments are final.  Headings are never left out by name, paragraphs only by those
+of adverts and notices.
 
 Defined results: null or empty html gives the empty text; pages without a host share the host '';
-ties between paths go to the path that sorts first; unclosed elements end with their container or the page.
+ties between paths go to the path that sorts first; unclosed elements end with their container or the page;
+rows that repeat a page_id are pages of their own.
 """
 
 from __future__ import annotations
@@ -23,43 +28,67 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import stage, table
 from tidemark.session import ship
 
-SALTS = 32
+#: Up to so many hosts, of about 100 bytes each, their paths are sent to all tasks; beyond, texts are dealt out by host and salt.
+BROADCAST_HOSTS, SALTS = 50_000, 32
+#: A page keeps its own path when its host's has less than one part in so many of the text.
+OTHER_LAYOUT = 4
+PARSED = "page_id long, url string, host string, own string, paths array<string>, at array<int>, texts array<string>"
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^>]*(?:>|$)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+#: Elements whose content is no markup, and elements whose content is none of the text.
+UNPARSED = frozenset("script style textarea title".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select option button audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("html body div section article main aside nav header footer form fieldset table tbody thead tfoot tr td th ul ol dl li dd blockquote figure details dialog center menu head".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre dt figcaption caption address summary legend hr br".split())
 BOILERPLATE_TAGS = frozenset("nav aside footer form dialog head menu".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-BOILERPLATE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc "
-    "header masthead topbar footer sidebar aside rail widget widgets "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup login "
-    "comment comments reply replies respond responses disqus discussion "
+COMMENT_NAMES = frozenset("comment comments reply replies respond responses disqus discussion".split())
+#: Names of adverts and notices, which hold for paragraphs as well; of page heads, which words of articles cancel; and others.
+ADVERT_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors cookie cookies consent gdpr newsletter".split())
+HEAD_NAMES = frozenset("header masthead banner topbar promo promotion".split())
+OTHER_NAMES = frozenset(
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc footer sidebar aside rail widget widgets "
+    "notice notices notification alert popup modal overlay subscribe signup login "
     "share sharing social related recommended recommendations trending toolbar search skip".split()
 )
+ARTICLE_NAMES = frozenset("article body content entry headline main post story text title".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 
 
-def boilerplate(tag: str, attributes: dict[str, str], inside_content: bool) -> bool:
+def names_of(attributes: dict[str, str]) -> set[str]:
+    return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower()))
+
+
+def boilerplate(tag: str, attributes: dict[str, str], inside_content: bool) -> str | None:
+    """``never`` for what is no article by tag, role or state, ``comment`` by name, ``doubt`` by other names, else None."""
     if tag in BOILERPLATE_TAGS or tag == "header" and not inside_content:
-        return True
+        return "never"
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
+        return "never"
     if attributes.get("role", "").lower() in BOILERPLATE_ROLES:
-        return True
-    if tag in CONTENT_TAGS and not inside_content or tag in ("html", "body"):
-        return False
-    names = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower())
-    return not BOILERPLATE_NAMES.isdisjoint(names)
+        return "never"
+    if tag in ("html", "body") or tag in HEADINGS:
+        return None
+    names = names_of(attributes)
+    if names & COMMENT_NAMES:
+        return "comment"
+    if tag in CONTENT_TAGS:
+        return None
+    if names & ADVERT_NAMES:
+        return "doubt"
+    if tag == "p":
+        return None
+    if names & OTHER_NAMES or names & HEAD_NAMES and not inside_content and not names & ARTICLE_NAMES:
+        return "doubt"
+    return None
 
 
 def step(tag: str, attributes: dict[str, str]) -> str:
@@ -68,12 +97,41 @@ def step(tag: str, attributes: dict[str, str]) -> str:
     return f"{tag}.{re.sub(r'[0-9]+', '#', first[0].lower())}" if first else tag
 
 
-def read(page: str | None, marked: set[str]) -> list[tuple[str, str, int]]:
-    """(path, text, characters in links) of the blocks that aren't boilerplate, in page order; ``marked`` gets the paths right around boilerplate."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, boilerplate, inside content
+def skip_raw(page: str, position: int, tag: str, around: str) -> int:
+    """Where reading goes on after the start of a RAW element: behind its end, or where the container around it ends first."""
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, position)
+    if tag in UNPARSED or not around:
+        return end.end() if end else len(page)
+    depth = 0
+    for match in re.compile(rf"<(/?){re.escape(around)}(?=[\s/>])", re.IGNORECASE).finditer(page, position):
+        if end and end.start() < match.start():
+            break
+        depth += -1 if match[1] else 1
+        if depth < 0:
+            return match.start()
+    return end.end() if end else len(page)
+
+
+class Block:
+    """A run of text: its container's path, the characters that stand in links, whether it is a heading, and the doubtful containers it stands in."""
+
+    __slots__ = ("doubts", "heading", "links", "path", "text")
+
+    def __init__(self, path: str, text: str, links: int, heading: bool, doubts: tuple[int, ...]):
+        self.path, self.text, self.links, self.heading, self.doubts = path, text, links, heading, doubts
+
+
+def read(page: str | None) -> tuple[list[Block], set[str]]:
+    """The blocks of a page in order without boilerplate, and the paths of containers right around boilerplate."""
+    out: list[Block] = []
+    marked: set[str] = set()
+    # tag, path, left out, inside content, doubtful containers around
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = [("", "", False, False, ())]
+    doubtful: list[str] = []  # the path around each doubtful container
+    articles: set[int] = set()  # doubtful containers that hold an article or main element
     parts: list[str] = []
     links = position = anchors = 0
+    heading = False
     hidden = None  # an inline or paragraph element that is boilerplate: its tag and depth
     page = page or ""
 
@@ -82,7 +140,7 @@ def read(page: str | None, marked: set[str]) -> list[tuple[str, str, int]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((stack[-1][1], text, min(links, len(text))))
+                out.append(Block(stack[-1][1], text, min(links, len(text)), heading, stack[-1][4]))
             parts.clear()
         links = 0
 
@@ -101,11 +159,11 @@ def read(page: str | None, marked: set[str]) -> list[tuple[str, str, int]]:
             continue
         if tag in RAW:
             if not closing and not match[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, position)
-                position = end.end() if end else len(page)
+                position = skip_raw(page, position, tag, stack[-1][0])
             continue
         if tag in BLOCKS:
             end_block()
+            heading = tag in HEADINGS and not closing
         if tag == "a":
             anchors = 0 if closing else 1
         if closing:
@@ -119,11 +177,18 @@ def read(page: str | None, marked: set[str]) -> list[tuple[str, str, int]]:
             attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(match[3])}
             if tag in ("li", "td", "th", "tr", "dd") and stack[-1][0] == tag:
                 stack.pop()
-            _, path, bad, content = stack[-1]
-            if not bad and (bad := boilerplate(tag, attributes, content)):
-                marked.add(path)
+            _, path, bad, content, doubts = stack[-1]
+            if tag in CONTENT_TAGS:
+                articles.update(doubts)
+            if not bad and (kind := boilerplate(tag, attributes, content)):
+                if kind == "doubt":
+                    doubts = (*doubts, len(doubtful))
+                    doubtful.append(path)
+                else:
+                    bad = True
+                    marked.add(path)
             own = path if tag in ("html", "body") else f"{path}>{step(tag, attributes)}"
-            stack.append((tag, own, bad, content or tag in CONTENT_TAGS))
+            stack.append((tag, own, bad, content or tag in CONTENT_TAGS, doubts))
         elif tag not in VOID:
             if hidden:
                 hidden = (hidden[0], hidden[1] + 1) if tag == hidden[0] and tag != "p" else None if hidden[0] == "p" and tag == "p" else hidden
@@ -134,7 +199,16 @@ def read(page: str | None, marked: set[str]) -> list[tuple[str, str, int]]:
                     marked.add(stack[-1][1])
     add(page[position:])
     end_block()
-    return out
+    if doubtful:
+        plain: dict[int, int] = defaultdict(int)
+        for block in out:
+            for d in block.doubts:
+                plain[d] += len(block.text) - block.links
+        total = sum(len(block.text) - block.links for block in out)
+        left_out = {d for d in range(len(doubtful)) if d not in articles and 2 * plain[d] <= total}
+        marked.update(doubtful[d] for d in left_out)
+        out = [block for block in out if left_out.isdisjoint(block.doubts)]
+    return out, marked
 
 
 def inside(path: str, outer: str) -> bool:
@@ -142,19 +216,20 @@ def inside(path: str, outer: str) -> bool:
     return path == outer or path.startswith(outer + ">")
 
 
-def best_path(blocks: list[tuple[str, str, int]], marked: set[str]) -> str | None:
+def best_path(blocks: list[Block], marked: set[str]) -> str | None:
     """The path of the container with the largest score, widened; an article or main element counts double."""
     scores: dict[str, float] = defaultdict(float)
     plain: dict[str, int] = defaultdict(int)  # characters outside links, of a container with all inside it
-    for path, text, links in blocks:
-        value, share, at = float(len(text) - 2 * links), 1.0, path
+    for block in blocks:
+        value, share, path = float(len(block.text) - 2 * block.links), 1.0, block.path
+        at = path
         for _ in range(3):
             scores[at] += value * share
             if not at:
                 break
             at, share = at.rpartition(">")[0], share / 2
         while path:
-            plain[path] += len(text) - links
+            plain[path] += len(block.text) - block.links
             path = path.rpartition(">")[0]
     if not scores:
         return None
@@ -163,62 +238,60 @@ def best_path(blocks: list[tuple[str, str, int]], marked: set[str]) -> str | Non
         if path in scores:
             scores[path] *= 2
     best = min(scores, key=lambda p: (-scores[p], p))
-    total = sum(len(text) - links for _, text, links in blocks)
+    total = sum(len(block.text) - block.links for block in blocks)
     most = [p for p in content if 2 * plain[p] > total]
     if most:
         return min(most, key=lambda p: (p.count(">"), p))
     while best:
         outer = best.rpartition(">")[0]
-        added = [(len(text), links) for p, text, links in blocks if inside(p, outer) and not inside(p, best)]
-        if any(inside(p, outer) for p in marked) or 2 * sum(links for _, links in added) > sum(n for n, _ in added):
+        added = [block for block in blocks if inside(block.path, outer) and not inside(block.path, best)]
+        linked = 2 * sum(block.links for block in added) > sum(len(block.text) for block in added)
+        if not any(block.heading and 2 * block.links <= len(block.text) for block in added) and (linked or any(inside(p, outer) for p in marked)):
             break
         best = outer
     return best
 
 
-def under(blocks: list[tuple[str, str, int]], path: str) -> str:
-    return " ".join(text for p, text, _ in blocks if inside(p, path))
-
-
-def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) to partial (host, path, votes)."""
+def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, url, host, html) to PARSED."""
     for batch in batches:
-        counts: dict[tuple[str, str], int] = defaultdict(int)
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            for host, page in zip(part["host"].to_pylist(), part["html"].to_pylist(), strict=True):
-                marked: set[str] = set()
-                if (path := best_path(read(page, marked), marked)) is not None:
-                    counts[host, path] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["host", "path", "votes"])
-
-
-def extract_texts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for pages, paths in batches:
-        out = []
-        for lo in range(0, len(pages), 256):
-            for page, path in zip(pages.slice(lo, 256).to_pylist(), paths.slice(lo, 256).to_pylist(), strict=True):
-                marked: set[str] = set()
-                blocks = read(page, marked)
-                text = under(blocks, path) if path is not None else ""
-                own = best_path(blocks, marked)
-                alone = under(blocks, own) if own is not None and own != path else ""
-                out.append(alone if 2 * len(text) < len(alone) else text)
-        yield pa.array(out, pa.string())
+            own, paths, at, texts = [], [], [], []
+            for page in part["html"].to_pylist():
+                blocks, marked = read(page)
+                number: dict[str, int] = {}
+                own.append(best_path(blocks, marked))
+                at.append([number.setdefault(block.path, len(number)) for block in blocks])
+                paths.append(list(number))
+                texts.append([block.text for block in blocks])
+            listed = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([part["page_id"].cast(pa.int64()), part["url"], part["host"], pa.array(own, pa.string()), pa.array(paths, listed), pa.array(at, pa.list_(pa.int32())), pa.array(texts, listed)], names=["page_id", "url", "host", "own", "paths", "at", "texts"])
+
+
+def text_under(path: Column) -> Column:
+    """The texts of the parsed blocks in a container, joined by spaces."""
+    within = F.transform("paths", lambda p: (p == path) | F.startswith(p, F.concat(path, F.lit(">"))))
+    rows = F.filter(F.arrays_zip("at", "texts"), lambda x: F.get(within, x["at"]) | (path == ""))
+    return F.array_join(F.transform(rows, lambda x: x["texts"]), " ")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for pages (page_id, url, html)."""
-    ship(pages.sparkSession)
+    spark = pages.sparkSession
+    ship(spark)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
-    pages = pages.select("page_id", "url", "html", host.alias("host"))
-    counted = pages.select("host", "html").mapInArrow(votes, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    winners = counted.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("less"), "path"))["path"].alias("path"))
-    salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    extract = F.arrow_udf(extract_texts, "string")
-    out = found.select("page_id", "url", extract("html", "path").alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    parsed = stage(pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(parse, PARSED), "pages")
+    counted = parsed.where("own is not null").groupBy("host", F.col("own").alias("path")).agg(F.count("*").alias("votes"))
+    winners = stage(counted.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("less"), "path"))["path"].alias("path")), "winners")
+    if winners.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        found = parsed.join(F.broadcast(winners), "host", "left")
+    else:
+        salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = parsed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    both = found.select("page_id", "url", F.coalesce(text_under(F.col("path")), F.lit("")).alias("voted"), F.coalesce(F.when(F.col("own") != F.col("path"), text_under(F.col("own"))), F.lit("")).alias("alone"))
+    text = F.when(OTHER_LAYOUT * F.length("voted") < F.length("alone"), F.col("alone")).otherwise(F.col("voted"))
+    return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
