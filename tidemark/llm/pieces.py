@@ -1,11 +1,10 @@
 """Sampled SentencePiece segmentations by forward filtering and backward sampling; lossless decoding.
 
 The text, with a space put before it and every space written as U+2581, is cut into units: a run
-of U+2581 with the characters up to the next one, or a run of other white space; longer units are cut every
-UNIT_CHARS characters.  The lattice of a unit has an edge for every piece of the vocabulary that matches, and
+of U+2581 with the characters up to the next one, or a run of other white space.  The lattice of a unit has an edge for every piece of the vocabulary that matches, and
 one through byte pieces for each character that is no piece itself.  A piece of rank r (its place
 in the file) has weight (r + 2) ** -THETA.  The forward filter adds up, for every position, the
-weights of all paths to it; the backward sampler draws the edges from the unit's end, in proportion
+weights of all paths to it, in logarithms where a unit is long; the backward sampler draws the edges from the unit's end, in proportion
 to filter times weight, so a segmentation is drawn with its exact probability.
 
 Draws are hashes of (row key, unit number, step), so a row's ids depend on nothing but its key and text.
@@ -30,13 +29,15 @@ from tidemark.llm.common import mix64, table
 from tidemark.session import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-THETA, UNIT_CHARS = 0.8, 48
+THETA = 0.8
+#: Units up to so many characters share one table; the others' filters are kept in logarithms.
+SHORT_CHARS = 48
 SPACE = "▁"
 UNIT = re.compile(rf"{SPACE}+[^{SPACE}\s]*|[^{SPACE}\s]+|[^\S{SPACE}]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Characters of a block of rows, about: bounds a block's arrays.
-BLOCK_CHARS = 600_000
+BLOCK_CHARS = 1_200_000
 
 
 def text_hashes(texts: list[str]) -> np.ndarray:
@@ -74,17 +75,21 @@ class Vocabulary:
             self.output[i] = p.replace(SPACE, " ").encode()
         for b, i in self.bytes.items():
             self.output[i] = bytes([b])
+        self.outputs = pa.array(self.output, pa.binary())
+        self.sizes = np.array([len(o) for o in self.output])
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.output.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
+    def spelled(self, ids: np.ndarray) -> memoryview:
+        """The bytes of all ids one after another."""
+        taken = self.outputs.take(pa.array(ids))
+        return memoryview(taken.buffers()[2] or b"")[: int(self.sizes[ids].sum())]
+
 
 def units(text: str) -> list[str]:
     """The units of a text that holds no literal U+2581."""
-    found = UNIT.findall(SPACE + text.replace(" ", SPACE))
-    if any(len(u) > UNIT_CHARS for u in found):
-        found = [u[i : i + UNIT_CHARS] for u in found for i in range(0, len(u), UNIT_CHARS)]
-    return found
+    return UNIT.findall(SPACE + text.replace(" ", SPACE))
 
 
 class Lattices:
@@ -93,11 +98,12 @@ class Lattices:
     A node is a position of a unit.  Edges are found for all units at once: a start stays active for
     one more character as long as its substring is a prefix of a piece, by hashes of substrings.
     Every path over a character may be scaled by the same factor, so weights are divided by
-    those of the single characters, and no filter value under- or overflows.  Edges into node v have
+    those of the single characters, and no filter value of a short unit under- or overflows; with ``logs`` the
+    filter is kept in logarithms.  Edges into node v have
     cumulated shares in (v, v + 1], so one sorted search of v + u draws an edge of v.
     """
 
-    def __init__(self, vocabulary: Vocabulary, units_: list[tuple[str, bool]]):
+    def __init__(self, vocabulary: Vocabulary, units_: list[tuple[str, bool]], logs: bool = False):
         sizes = np.array([len(u) for u, _ in units_])
         self.begin = np.cumsum(sizes + 1) - sizes - 1  # a unit's first node
         self.end = self.begin + sizes
@@ -140,24 +146,32 @@ class Lattices:
         own = np.where(first >= 0, vocabulary.log_weight[first], base[start])
         order = np.argsort(end * 64 + (end - start), kind="stable")
         self.source, end, self.first = start[order], end[order], first[order]
-        weight = np.exp(own[order] - (total[end] - total[self.source]))
+        weight = own[order] - (total[end] - total[self.source])
 
-        place = (end - np.repeat(self.begin, sizes + 1)[end]).astype(np.uint8)
+        place = (end - np.repeat(self.begin, sizes + 1)[end]).astype(np.int64 if logs else np.uint8)
         by_place = np.argsort(place, kind="stable")
-        cuts = np.searchsorted(place[by_place], np.arange(1, UNIT_CHARS + 2))
+        cuts = np.searchsorted(place[by_place], np.arange(1, int(sizes.max(initial=0)) + 2))
+        if not logs:
+            weight = np.exp(weight)
         alpha = np.zeros(len(codes))
-        alpha[self.begin] = 1
+        alpha[self.begin] = 0 if logs else 1
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if lo == hi:
                 continue
             e = by_place[lo:hi]
-            weight[e] *= alpha[self.source[e]]
             into = end[e]
             heads = np.flatnonzero(np.append(True, into[1:] != into[:-1]))
-            alpha[into[heads]] = np.add.reduceat(weight[e], heads)
+            if logs:
+                paths, counts = weight[e] + alpha[self.source[e]], np.diff(np.append(heads, len(e)))
+                most = np.maximum.reduceat(paths, heads)
+                alpha[into[heads]] = most + np.log(np.add.reduceat(np.exp(paths - np.repeat(most, counts)), heads))
+                weight[e] = np.exp(paths - np.repeat(alpha[into[heads]], counts))
+            else:
+                weight[e] *= alpha[self.source[e]]
+                alpha[into[heads]] = np.add.reduceat(weight[e], heads)
         heads = np.flatnonzero(np.append(True, end[1:] != end[:-1])) if len(end) else np.empty(0, np.int64)
         counts = np.diff(np.append(heads, len(end)))
-        run = np.cumsum(weight / alpha[end])
+        run = np.cumsum(weight if logs else weight / alpha[end])
         run -= np.repeat(np.concatenate([[0.0], run])[heads], counts)
         run[heads + counts - 1] = 1.0
         self.share = end + np.minimum(run, 1.0)
@@ -197,32 +211,62 @@ def units_of(text: str) -> list[tuple[str, bool]]:
     return out
 
 
-def encode(vocabulary: Vocabulary, keys: list[int], texts: list[str | None]) -> list[list[int] | None]:
-    """Sampled ids of each text, by its row key."""
+def draw(vocabulary: Vocabulary, keys: list[int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The sampled ids of all texts one after another, and where each text's begin and end."""
     number: dict[tuple[str, bool], int] = {}
     numbers, counts = [], []
     for text in texts:
         found = units_of(text) if text is not None else []
         numbers += [number.setdefault(u, len(number)) for u in found]
         counts.append(len(found))
-    out: list[list[int] | None] = [None if t is None else [] for t in texts]
     if not numbers:
-        return out
-    sizes = np.array(counts)
+        return np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    sizes, at = np.array(counts), np.array(numbers)
     rows = np.repeat(np.arange(len(texts)), sizes)
     place = (np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint64)
     key = mix64(np.array([(k or 0) & ((1 << 64) - 1) for k in keys], np.uint64))[rows]
-    lattices = Lattices(vocabulary, list(number))
-    who, ids = lattices.sample(np.array(numbers), mix64(key + place * np.uint64(0x9E3779B97F4A7C15)))
-    cuts = np.searchsorted(rows[who], np.arange(len(texts) + 1)).tolist()
-    flat = ids.tolist()
-    for row in range(len(texts)):
-        if out[row] is not None:
-            own = flat[cuts[row] : cuts[row + 1]]
-            if lattices.runs and own and min(own) < 0:
-                own = [x for i in own for x in (lattices.runs[-1 - i] if i < 0 else (i,))]
-            out[row] = own
-    return out
+    seeds = mix64(key + place * np.uint64(0x9E3779B97F4A7C15))
+    distinct = list(number)
+    long = np.array([len(u) > SHORT_CHARS for u, _ in distinct])
+    which, drawn, runs = np.cumsum(long) - 1, [], []
+    which[~long] = np.arange((~long).sum())
+    for logs in (False, True):
+        own = np.flatnonzero(long[at] == logs)
+        if len(own):
+            lattices = Lattices(vocabulary, [u for u, x in zip(distinct, long.tolist(), strict=True) if x == logs], logs)
+            who, ids = lattices.sample(which[at[own]], seeds[own])
+            drawn.append((own[who], np.where(ids < 0, ids - len(runs), ids)))
+            runs += lattices.runs
+    who, ids = (np.concatenate(x) for x in zip(*drawn, strict=True))
+    if len(drawn) > 1:
+        order = np.argsort(who, kind="stable")
+        who, ids = who[order], ids[order]
+    if len(runs):  # numbers under 0 stand for the byte pieces of a character
+        width = np.ones(len(ids), np.int64)
+        odd = np.flatnonzero(ids < 0)
+        width[odd] = np.array([len(r) for r in runs])[-1 - ids[odd]]
+        first = np.cumsum(width) - width
+        who, spelled = np.repeat(who, width), np.repeat(ids, width)
+        for k, r in zip(first[odd].tolist(), (-1 - ids[odd]).tolist(), strict=True):
+            spelled[k : k + len(runs[r])] = runs[r]
+        ids = spelled
+    return ids, np.searchsorted(rows[who], np.arange(len(texts) + 1))
+
+
+def encode(vocabulary: Vocabulary, keys: list[int], texts: list[str | None]) -> list[list[int] | None]:
+    """Sampled ids of each text, by its row key."""
+    ids, cuts = draw(vocabulary, keys, texts)
+    return [None if t is None else ids[a:b].tolist() for t, a, b in zip(texts, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def encoded(vocabulary: Vocabulary, keys: list[int], texts: list[str | None]) -> pa.Array:
+    """struct(ids, n_pieces, lossless) of each text; null texts have nulls."""
+    ids, cuts = draw(vocabulary, keys, texts)
+    back, n = vocabulary.spelled(ids), np.concatenate([[0], np.cumsum(vocabulary.sizes[ids])])[cuts].tolist()
+    same = [None if t is None else bytes(back[a + 1 : b]) == t.encode("utf-8", "surrogatepass") for t, a, b in zip(texts, n[:-1], n[1:], strict=True)]
+    none = pa.array([t is None for t in texts])
+    listed = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=none)
+    return pa.StructArray.from_arrays([listed, pc.if_else(none, None, pa.array(np.diff(cuts))), pa.array(same, pa.bool_())], names=["ids", "n_pieces", "lossless"])
 
 
 def sampler(path: str = MODEL):
@@ -238,18 +282,7 @@ def sampler(path: str = MODEL):
                 while hi < len(texts) and (hi == lo or size + sizes[hi] <= BLOCK_CHARS):
                     size += sizes[hi]
                     hi += 1
-                own = texts.slice(lo, hi - lo).to_pylist()
-                ids = encode(vocabulary, keys.slice(lo, hi - lo).to_pylist(), own)
-                parts.append(
-                    pa.StructArray.from_arrays(
-                        [
-                            pa.array(ids, pa.list_(pa.int32())),
-                            pa.array([None if i is None else len(i) for i in ids], pa.int64()),
-                            pa.array([None if i is None else vocabulary.decode(i) == t for i, t in zip(ids, own, strict=True)], pa.bool_()),
-                        ],
-                        names=["ids", "n_pieces", "lossless"],
-                    )
-                )
+                parts.append(encoded(vocabulary, keys.slice(lo, hi - lo).to_pylist(), texts.slice(lo, hi - lo).to_pylist()))
                 lo = hi
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("lossless", pa.bool_())]))
 
