@@ -144,3 +144,30 @@ def test_nothing_to_learn_is_undetermined(spark):
     assert net is None
     got = docs.select(langid.predictor(spark, net)("text").alias("p")).collect()
     assert {r["p"]["lang_pred"] for r in got} == {"und"}
+
+
+def test_long_units_are_one_lattice():
+    from tidemark.llm import pieces
+
+    vocabulary = pieces.Vocabulary()
+    # a unit just over the limit gives the same distribution in logarithms as without
+    short, long = pieces.Lattices(vocabulary, [("▁thethe", False)]), pieces.Lattices(vocabulary, [("▁thethe", False)], logs=True)
+    assert np.allclose(short.share, long.share) and (short.source == long.source).all() and (short.first == long.first).all()
+    text = "日本語の文章には空白がない。" * 900 + "x" * 3000
+    ids = pieces.encode(vocabulary, [1, 2], [text, text])
+    assert all(vocabulary.decode(i) == text for i in ids) and ids[0] != ids[1]
+    out = pieces.encoded(vocabulary, [1, None, 2], [text, None, ""])
+    assert out.field("lossless").to_pylist() == [True, None, True] and out.field("ids").to_pylist()[0] == ids[0] and out.field("n_pieces").to_pylist()[1] is None
+
+
+def test_pieces_cross_every_place_of_a_long_unit():
+    from tidemark.llm import pieces
+
+    vocabulary = pieces.Vocabulary()
+    word = "internationalization"
+    ids = pieces.encode(vocabulary, list(range(300)), [word * 4] * 300)
+    cut, crossing = len("▁") + 47, 0  # where units used to be cut
+    for own in ids:
+        at = np.cumsum([len(vocabulary.output[i].decode()) for i in own])
+        crossing += cut not in at
+    assert crossing > 100
