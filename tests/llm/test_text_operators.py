@@ -232,17 +232,33 @@ def test_bucket_bounds_are_optimal(counts, k):
         assert cost(got) == best and len(got) <= k
 
 
-def test_top_k_like_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(balltree, "SHARD_ROWS", 60)
+@pytest.mark.parametrize("shard", [60, 20, 8192])
+def test_top_k_like_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(balltree, "SHARD_ROWS", shard)
+    monkeypatch.setattr(balltree, "FIRST_CELLS", 2)
+    monkeypatch.setattr(balltree, "QUERY_BLOCK", 2)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(401)] + [(500, None), (600, []), (700, [float("nan")] * 6), (800, [1.0, None, 1.0, 1.0, 1.0, 1.0])]
-    vectors = balltree.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    rows += [(900, [1.0, 2.0]), (901, [2.0, 1.0]), (902, [2.0, 1.0]), (1000, [0.0]), (100, [9.0] * 6)]  # other dimensions, one alone, a repeated id
+    vectors = balltree.quantised(spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, score int, v string"))
     got = collections.defaultdict(list)
     for r in balltree.top_k(vectors, vectors.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((-r["score"], r["vec_id"]))
-    q = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v in rows[:401]}
-    want = {i: sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in q if j != i)[:10] for i in range(0, 401, 100)}
-    assert dict(got) == want
+    good = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows if v and None not in v and not any(map(math.isnan, v))]
+    want = collections.defaultdict(list)
+    for i, q in good:
+        if i % 100 == 0:
+            want[i] += [(-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in good if j != i and len(v) == len(q)]
+    # two rows of one id ask together
+    twice = {i for i, n in collections.Counter(i for i, _ in good).items() if n > 1}
+    assert {i: got[i] for i in got if i not in twice} == {i: sorted(w)[:10] for i, w in want.items() if i not in twice and w}
+    assert got[100] == sorted(want[100])[:10]
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    vectors = spark.createDataFrame([(100, [1 << 40] * 4), (1, [1 << 40] * 4)], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="64 bits"):
+        balltree.top_k(vectors, vectors.where("vec_id = 100")).collect()
 
 
 def test_forward_is_exact_and_counts_are_right(spark):

@@ -1,16 +1,18 @@
 """Exact top-k inner-product search by ball-tree branch and bound, one tree a shard.
 
-Vectors are dealt out to shards by hash and queries to blocks.  A task gets a shard and a block of
-queries; it builds a ball tree over the shard (splitting along the line between two far points)
-and visits nodes in the order of their upper bounds q . centre + |q| * radius.  A query skips
-nodes whose bound is under its current k-th score.  That score is shared: a pilot shard is searched first,
-and its k-th scores are where the other shards' searches start.  The k best of the shards are merged.
+A bounded sample of the vectors gives a tree of splits, each along the line between two far points, whose
+leaves are cells of space.  Every vector is routed to its cell; a cell is a ball around its
+sample's mean, with the radius of its farthest vector, and cells of many vectors are cut into shards by hash.
+A query meets cells in the order of their upper bounds q . centre + |q| * radius: first the best
+one, then the FIRST_CELLS next, then all others, each round only where the bound reaches the k-th score that the
+rounds before have found.  A task gets a shard and a block of queries; it builds a ball tree over
+the shard and visits nodes in the order of the same bound, skipping those under a query's current k-th score.
 
-Every query meets every shard, which is the stated query set against all rows, in blocks.
+So no pair of a query and a vector is left out but by a bound, and results are exact whatever the sample.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part;
 a query meets vectors of its own dimension only; ties go to the smaller vec_id; of rows that repeat a
-vec_id each counts, but none is a candidate for its own id.
+vec_id each counts, but none is a candidate for its own id; scores that leave 64 bits end the query with an error.
 """
 
 from __future__ import annotations
@@ -20,14 +22,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage, table
 from tidemark.session import ship
 
 TOP, SCALE, LEAF = 10, 1024, 64
-SHARD_ROWS, QUERY_BLOCK = 8_192, 1_024
+#: Vectors of a shard and queries of a block, about; the tree of a shard is built for each block.
+SHARD_ROWS, QUERY_BLOCK = 8_192, 8_192
+#: Cells at most, and sampled vectors for the splits.
+CELLS, SAMPLE = 4_096, 40_000
+#: Cells of the second round.
+FIRST_CELLS = 8
+ROUTED = "dimension int, cell int, vec_id long, v array<long>, far double"
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -108,42 +116,152 @@ def matrix(column: pa.ChunkedArray, dimension: int) -> np.ndarray:
     return np.concatenate([np.asarray(c.flatten()) for c in column.chunks] or [np.empty(0, np.int64)]).reshape(-1, dimension)
 
 
+class Cells:
+    """Splits of the space of one dimension: inner nodes have a direction, a threshold and two children, leaves a cell."""
+
+    def __init__(self, points: np.ndarray, cells: int):
+        self.nodes: list[tuple] = []
+        self.centres: list[np.ndarray] = []
+        stack = [(points.astype(np.float64), cells, -1)]
+        while stack:
+            own, n, parent = stack.pop()
+            here = len(self.nodes)
+            if parent >= 0:
+                self.nodes[parent] = (*self.nodes[parent], here)
+            centre = own.mean(axis=0)
+            far = own[((own - centre) ** 2).sum(axis=1).argmax()]
+            other = own[((own - far) ** 2).sum(axis=1).argmax()]
+            side = own @ (other - far)
+            cut = np.median(side)
+            right = side > cut
+            if n < 2 or not right.any():
+                self.nodes.append((None, len(self.centres)))
+                self.centres.append(centre)
+                continue
+            self.nodes.append((other - far, cut))
+            stack += [(own[right], n // 2, here), (own[~right], n - n // 2, here)]
+
+    def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of every point and its distance from the cell's centre."""
+        cell, stack = np.zeros(len(points), np.int32), [(0, np.arange(len(points)))]
+        while stack:
+            at, who = stack.pop()
+            node = self.nodes[at]
+            if node[0] is None:
+                cell[who] = node[1]
+                continue
+            right = points[who] @ node[0] > node[1]
+            stack += [(node[2], who[~right]), (node[3], who[right])]
+        return cell, np.sqrt(((points - np.array(self.centres)[cell]) ** 2).sum(axis=1))
+
+
 def search_task(key: tuple, group: pa.Table) -> pa.Table:
     """The rows of a shard and of a block of queries (with their floors) to the best of the shard."""
     dimension = key[0].as_py()
     asks, own = (group.filter(pc.equal(group["asks"], x)) for x in (True, False))
     ids, scores, names = np.empty((0, TOP), np.int64), np.empty((0, TOP), np.int64), np.empty(0, np.int64)
     if asks.num_rows and own.num_rows:
-        tree = BallTree(matrix(own["v"], dimension), own["vec_id"].to_numpy())
-        names = asks["vec_id"].to_numpy()
-        ids, scores = tree.search(matrix(asks["v"], dimension), names, asks["floor"].to_numpy())
-    keep = ids >= -(1 << 62)
-    keep &= scores > np.iinfo(np.int64).min
+        rows, queries = matrix(own["v"], dimension), matrix(asks["v"], dimension)
+        if float(np.abs(rows).max()) * float(np.abs(queries).max()) * dimension >= 2.0**63:
+            raise OverflowError("inner products of these vectors leave 64 bits")
+        tree, names = BallTree(rows, own["vec_id"].to_numpy()), asks["vec_id"].to_numpy()
+        ids, scores = tree.search(queries, names, asks["floor"].to_numpy())
+    keep = (ids >= -(1 << 62)) & (scores > np.iinfo(np.int64).min)
     return pa.table({"query_id": np.repeat(names, TOP)[keep.ravel()], "vec_id": ids[keep], "score": scores[keep]})
 
 
+def split_cells(rows: DataFrame, total: int) -> dict[int, Cells]:
+    """Per dimension its cells, from at most about SAMPLE vectors."""
+    rate = min(1.0, SAMPLE / max(1, total))
+    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(1 << 31)) < float(1 << 31) * rate).select("dimension", "v")
+    found: dict[int, list] = {}
+    for r in sample.collect():
+        found.setdefault(r["dimension"], []).append(r["v"])
+    cells = min(CELLS, -(-total // SHARD_ROWS))
+    return {d: Cells(np.array(v), max(1, cells * len(v) // sum(map(len, found.values())))) for d, v in found.items()}
+
+
+def routed(rows: DataFrame, cells: dict[int, Cells]) -> DataFrame:
+    """(dimension, vec_id, v) to ROUTED; dimensions that the sample missed are one cell around 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dimension = batch["dimension"].to_numpy()
+            for d in np.unique(dimension).tolist():
+                part = batch.filter(pa.array(dimension == d))
+                points = np.asarray(part["v"].flatten()).reshape(-1, d).astype(np.float64)
+                cell, far = cells[d].route(points) if d in cells else (np.zeros(len(points), np.int32), np.sqrt((points**2).sum(axis=1)))
+                yield pa.RecordBatch.from_arrays([part["dimension"], pa.array(cell), part["vec_id"], part["v"], pa.array(far)], names=["dimension", "cell", "vec_id", "v", "far"])
+
+    return rows.select("dimension", "vec_id", "v").mapInArrow(run, ROUTED)
+
+
+def bounds(queries: DataFrame, balls: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """Adds cells: of each query's dimension (cell, bound), the largest bound first; balls are (cells, centres, radii)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("cell", pa.int32()), ("bound", pa.float64())]))
+        for whole in batches:
+            for batch in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256)):
+                listed = []
+                for d, v in zip(batch["dimension"].to_pylist(), batch["v"].to_pylist(), strict=True):
+                    if d not in balls:
+                        listed.append([])
+                        continue
+                    names, centres, radii = balls[d]
+                    q = np.array(v, np.float64)
+                    length = float(np.sqrt(q @ q))
+                    upper = centres @ q + length * radii
+                    upper += 1e-9 * length * (np.abs(centres).max() + radii) * d + 1e-6
+                    order = np.argsort(-upper, kind="stable")
+                    listed.append([{"cell": int(names[i]), "bound": float(upper[i])} for i in order])
+                yield pa.RecordBatch.from_arrays([batch["dimension"], batch["vec_id"], batch["v"], pa.array(listed, kind)], names=["dimension", "vec_id", "v", "cells"])
+
+    return queries.select("dimension", "vec_id", "v").mapInArrow(run, "dimension int, vec_id long, v array<long>, cells array<struct<cell:int,bound:double>>")
+
+
+def best_of(found: DataFrame) -> DataFrame:
+    """The TOP best rows of every query with their rank; the limit is taken before the shuffle and after it."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= TOP)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, rank, vec_id, score: vectors and queries are (vec_id, v) as of quantised()."""
-    ship(vectors.sparkSession)
+    spark = vectors.sparkSession
+    ship(spark)
     least = F.lit(-(1 << 63)).cast("long")
     rows = stage(vectors.withColumn("dimension", F.size("v")), "vectors")
     total = rows.count()
-    shards, blocks = max(1, -(-total // SHARD_ROWS)), max(1, -(-queries.count() // QUERY_BLOCK))
-    own = rows.select("dimension", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v", F.lit(False).alias("asks"), least.alias("floor"))
-    asked = stage(queries.select(F.size("v").alias("dimension"), F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v"), "queries")
-
-    def meet(shard_rows: DataFrame, asks: DataFrame) -> DataFrame:
-        copies = shard_rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        columns = ["dimension", "shard", "block", "vec_id", "v", "asks", "floor"]
-        return copies.select(columns).unionByName(asks.select(columns)).groupBy("dimension", "shard", "block").applyInArrow(search_task, FOUND)
-
-    pilot = stage(meet(own.where("shard = 0"), asked.withColumns({"shard": F.lit(0), "asks": F.lit(True), "floor": least})), "pilot")
-    shared = pilot.groupBy("query_id").agg(F.when(F.count("*") >= TOP, F.min("score")).alias("kth"))
-    later = F.explode(F.sequence(F.lit(1), F.lit(max(1, shards - 1))))
-    asks = asked.join(shared, F.col("vec_id") == F.col("query_id"), "left").select("dimension", later.alias("shard"), "block", "vec_id", "v", F.lit(True).alias("asks"), F.coalesce("kth", least).alias("floor"))
-    found = pilot.union(meet(own.where("shard > 0"), asks)) if shards > 1 else pilot
-    ranked = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, TOP).alias("best"))
-    return ranked.select("query_id", F.posexplode("best").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), "hit.vec_id", (-F.col("hit.less")).alias("score"))
+    cells = split_cells(rows, total)
+    own = stage(routed(rows, cells), "routed")
+    sizes = own.groupBy("dimension", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()  # CELLS a dimension at most
+    balls: dict[int, tuple] = {}
+    for d in {r["dimension"] for r in sizes}:
+        mine = sorted((r["cell"], r["radius"]) for r in sizes if r["dimension"] == d)
+        centres = np.array(cells[d].centres) if d in cells else np.zeros((1, d))
+        names = np.array([c for c, _ in mine])
+        balls[d] = (names, centres[names], np.array([x for _, x in mine]))
+    shards = spark.createDataFrame([(r["dimension"], r["cell"], -(-r["n"] // SHARD_ROWS)) for r in sizes], "dimension int, cell int, shards int")
+    asked = stage(bounds(queries.withColumn("dimension", F.size("v")), balls), "queries")
+    found, kth = None, None
+    columns = ["dimension", "cell", "shard", "block", "vec_id", "v", "asks", "floor"]
+    for first, last in ((0, 1), (1, 1 + FIRST_CELLS), (1 + FIRST_CELLS, CELLS)):
+        if last > 1 and max((len(b[0]) for b in balls.values()), default=0) <= first:
+            break
+        asks = asked.withColumn("c", F.explode(F.slice("cells", first + 1, last - first))).select("dimension", "c.cell", "c.bound", "vec_id", "v")
+        if kth is not None:
+            asks = asks.join(kth, F.col("vec_id") == F.col("query_id"), "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor")))
+        asks = stage(asks.select("dimension", "cell", "vec_id", "v", F.coalesce("floor", least).alias("floor") if kth is not None else least.alias("floor")), "asks")
+        met = asks.groupBy("dimension", "cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks")).join(F.broadcast(shards), ["dimension", "cell"])
+        each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        copies = own.join(F.broadcast(met), ["dimension", "cell"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int")).select("*", each)
+        sent = asks.join(F.broadcast(met), ["dimension", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), "blocks").cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+        both = copies.withColumns({"asks": F.lit(False), "floor": least}).select(columns).unionByName(sent.withColumn("asks", F.lit(True)).select(columns))
+        hits = both.groupBy("dimension", "cell", "shard", "block").applyInArrow(search_task, FOUND)
+        found = stage(best_of(hits if found is None else hits.unionByName(found)).drop("rank"), "hits")
+        kth = found.groupBy("query_id").agg(F.when(F.count("*") >= TOP, F.min("score")).alias("floor"))
+    return best_of(found).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
