@@ -159,19 +159,22 @@ def credits(touched: DataFrame, models: list[str] = MODELS, **options) -> DataFr
     """Weights that add up to 1 and cents that add up to the order's, for every order and model.
 
     Cents are floored, and the cents left over go to the largest remainders, earlier touches
-    first.  The touch with most cents, the earliest of these, is primary.
+    first.  The touch with most cents, the earliest of these, is primary.  All models are computed side by
+    side on the order's touches, which are dealt out once, and become rows at the end.
     """
-    rows = touched.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
-    rows = rows.withColumn("raw", raw_weight(F.col("model"), **options))
-    group = Window.partitionBy("order_id", "model")
+    group = Window.partitionBy("order_id")
     ordered = group.orderBy("position").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("__sum", F.sum("raw").over(ordered)).withColumn("weight", F.when(F.col("__sum") > 0, F.col("raw") / F.col("__sum")).otherwise(1.0 / F.col("n")))
-    rows = rows.withColumn("__exact", F.col("cents") * F.col("weight")).withColumn("__floor", F.floor("__exact").cast("long"))
-    rows = rows.withColumn("__left", F.col("cents") - F.sum("__floor").over(group))
-    rest = group.orderBy((F.col("__exact") - F.col("__floor")).desc(), "position")
-    rows = rows.withColumn("credit_cents", F.col("__floor") + (F.row_number().over(rest) <= F.col("__left")).cast("long"))
-    primary = F.row_number().over(group.orderBy(F.desc("credit_cents"), "position")) == 1
-    return rows.withColumn("is_primary", primary).drop("raw", "__sum", "__exact", "__floor", "__left")
+    each = range(len(models))
+    rows = touched.withColumns({f"__raw{i}": raw_weight(F.lit(models[i]), **options) for i in each})
+    rows = rows.withColumns({f"__sum{i}": F.sum(f"__raw{i}").over(ordered) for i in each})
+    rows = rows.withColumns({f"__weight{i}": F.when(F.col(f"__sum{i}") > 0, F.col(f"__raw{i}") / F.col(f"__sum{i}")).otherwise(1.0 / F.col("n")) for i in each})
+    rows = rows.withColumns({f"__floor{i}": F.floor(F.col("cents") * F.col(f"__weight{i}")).cast("long") for i in each})
+    rows = rows.withColumns({f"__left{i}": F.col("cents") - F.sum(f"__floor{i}").over(group) for i in each})
+    rest = lambda i: F.row_number().over(group.orderBy((F.col("cents") * F.col(f"__weight{i}") - F.col(f"__floor{i}")).desc(), "position"))
+    rows = rows.withColumns({f"__cents{i}": F.col(f"__floor{i}") + (rest(i) <= F.col(f"__left{i}")).cast("long") for i in each})
+    rows = rows.withColumns({f"__first{i}": F.max(F.struct(F.col(f"__cents{i}"), -F.col("position"))).over(group) for i in each})
+    one = lambda i: F.struct(F.lit(models[i]).alias("model"), F.col(f"__weight{i}").alias("weight"), F.col(f"__cents{i}").alias("credit_cents"), (F.col(f"__first{i}") == F.struct(F.col(f"__cents{i}"), -F.col("position"))).alias("is_primary"))
+    return rows.select(*touched.columns, F.inline(F.array(*[one(i) for i in each])))
 
 
 def tier_order(rank: int) -> list[Column]:

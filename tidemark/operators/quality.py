@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +47,21 @@ def hash_anomalies(tables: dict[str, tuple[DataFrame, str]], samples: int = 3) -
     for name, (df, column) in tables.items():
         part = df.where(F.col(column).isNotNull() & ~F.col(column).rlike("^[0-9a-f]{64}$")).select(F.lit(name).alias("check"), F.col(column).alias("v"))
         out = part if out is None else out.unionByName(part)
-    by = out.groupBy("check", "v").agg(F.count("*").alias("n"))  # distinct first, so that a sample needs no set of all values
-    ranked = by.withColumn("r", F.row_number().over(Window.partitionBy("check").orderBy("v")))
-    return ranked.groupBy("check").agg(F.sum("n").alias("invalid"), F.array_sort(F.collect_list(F.when(F.col("r") <= samples, F.col("v")))).alias("samples"))
+    # a rank with a limit is cut down before the shuffle, so no task sees all values of a check
+    first = out.distinct().withColumn("r", F.row_number().over(Window.partitionBy("check").orderBy("v"))).where(F.col("r") <= samples)
+    return out.groupBy("check").agg(F.count("*").alias("invalid")).join(first.groupBy("check").agg(F.array_sort(F.collect_list("v")).alias("samples")), "check")
+
+
+def orphan_sessions(sessions: DataFrame, ts: str, before: Column, *evidence: DataFrame) -> DataFrame:
+    """session_id of sessions up to a time for which no evidence (tables with session_id) exists."""
+    known = reduce(DataFrame.union, [e.select("session_id") for e in evidence]).where("session_id is not null").distinct()
+    return sessions.where(F.col(ts) < before).join(known, "session_id", "left_anti").select("session_id")
+
+
+def counted_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """One row: the number of rows and the first n keys in order."""
+    first = rows.orderBy(key).limit(n).agg(F.array_join(F.array_sort(F.collect_list(key)), ",").alias("sample"))
+    return rows.agg(F.count("*").alias("discrepancies")).join(F.broadcast(first))
 
 
 def last_observed(session: DataFrame, *sources: tuple[DataFrame, str]) -> DataFrame:

@@ -195,7 +195,7 @@ def c27(spark, sf_dir):
     return H.reconciled(want, current)
 
 
-@query("p12_contains_planted", "SELECT p_partkey FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Sale 50% off' WHEN 1 THEN 'Sale 500 off' WHEN 2 THEN 'a_b' ELSE p_name END AS name, CASE WHEN p_partkey % 7 = 0 THEN 'large BRASS' ELSE p_type END AS kind FROM part) WHERE contains(lower(kind), 'brass') OR contains(lower(name), '50%')")
+@query("p12_contains_escaped", "SELECT p_partkey FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Sale 50% off' WHEN 1 THEN 'Sale 500 off' WHEN 2 THEN 'a_b' ELSE p_name END AS name, CASE WHEN p_partkey % 7 = 0 THEN 'large BRASS' ELSE p_type END AS kind FROM part) WHERE contains(lower(kind), 'brass') OR contains(lower(name), '50%')")
 def p12(spark, sf_dir):
     name = F.when(F.col("p_partkey") % 5 == 0, "Sale 50% off").when(F.col("p_partkey") % 5 == 1, "Sale 500 off").when(F.col("p_partkey") % 5 == 2, "a_b").otherwise(F.col("p_name"))
     kind = F.when(F.col("p_partkey") % 7 == 0, "large BRASS").otherwise(F.col("p_type"))

@@ -75,11 +75,6 @@ def f36(spark, sf_dir):
     return rows.select(F.col("day").cast("string").alias("day"), us("b.starts").alias("starts_us"), us("b.ends").alias("ends_us"))
 
 
-@query("p12_contains_escaped", "SELECT p_partkey FROM part WHERE contains(lower(p_type), 'brass') OR contains(lower(p_name), '50%')")
-def p12(spark, sf_dir):
-    return _table(spark, sf_dir, "part").where(T.escaped_contains(F.col("p_type"), "BRASS") | T.escaped_contains(F.col("p_name"), "50%")).select("p_partkey")
-
-
 @query("p22_free_text", "SELECT c_custkey FROM customer WHERE contains(lower(c_name || chr(1) || c_mktsegment), 'mach')")
 def p22(spark, sf_dir):
     return _table(spark, sf_dir, "customer").where(T.free_text_match(["c_name", "c_mktsegment"], " Mach ")).select("c_custkey")

@@ -85,6 +85,44 @@ def j23(spark, sf_dir):
     return Q.last_observed(s, (e, "ts"), (V.orders(spark, sf_dir), "ts"), (s, "last_seen")).select("session_id", F.unix_micros(F.col("last_observed").cast("timestamp")).alias("seen_us"))
 
 
+GHOSTS = "ghosts AS (SELECT session_id, first_seen FROM sess UNION ALL SELECT 'ghost:' || CAST(c_custkey AS VARCHAR), TIMESTAMP '2024-01-10' + CAST(c_custkey % 20 AS INTEGER) * INTERVAL 1 DAY FROM customer)"
+
+
+@query("c23_orphan_sessions", over("SELECT count(*) AS discrepancies, (SELECT string_agg(session_id, ',' ORDER BY session_id) FROM (SELECT session_id FROM ghosts WHERE first_seen < TIMESTAMP '2024-01-21' AND session_id NOT IN (SELECT session_id FROM touch UNION SELECT session_id FROM ord) ORDER BY session_id LIMIT 10)) AS sample FROM ghosts WHERE first_seen < TIMESTAMP '2024-01-21' AND session_id NOT IN (SELECT session_id FROM touch UNION SELECT session_id FROM ord)", GHOSTS))
+def c23_orphans(spark, sf_dir):
+    ghosts = V.table(spark, sf_dir, "customer").select(F.concat(F.lit("ghost:"), F.col("c_custkey").cast("string")).alias("session_id"), (F.lit("2024-01-10 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((F.col("c_custkey") % 20).cast("int"))).alias("first_seen"))
+    sessions = V.sessions(spark, sf_dir).select("session_id", "first_seen").union(ghosts)
+    orphans = Q.orphan_sessions(sessions, "first_seen", F.lit("2024-01-21 00:00:00").cast("timestamp_ntz"), V.touches(spark, sf_dir), V.orders(spark, sf_dir))
+    return Q.counted_sample(orphans, "session_id", 10)
+
+
+@query("c23_conflicting_customers", over("SELECT key, CAST(n AS INTEGER) AS n, customers FROM (SELECT key, count(DISTINCT c) AS n, string_agg(DISTINCT c, ',' ORDER BY c) AS customers FROM (SELECT checkout_token AS key, CAST(user_id AS VARCHAR) AS c FROM ord WHERE order_id % 3 = 0 UNION ALL SELECT cart_token, CAST(user_id AS VARCHAR) FROM ord WHERE order_id % 3 = 1 UNION ALL SELECT session_id, CAST(user_id AS VARCHAR) FROM sess) GROUP BY 1) WHERE n > 1"))
+def c23_customers(spark, sf_dir):
+    orders, who = V.orders(spark, sf_dir), F.col("user_id").cast("string").alias("c")
+    rows = orders.where("order_id % 3 = 0").select(F.col("checkout_token").alias("key"), who).union(orders.where("order_id % 3 = 1").select("cart_token", who)).union(V.sessions(spark, sf_dir).select("session_id", who))
+    return Q.conflicting(rows, "key", "c").select("key", "n", F.array_join("values", ",").alias("customers"))
+
+
+HASHED = {"customer": ("c_custkey", "c_name"), "supplier": ("s_suppkey", "s_name"), "part": ("p_partkey", "p_name"), "nation": ("n_nationkey", "n_name"), "region": ("r_regionkey", "r_name"), "orders": ("o_orderkey", "o_orderpriority"), "lineitem": ("l_orderkey", "l_linestatus")}
+BRANCHES = " UNION ALL ".join(f"SELECT '{t}' AS check_key, CASE {k} % 6 WHEN 0 THEN 'x' || {v} WHEN 1 THEN upper(sha256({v})) ELSE sha256({v}) END AS v FROM {t}" for t, (k, v) in HASHED.items())
+
+
+@query("u06_hash_branches", f"SELECT check_key, count(*) AS invalid, array_to_string(list_slice(list_sort(list(DISTINCT v)), 1, 3), ',') AS samples FROM ({BRANCHES}) WHERE NOT regexp_full_match(v, '[0-9a-f]{{64}}') GROUP BY 1")
+def u06(spark, sf_dir):
+    def branch(name):
+        key, value = HASHED[name]
+        hashed = F.sha2(value, 256)
+        return V.table(spark, sf_dir, name).select(F.when(F.col(key) % 6 == 0, F.concat(F.lit("x"), value)).when(F.col(key) % 6 == 1, F.upper(hashed)).otherwise(hashed).alias("h")), "h"
+
+    return Q.hash_anomalies({name: branch(name) for name in HASHED}).select(F.col("check").alias("check_key"), "invalid", F.array_join("samples", ",").alias("samples"))
+
+
+@query("u10_hour_lists", over("SELECT user_id, string_agg(h, ',' ORDER BY h) AS hours FROM (SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d %H') AS h FROM ev WHERE event_type = 'error') GROUP BY 1"))
+def u10(spark, sf_dir):
+    errors = V.events(spark, sf_dir).where("event_type = 'error'").select("user_id", F.date_format("ts", "yyyy-MM-dd HH").alias("h"))
+    return errors.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("h")), ",").alias("hours"))
+
+
 RETAIN = "links AS (SELECT DISTINCT session_id FROM ord WHERE cents > 3000), tg AS (SELECT event_id, session_id FROM touch WHERE ts < TIMESTAMP '2024-01-15' AND session_id NOT IN (SELECT session_id FROM links)), sg AS (SELECT session_id FROM sess s WHERE last_seen < TIMESTAMP '2024-01-15' AND session_id NOT IN (SELECT session_id FROM links) AND NOT EXISTS (SELECT 1 FROM touch t WHERE t.session_id = s.session_id AND t.event_id NOT IN (SELECT event_id FROM tg)))"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import cents
 from tidemark.functions.time import days
+from tidemark.operators import backfill as B
 from tidemark.operators import spend as S
 from tidemark.plans.base_sql import over
 from tidemark.plans.registry import query
@@ -82,10 +83,37 @@ def a31(spark, sf_dir):
     return values(spark, sf_dir).groupBy("selection").agg(F.count("*").alias("rows"), null("value_cents").alias("null_values"), null("purchases").alias("null_purchases"), null("roas").alias("null_roas"))
 
 
-@query("c18_null_rate_anomalies", over("""SELECT CAST(report_date AS VARCHAR) AS report_date, rows, nulls FROM (SELECT report_date, count(*) AS rows, count(*) FILTER (value_cents IS NULL) AS nulls, sum(count(*)) OVER () AS ar, sum(count(*) FILTER (value_cents IS NULL)) OVER () AS an FROM vals GROUP BY 1)
-  WHERE rows >= 5 AND nulls / CAST(rows AS DOUBLE) >= 0.5 AND nulls / CAST(rows AS DOUBLE) - CASE WHEN ar > rows THEN CAST(an - nulls AS DOUBLE) / CAST(ar - rows AS DOUBLE) ELSE 0.0 END >= 0.3""", AD, ENTRIES))
+PLANTED = ", gappy AS (SELECT report_date, CASE WHEN day(report_date) % 9 = 0 AND campaign_id NOT LIKE '%1' THEN NULL ELSE coalesce(value_cents, 1) END AS value_cents FROM vals)"
+
+
+@query("c18_null_rate_anomalies", over("""SELECT CAST(report_date AS VARCHAR) AS report_date, rows, nulls FROM (SELECT report_date, count(*) AS rows, count(*) FILTER (value_cents IS NULL) AS nulls, sum(count(*)) OVER () AS ar, sum(count(*) FILTER (value_cents IS NULL)) OVER () AS an FROM gappy GROUP BY 1)
+  WHERE rows >= 5 AND nulls / CAST(rows AS DOUBLE) >= 0.5 AND nulls / CAST(rows AS DOUBLE) - CASE WHEN ar > rows THEN CAST(an - nulls AS DOUBLE) / CAST(ar - rows AS DOUBLE) ELSE 0.0 END >= 0.3""", AD, ENTRIES.rstrip() + PLANTED))
 def c18(spark, sf_dir):
-    return _day(S.null_rate_anomalies(values(spark, sf_dir), "report_date", "value_cents"))
+    gap = (F.dayofmonth("report_date") % 9 == 0) & ~F.col("campaign_id").endswith("1")
+    rows = values(spark, sf_dir).withColumn("value_cents", F.when(~gap, F.coalesce("value_cents", F.lit(1).cast("long"))))
+    return _day(S.null_rate_anomalies(rows, "report_date", "value_cents"))
+
+
+STATUSES = """newest AS (SELECT *, 'k' || CAST(CAST(substr(campaign_id, 2) AS INTEGER) % 30 AS VARCHAR) AS campaign, row_number() OVER (PARTITION BY account_id, campaign_id ORDER BY report_date DESC, ordinal DESC, campaign_name) AS rn FROM ad),
+stated AS (SELECT account_id, campaign_id, CASE WHEN campaign_id NOT LIKE '%7' AND campaign_id NOT LIKE '%3' THEN 'resolved' WHEN campaign_id NOT LIKE '%3' THEN 'fallback_name' ELSE 'unresolved' END AS status FROM newest WHERE rn = 1)"""
+
+
+def _statuses(spark, sf_dir):
+    blank = F.when(F.col("campaign_id").endswith("3"), "  ").otherwise(F.col("campaign_name"))
+    rows = ads(spark, sf_dir).withColumns({"platform": F.lit("meta"), "campaign_name": blank})
+    newest = S.newest_per_scope(rows, ["account_id", "campaign_id"], [F.desc("report_date"), F.desc("ordinal"), F.asc("campaign_name")])
+    known = _metadata(spark, sf_dir).where(~F.col("campaign_id").rlike("[37]$")).withColumn("platform", F.lit("meta"))
+    return S.campaign_names(newest, known, ["account_id", "campaign_id"])
+
+
+@query("f54_resolution_statuses", over("SELECT account_id, campaign_id, status FROM stated", AD, STATUSES))
+def f54(spark, sf_dir):
+    return _statuses(spark, sf_dir).select("account_id", "campaign_id", "status")
+
+
+@query("a35_resolution_coverage", over("SELECT account_id, count(*) AS requested, count(*) FILTER (status = 'resolved') AS resolved, count(*) FILTER (status = 'fallback_name') AS fallback, count(*) FILTER (status = 'unresolved') AS unresolved, count(*) FILTER (status = 'resolved') / CAST(count(*) AS DOUBLE) AS resolved_rate, count(*) FILTER (status = 'fallback_name') / CAST(count(*) AS DOUBLE) AS fallback_rate, count(*) FILTER (status = 'unresolved') / CAST(count(*) AS DOUBLE) AS unresolved_rate FROM stated GROUP BY 1", AD, STATUSES))
+def a35(spark, sf_dir):
+    return B.coverage(_statuses(spark, sf_dir), "account_id")
 
 
 @query("c19_spend_granularities", over("SELECT CAST(report_date AS VARCHAR) AS report_date, granularity, entity_key, CAST(sum(cents) AS BIGINT) AS cents, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, arg_min(campaign_name, ordinal) AS campaign_name, arg_min(account_id, ordinal) AS account_id FROM norm GROUP BY ALL", AD))
