@@ -37,7 +37,7 @@ from tidemark.session import ship
 
 STATES, FREQUENT, SUFFIXES, ITERATIONS, SEED, SMOOTHING = 8, 1023, 1024, 3, 11, 0.1
 #: Tokens of a block, about, and of a batch of forward recursions.
-BLOCK_TOKENS, BATCH_TOKENS = 3_000_000, 1_200_000
+BLOCK_TOKENS, BATCH_TOKENS = 2_500_000, 1_200_000
 #: A word is never white space alone, so this stands for the end.
 END = b"\n"
 #: Class numbers: frequent words from 0, suffixes from FREQUENT, then the end and the unknown word.
