@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.attribution import own_and_next, slot
+
 DIMENSIONS = ["source", "medium", "campaign", "content", "term"]
 PER_KEY, WINDOW_DAYS = 25, 7
 
@@ -85,13 +87,14 @@ def lookup_order() -> list[Column]:
 def lookup(asks: DataFrame, candidates: DataFrame, keys: list[str], per_key: int = PER_KEY, days: int = WINDOW_DAYS) -> DataFrame:
     """ask_id, candidate_key, occurred_at, match_kind, place: eligible candidates by any of the keys within the window.
 
-    Each key is an equi join with at most ``per_key`` of the latest rows; a candidate that several keys find is kept once,
-    under the kind that sorts first.
+    Each key is an equi join with at most ``per_key`` of the latest rows, by key and slot of time, so that rows far out of
+    the window aren't met; a candidate that several keys find is kept once, under the kind that sorts first.
     """
-    good = candidates.where(eligible())
+    good = candidates.where(eligible()).withColumn("__slot", own_and_next(F.col("occurred_at"), days))
+    asks = asks.withColumn("__slot", slot(F.col("asked_at"), days))
     out = None
     for key in keys:
-        met = asks.where(F.col(key).isNotNull()).select("ask_id", "asked_at", key).join(good, key)
+        met = asks.where(F.col(key).isNotNull()).select("ask_id", "asked_at", key, "__slot").join(good, [key, "__slot"]).drop("__slot")
         met = met.where((F.col("occurred_at") <= F.col("asked_at")) & (F.col("occurred_at") >= F.col("asked_at") - F.make_dt_interval(F.lit(days))))
         ranked = met.withColumn("__r", F.row_number().over(Window.partitionBy("ask_id").orderBy(F.desc("occurred_at"), "candidate_key"))).where(F.col("__r") <= per_key)
         part = ranked.drop("__r", "asked_at").withColumn("match_kind", F.lit(key))

@@ -79,7 +79,13 @@ def affected_orders(touches: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def relinked_sessions(sessions: DataFrame, evidence: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
-    """session_id, evidence_at: sessions seen up to ``days`` before later evidence of the same customer, newest evidence first."""
-    e = evidence.select("user_id", F.col("ts").alias("evidence_at"))
-    met = sessions.join(e, "user_id").where((F.col("last_seen") <= F.col("evidence_at")) & (F.col("last_seen") >= F.col("evidence_at") - F.make_dt_interval(F.lit(days))))
+    """session_id, evidence_at: sessions seen up to ``days`` before later evidence of the same customer, with the newest such evidence.
+
+    The newest evidence up to ``days`` after a time is looked for in the customer's order of times, so no pairs are made.
+    """
+    e = evidence.select("user_id", F.col("ts").alias("at"), F.lit(None).cast("string").alias("session_id"), F.col("ts").alias("evidence_at"))
+    s = sessions.select("user_id", F.col("last_seen").alias("at"), "session_id", F.lit(None).cast("timestamp_ntz").alias("evidence_at"))
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    after = Window.partitionBy("user_id").orderBy(micros).rangeBetween(Window.currentRow, days * 86_400_000_000)
+    met = e.unionByName(s).withColumn("evidence_at", F.max("evidence_at").over(after)).where("session_id is not null and evidence_at is not null")
     return met.groupBy("session_id").agg(F.max("evidence_at").alias("evidence_at"))
