@@ -1,19 +1,15 @@
-"""Helpers that the text operators share: table access, staging, tokens and 64-bit mixing."""
+"""Helpers that the text operators share: table access, tokens and 64-bit mixing; staging comes from tidemark.storage."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import ship
+from tidemark.storage import shared_dir, stage
 
-#: Folders of sessions without a configured one, by application.
-_own_dirs: dict[str, str] = {}
+__all__ = ["LOWER", "crc_mod", "id_hash", "mix64", "shared_dir", "stage", "table", "words_of"]
 
 #: Upper-case ASCII to lower case; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -24,29 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, which a cluster has to name.
-
-    Only a local master, whose executors are threads of the driver, gets a temporary one of its own.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-        raise ValueError(f"spark.checkpoint.dir names no folder that the driver and the executors of {context.master} share")
-    if context.applicationId not in _own_dirs:
-        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
-    return _own_dirs[context.applicationId]
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def id_hash(*columns: str | Column) -> Column:
     """A non-negative hash of the columns, for sampling and for dealing rows out."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 31))
