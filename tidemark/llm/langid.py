@@ -4,8 +4,9 @@ The network is written and trained in numpy by backpropagation through time.  It
 bytes of a segment in both directions, gives every position a distribution over the learned
 languages, and a document's distribution is the mean over all positions of its whole text.
 
-A segment is a run of bytes that are ASCII letters or part of a multi-byte character, cut every
-``MAX_BYTES`` bytes; the recurrent state starts anew at each segment, so the positions of a
+A segment is a sentence or line: the bytes between two ends of sentences or lines, in which runs of
+other than ASCII letters and parts of multi-byte characters are one space, cut every ``MAX_BYTES`` bytes.  The
+recurrent state runs over all words of a segment and starts anew at the next, so the positions of a
 segment that occurs again have the same labels and are computed once per task.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; rows with equal
@@ -25,19 +26,19 @@ from tidemark.llm.common import crc_mod, id_hash, table
 from tidemark.session import ship
 
 UNDETERMINED = "und"
-MAX_BYTES = 32
+MAX_BYTES = 192
 #: Training takes at most so many rows of a language, and of each a window of so many characters.
-ROWS_PER_LANGUAGE, WINDOW_CHARS, SEGMENTS_PER_LANGUAGE = 400, 1200, 12_000
+ROWS_PER_LANGUAGE, WINDOW_CHARS, SEGMENTS_PER_LANGUAGE = 400, 1200, 4_000
 #: Beyond so many languages each gets a smaller part, so that all are learned and the driver's sample stays bounded.
 FULL_LANGUAGES = 256
-HIDDEN, EPOCHS, BATCH, RATE, SEED = 16, 3, 256, 0.01, 7
+HIDDEN, EPOCHS, BATCH, RATE, SEED = 16, 3, 64, 0.01, 7
 CACHED_SEGMENTS = 200_000
-#: ASCII letters in lower case, bytes of multi-byte characters as they are, all else a separator.
-SEGMENT_BYTES = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+#: ASCII letters in lower case, bytes of multi-byte characters as they are, ends of sentences and lines as line ends, all else a space.
+SEGMENT_BYTES = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 10 if b in b".!?;:\n\r" else 32 for b in range(256))
 
 
 def segments(text: str) -> list[bytes]:
-    out = text.encode("utf-8", "surrogatepass").translate(SEGMENT_BYTES).split()
+    out = [b" ".join(words) for line in text.encode("utf-8", "surrogatepass").translate(SEGMENT_BYTES).split(b"\n") if (words := line.split())]
     if any(len(s) > MAX_BYTES for s in out):
         out = [s[i : i + MAX_BYTES] for s in out for i in range(0, len(s), MAX_BYTES)]
     return out
@@ -57,25 +58,27 @@ class BiGru:
         self.w = {f"{n}{d}": v for d in "fb" for n, v in (("x", put(256, 3 * hidden, s=0.3)), ("u", put(hidden, 3 * hidden, s=hidden**-0.5)), ("b", np.zeros(3 * hidden, np.float32)))}
         self.w |= {"o": put(2 * hidden, len(languages), s=0.2), "c": np.zeros(len(languages), np.float32)}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States at every position, (length, n, hidden)."""
+    def _run(self, x: np.ndarray, mask: np.ndarray | None, d: str, keep: list | None = None) -> np.ndarray:
+        """States at every position, (length, n, hidden); without a mask all positions count."""
         n, length = x.shape
         h, H = np.zeros((n, self.hidden), np.float32), self.hidden
-        wx, u, b = self.w["x" + d], self.w["u" + d], self.w["b" + d]
+        wx, u = self.w["x" + d] + self.w["b" + d], self.w["u" + d]
         out = np.empty((length, n, H), np.float32)
         for t in range(length) if d == "f" else range(length - 1, -1, -1):
-            a, g = wx[x[:, t]] + b, h @ u
+            a, g = wx[x[:, t]], h @ u
             zr = _sigmoid(a[:, : 2 * H] + g[:, : 2 * H])
             z, r = zr[:, :H], zr[:, H:]
             c = np.tanh(a[:, 2 * H :] + r * g[:, 2 * H :])
-            m = mask[:, t : t + 1]
-            new = m * ((1 - z) * c + z * h) + (1 - m) * h
+            new = c + z * (h - c)
+            if mask is not None:
+                m = mask[:, t : t + 1]
+                new = m * new + (1 - m) * h
             if keep is not None:
                 keep.append((t, h, z, r, c, g[:, 2 * H :], m))
             out[t] = h = new
         return out
 
-    def probabilities(self, x: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def probabilities(self, x: np.ndarray, mask: np.ndarray | None = None, keep: dict | None = None) -> np.ndarray:
         """(length, n, languages) for bytes x and a 0/1 mask of (n, length)."""
         states = np.concatenate([self._run(x, mask, d, None if keep is None else keep.setdefault(d, [])) for d in "fb"], axis=2)
         logits = states @ self.w["o"] + self.w["c"]
@@ -141,10 +144,10 @@ class BiGru:
         lengths = np.array([len(s) for s in found])
         for length in np.unique(lengths):
             where = np.flatnonzero(lengths == length)
-            for i in range(0, len(where), 4096):
-                part = where[i : i + 4096]
+            for i in range(0, len(where), 2048):
+                part = where[i : i + 2048]
                 x = np.frombuffer(b"".join(found[j] for j in part), np.uint8).reshape(len(part), length)
-                out[part, :-1] = self.probabilities(x, np.ones(x.shape, np.float32)).sum(axis=0)
+                out[part, :-1] = self.probabilities(x).sum(axis=0)
         out[:, -1] = lengths
         return out
 
