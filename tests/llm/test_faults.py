@@ -171,3 +171,25 @@ def test_pieces_cross_every_place_of_a_long_unit():
         at = np.cumsum([len(vocabulary.output[i].decode()) for i in own])
         crossing += cut not in at
     assert crossing > 100
+
+
+def test_batches_carry_every_token(spark):
+    from tidemark.llm import packing, pieces
+
+    rows = [(1, BASE), (2, "short"), (3, None), (4, ""), (5, BASE * 5), (6, "a b c"), (None, "no id here"), (7, "same"), (7, "same"), (7, "other")]
+    encoded = pieces.sampled_pieces(frame(spark, rows)).select("doc_id", "ids")
+    want = collections.defaultdict(set)
+    for r in encoded.collect():
+        if r["ids"]:
+            want[r["doc_id"]].add(tuple(r["ids"]))
+    out = packing.token_batches(encoded, pad_id=0, max_tokens=64, buckets=3, budget=256).collect()
+    parts = collections.defaultdict(list)
+    for b in out:
+        assert len({len(x) for x in b["input_ids"]}) == 1 and len(b["input_ids"]) * b["bucket"] <= 256
+        for d, start, n, ids in zip(b["doc_ids"], b["starts"], b["n_tokens"], b["input_ids"], strict=True):
+            assert len(ids) == b["bucket"] and not any(ids[n:])
+            parts[d].append((start, tuple(ids[:n])))
+    for d, texts in want.items():
+        assert sum(len(p) for _, p in parts[d]) == sum(map(len, texts))
+        if len(texts) == 1:
+            assert sum((p for _, p in sorted(parts[d])), ()) == next(iter(texts))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import id_hash, stage, table
+from tidemark.session import ship
 
 MAX_TOKENS, BUCKETS, BUDGET = 2048, 12, 16_384
 #: Pieces of a group at least, and groups at most but for one a bucket: the table of groups is bounded.
@@ -57,18 +58,18 @@ def bucket_bounds(histogram: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     return bounds[::-1]
 
 
-def pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """doc_id, piece, start, n_tokens: every token of every document is in one piece."""
-    sized = docs.select("doc_id", token_count(F.col("text")).alias("__n"))
-    cut = F.explode(F.sequence(F.lit(0), F.ceil(F.col("__n") / max_tokens).cast("int") - 1))
-    out = sized.select("doc_id", "__n", cut.alias("piece"))
+def pieces(sized: DataFrame, keys: list[str], max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """keys, piece, start, n_tokens for rows of (keys, n): every token is in one piece."""
+    cut = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / max_tokens).cast("int") - 1))
+    out = sized.select(*keys, "n", cut.alias("piece"))
     start = (F.col("piece") * max_tokens).cast("long")
-    return out.select("doc_id", "piece", start.alias("start"), F.least(F.col("__n") - start, F.lit(max_tokens)).cast("int").alias("n_tokens"))
+    return out.select(*keys, "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(max_tokens)).cast("int").alias("n_tokens"))
 
 
-def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """doc_id, piece, start, n_tokens, bucket (its bound), batch, slot: one row per piece."""
-    parts = stage(pieces(docs, max_tokens), "pieces")
+def pack_lengths(sized: DataFrame, keys: list[str], max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """keys, piece, start, n_tokens, bucket (its bound), batch, slot: one row per piece of the rows of (keys, n), n at least 1."""
+    ship(sized.sparkSession)
+    parts = stage(pieces(sized, keys, max_tokens), "pieces")
     histogram = np.zeros(max_tokens + 1, np.int64)
     for r in parts.groupBy("n_tokens").count().collect():  # max_tokens rows at most
         histogram[r["n_tokens"]] = r["count"]
@@ -81,15 +82,38 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS,
         inside = F.col("n_tokens") <= high
         bucket = F.when(inside, F.lit(high)).otherwise(bucket)
         groups = F.when(inside, F.lit(-(-int(histogram[low + 1 : high + 1].sum()) // each))).otherwise(groups)
-    dealt = parts.withColumn("bucket", bucket).withColumn("__group", F.pmod(id_hash("doc_id", "piece"), groups).cast("int"))
+    dealt = parts.withColumn("bucket", bucket).withColumn("__group", F.pmod(id_hash(*keys, "piece"), groups).cast("int"))
     sizes = dealt.groupBy("bucket", "__group").agg(F.count("*").alias("__size"))
     before = Window.partitionBy("bucket").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", "__group", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy("bucket", "__group").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("bucket", "__group").orderBy(*keys, "piece")
     placed = dealt.withColumn("__at", F.row_number().over(inside)).join(F.broadcast(offsets), ["bucket", "__group"])
     at, holds = F.col("__offset") + F.col("__at") - 1, F.floor(F.lit(budget) / F.col("bucket"))
     holds = F.greatest(holds, F.lit(1))
-    return placed.select("doc_id", "piece", "start", "n_tokens", "bucket", F.floor(at / holds).cast("long").alias("batch"), (at % holds).cast("int").alias("slot"))
+    return placed.select(*keys, "piece", "start", "n_tokens", "bucket", F.floor(at / holds).cast("long").alias("batch"), (at % holds).cast("int").alias("slot"))
+
+
+def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """doc_id, piece, start, n_tokens, bucket, batch, slot of documents, by their words."""
+    return pack_lengths(docs.select("doc_id", token_count(F.col("text")).alias("n")), ["doc_id"], max_tokens, buckets, budget)
+
+
+def token_batches(encoded: DataFrame, pad_id: int, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """bucket, batch, doc_ids, starts, n_tokens, input_ids: padded batches of (doc_id, ids), such as a tokenizer gives.
+
+    Slot k of a batch is the tokens starts[k] .. starts[k] + n_tokens[k] of a document, padded with pad_id to
+    the bucket's bound; a batch has at most ``budget`` tokens, or one row.  Rows without ids are in no batch; rows
+    equal in id and tokens are packed once.
+    """
+    rows = stage(encoded.where(F.size("ids") > 0).select("doc_id", "ids").withColumn("row", F.xxhash64("doc_id", "ids")), "encoded")
+    placed = pack_lengths(rows.dropDuplicates(["doc_id", "row"]).select("doc_id", "row", F.size("ids").cast("long").alias("n")), ["doc_id", "row"], max_tokens, buckets, budget)
+    texts = rows.dropDuplicates(["doc_id", "row"]).select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "ids")
+    met = placed.join(texts, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("row") == F.col("__row")))
+    tokens = F.slice("ids", (F.col("start") + 1).cast("int"), "n_tokens")
+    padded = F.concat(tokens, F.array_repeat(F.lit(pad_id).cast("int"), F.col("bucket") - F.col("n_tokens")))
+    slots = F.array_sort(F.collect_list(F.struct("slot", "doc_id", "start", "n_tokens", padded.alias("ids"))))  # bounded by the budget
+    out = met.groupBy("bucket", "batch").agg(slots.alias("s"))
+    return out.select("bucket", "batch", F.col("s.doc_id").alias("doc_ids"), F.col("s.start").alias("starts"), F.col("s.n_tokens").alias("n_tokens"), F.col("s.ids").alias("input_ids"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
