@@ -183,3 +183,24 @@ def stitch(identities: DataFrame, incoming: DataFrame) -> DataFrame:
         .when(F.col("e_id").isNotNull() | F.col("c_id").isNotNull(), "reuse").otherwise("create")
     )
     return out.select("record_id", decision.alias("decision"), F.coalesce("c_id", "e_id").alias("identity_id"))
+
+
+def upserted(identities: DataFrame, incoming: DataFrame) -> DataFrame:
+    """identity_id, email_hash, customer_id after incoming records (record_id, email_hash, customer_id).
+
+    A record goes to the identity that stitch() gives it; conflicts and records without a key change nothing.
+    Records that found an identity share it by their e-mail hash, else their customer id, under minus the
+    smallest record_id.  A value that is known stays; a missing one is the first record's that has it, unless
+    another identity owns it.
+    """
+    rows = incoming.join(stitch(identities, incoming).where("decision in ('reuse', 'create')"), "record_id")
+    key = F.when(F.col("identity_id").isNull(), F.coalesce(F.concat(F.lit("e"), "email_hash"), F.concat(F.lit("c"), "customer_id")))
+    new = rows.where("identity_id is null").groupBy(key.alias("__key")).agg((-F.min("record_id")).alias("__new"))
+    rows = rows.withColumn("__key", key).join(new, "__key", "left").withColumn("identity_id", F.coalesce("identity_id", "__new"))
+    fields = ("email_hash", "customer_id")
+    for f in fields:
+        owners = identities.where(F.col(f).isNotNull()).select(f, F.col("identity_id").alias("__owner"))
+        rows = rows.join(owners, f, "left").withColumn(f"__{f}", F.when(F.coalesce(F.col("__owner") == F.col("identity_id"), F.lit(True)), F.col(f))).drop("__owner")
+    found = rows.groupBy("identity_id").agg(*[F.min_by(f"__{f}", F.when(F.col(f"__{f}").isNotNull(), F.col("record_id"))).alias(f"__{f}") for f in fields])
+    out = identities.join(found, "identity_id", "full_outer")
+    return out.select("identity_id", *[F.coalesce(f, f"__{f}").alias(f) for f in fields])

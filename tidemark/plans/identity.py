@@ -88,6 +88,17 @@ def c16(spark, sf_dir):
     return I.stitch(ids, incoming)
 
 
+@query("c16b_identity_upserts", STITCH.replace("SELECT i.record_id, CASE", ", st AS (SELECT i.record_id, i.email_hash, i.customer_id, CASE", 1) + """),
+ok AS (SELECT *, CASE WHEN decision = 'create' THEN coalesce('e' || email_hash, 'c' || customer_id) END AS k FROM st WHERE decision IN ('reuse', 'create')),
+tgt AS (SELECT ok.*, coalesce(identity_id, -min(record_id) OVER (PARTITION BY k)) AS target FROM ok),
+fnd AS (SELECT target, arg_min(email_hash, record_id) AS email_hash, arg_min(customer_id, record_id) FILTER (customer_id NOT IN (SELECT customer_id FROM ids WHERE customer_id IS NOT NULL AND identity_id <> target)) AS customer_id FROM tgt GROUP BY 1)
+SELECT coalesce(i.identity_id, f.target) AS identity_id, coalesce(i.email_hash, f.email_hash) AS email_hash, coalesce(i.customer_id, f.customer_id) AS customer_id FROM ids i FULL OUTER JOIN fnd f ON i.identity_id = f.target""")
+def c16b(spark, sf_dir):
+    ids = V.table(spark, sf_dir, "customer").selectExpr("c_custkey as identity_id", "concat('e', c_custkey) as email_hash", "case when c_custkey % 2 = 0 then concat('c', c_custkey) end as customer_id")
+    incoming = V.table(spark, sf_dir, "orders").selectExpr("o_orderkey as record_id", "case when o_orderkey % 5 <> 0 then concat('e', o_custkey + o_orderkey % 3 * 5000) end as email_hash", "case when o_orderkey % 7 < 3 then concat('c', o_custkey + o_orderkey % 2) end as customer_id")
+    return I.upserted(ids, incoming)
+
+
 CANDIDATES = """
 raw AS (SELECT 's' || CAST(event_id % 700 AS VARCHAR) AS candidate_key, CAST(ts AS DATE) AS day, event_id AS ordinal, source, medium, campaign, content, term, click_type, click_value, time_bucket(INTERVAL 1 HOUR, ts) AS export_hour,
   CASE WHEN k % 2 = 0 THEN 'events' ELSE 'intraday' END AS table_type, CASE WHEN k % 3 > 0 THEN CAST(user_id AS VARCHAR) END AS client_key, CASE WHEN k % 4 = 1 THEN 'x' || CAST(event_id % 90 AS VARCHAR) END AS transaction_key, 'g' || CAST(event_id % 700 AS VARCHAR) AS session_key,
