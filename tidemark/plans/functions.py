@@ -1,4 +1,4 @@
-"""Queries on column functions and sinks."""
+"""Queries on column functions and sinks."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Queries on identity and fallback candidates."""
+"""Queries on identity and fallback candidates."""
 
 from __future__ import annotations
 

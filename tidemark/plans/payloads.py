@@ -1,4 +1,4 @@
-"""Queries on JSON sources.
+"""Queries on JSON sources.
 
 The payloads are built from the supplied tables by text that both engines read; the SQL states the
 expected rows from the tables' columns and parses no JSON.

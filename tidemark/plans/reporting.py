@@ -1,4 +1,4 @@
-"""Queries on the cube and the read API."""
+"""Queries on the cube and the read API."""
 
 from __future__ import annotations
 
