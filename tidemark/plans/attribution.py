@@ -10,14 +10,16 @@ from tidemark.operators import reporting as R
 from tidemark.plans.base_sql import over, over_credits
 from tidemark.plans.registry import query
 from tidemark.sources import views as V
+from tidemark.storage import stage
 
 
 def _micros(c):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def credited(spark, sf_dir, models=A.MODELS, **options):
-    return A.credits(A.journeys(V.orders(spark, sf_dir), V.sessions(spark, sf_dir), V.touches(spark, sf_dir)), models, **options)
+def credited(spark, sf_dir, models=A.MODELS, sessions=None, **options):
+    sessions = stage(V.sessions(spark, sf_dir), "sessions") if sessions is None else sessions  # two kinds of evidence read them
+    return A.credits(A.journeys(V.orders(spark, sf_dir), sessions, V.touches(spark, sf_dir)), models, **options)
 
 
 def _candidates(spark, sf_dir):

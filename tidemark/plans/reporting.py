@@ -10,6 +10,7 @@ from tidemark.plans.attribution import credited
 from tidemark.plans.base_sql import over, over_credits, over_cube
 from tidemark.plans.registry import query
 from tidemark.sources import views as V
+from tidemark.storage import stage
 
 M = ", ".join(R.MEASURES)
 SUMS = ", ".join(f"CAST(coalesce(sum({m}), 0) AS BIGINT) AS {m}" for m in R.MEASURES)
@@ -21,8 +22,8 @@ RATES = """coalesce(CASE WHEN visits <> 0 THEN (orders_e8 / 1e8::DOUBLE) / CAST(
 
 
 def cube(spark, sf_dir):
-    orders = V.orders(spark, sf_dir)
-    return R.cube(V.sessions(spark, sf_dir), credited(spark, sf_dir), orders, V.spend(spark, sf_dir))
+    orders, sessions = V.orders(spark, sf_dir), stage(V.sessions(spark, sf_dir), "sessions")
+    return R.cube(sessions, credited(spark, sf_dir, sessions=sessions), orders, V.spend(spark, sf_dir))
 
 
 def _text_date(df):
