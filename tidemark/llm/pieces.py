@@ -17,7 +17,9 @@ put before it; U+2581 itself is written as bytes, so it can't be taken for a spa
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,30 @@ def text_hashes(texts: list[str]) -> np.ndarray:
     return mix64((mix64(codes + _ODD) * power).sum(axis=1, dtype=np.uint64))
 
 
+class HashTable:
+    """Values of 64-bit hashes: sorted hashes, and for their first bits where those begin."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        order = np.argsort(hashes)
+        self.shift = np.uint64(64 - max(1, len(hashes).bit_length() + 1))
+        first = hashes[order] >> self.shift
+        self.starts = np.searchsorted(first, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64))
+        self.most = int(np.bincount(first.astype(np.int64)).max(initial=0))
+        # behind the last hash stands one that is looked for nowhere near
+        self.hashes, self.values = np.append(hashes[order], np.zeros(self.most + 1, np.uint64)), np.append(values[order], np.full(self.most + 1, -1))
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the wanted hashes are there, and their values."""
+        at, known = self.starts[wanted >> self.shift], np.zeros(len(wanted), bool)
+        todo = np.arange(len(wanted))
+        for _ in range(self.most):
+            same = self.hashes[at[todo]] == wanted[todo]
+            known[todo[same]] = True
+            todo = todo[~same]
+            at[todo] += 1
+        return known, self.values[at[known]]
+
+
 class Vocabulary:
     """Pieces by text with their ids, and the ids of the 256 byte pieces."""
 
@@ -67,9 +93,7 @@ class Vocabulary:
             ways[len(text) - 1][text] = i
         self.prefixes = []
         for own in ways:
-            hashes = text_hashes(list(own))
-            order = np.argsort(hashes)
-            self.prefixes.append((hashes[order], np.array(list(own.values()))[order]))
+            self.prefixes.append(HashTable(text_hashes(list(own)), np.array(list(own.values()))))
         self.output: list[bytes] = [b""] * n
         for p, i in self.ids.items():
             self.output[i] = p.replace(SPACE, " ").encode()
@@ -100,19 +124,23 @@ class Lattices:
     Every path over a character may be scaled by the same factor, so weights are divided by
     those of the single characters, and no filter value of a short unit under- or overflows; with ``logs`` the
     filter is kept in logarithms.  Edges into node v have
-    cumulated shares in (v, v + 1], so one sorted search of v + u draws an edge of v.
+    cumulated shares in (v, v + 1], so the first one over v + u draws an edge of v.
     """
 
-    def __init__(self, vocabulary: Vocabulary, units_: list[tuple[str, bool]], logs: bool = False):
-        sizes = np.array([len(u) for u, _ in units_])
+    def __init__(self, vocabulary: Vocabulary, units_: list[str | None], logs: bool = False):
+        names = [SPACE if u is None else u for u in units_]
+        sizes = np.array(list(map(len, names)))
         self.begin = np.cumsum(sizes + 1) - sizes - 1  # a unit's first node
         self.end = self.begin + sizes
-        codes = np.frombuffer("\0".join([u for u, _ in units_] + [""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        codes = np.frombuffer("\0".join([*names, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         inner = np.ones(len(codes), bool)
         inner[self.end] = False  # the character between two units
         nodes = np.arange(len(codes))
         last = np.repeat(self.end, sizes + 1)
-        literal = np.repeat(np.array([x for _, x in units_]), sizes + 1)
+        literal = np.zeros(len(codes), bool)
+        if None in units_:
+            at = units_.index(None)
+            literal[self.begin[at] : self.end[at] + 1] = True
         power = np.cumprod(np.full(len(codes) + 1, _ODD)) * _INVERSE
         inverse = np.cumprod(np.full(len(codes) + 1, _INVERSE)) * _ODD
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(codes + _ODD) * power[:-1])])
@@ -120,18 +148,16 @@ class Lattices:
         active = nodes[inner & ~literal]
         starts, ends, ids = [], [], []
         single = np.full(len(codes), -1)
-        for length, (hashes, piece) in enumerate(vocabulary.prefixes, 1):
+        for length, table in enumerate(vocabulary.prefixes, 1):
             active = active[active + length <= last[active]]
-            h = mix64((sums[active + length] - sums[active]) * inverse[active])
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            same = hashes[at] == h
-            active, at = active[same], at[same]
-            found = piece[at] >= 0
+            known, piece = table.find(mix64((sums[active + length] - sums[active]) * inverse[active]))
+            active = active[known]
+            found = piece >= 0
             if length == 1:
-                single[active[found]] = piece[at[found]]
+                single[active[found]] = piece[found]
             starts.append(active[found])
             ends.append(active[found] + length)
-            ids.append(piece[at[found]])
+            ids.append(piece[found])
         spelled = np.flatnonzero(inner & (single < 0))
         chars, which = np.unique(codes[spelled], return_inverse=True)
         self.runs = [[vocabulary.bytes[b] for b in chr(int(c)).encode("utf-8", "surrogatepass")] for c in chars]
@@ -175,6 +201,8 @@ class Lattices:
         run -= np.repeat(np.concatenate([[0.0], run])[heads], counts)
         run[heads + counts - 1] = 1.0
         self.share = end + np.minimum(run, 1.0)
+        self.heads = np.zeros(len(codes), np.int64)  # a node's first edge
+        self.heads[end[heads]] = heads
 
     def sample(self, unit_numbers: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(occurrence, id) of all drawn pieces, in text order within an occurrence."""
@@ -183,7 +211,9 @@ class Lattices:
         while len(who):
             draw = mix64(seeds[who] + np.uint64(step * 0xD1342543DE82EF95 % (1 << 64)))
             u = (draw >> np.uint64(12)).astype(np.float64) * 2.0**-52
-            edge = np.searchsorted(self.share, np.minimum(at + u, np.nextafter(at + 1.0, 0.0)), "right")
+            drawn, edge, todo = np.minimum(at + u, np.nextafter(at + 1.0, 0.0)), self.heads[at], np.arange(len(at))
+            while len(todo := todo[self.share[edge[todo]] <= drawn[todo]]):  # a node's last share is over any draw
+                edge[todo] += 1
             occurrences.append(who)
             edges.append(self.first[edge])
             at = self.source[edge]
@@ -196,28 +226,28 @@ class Lattices:
         return who[order], ids[order]
 
 
-def units_of(text: str) -> list[tuple[str, bool]]:
-    """(unit, whether it is a literal U+2581) in text order."""
+def units_of(text: str) -> list[str | None]:
+    """The units in text order; None is a literal U+2581."""
     if SPACE not in text:
-        return [(u, False) for u in units(text)]
-    out: list[tuple[str, bool]] = []
+        return units(text)
+    out: list[str | None] = []
     for k, part in enumerate(text.split(SPACE)):
         if k:
-            out.append((SPACE, True))
+            out.append(None)
         found = units(part) if part or not k else []
         if k and found:  # only the text's start gets a space put before it
             found = [found[0][1:], *found[1:]] if len(found[0]) > 1 else found[1:]
-        out += [(u, False) for u in found]
+        out += found
     return out
 
 
 def draw(vocabulary: Vocabulary, keys: list[int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The sampled ids of all texts one after another, and where each text's begin and end."""
-    number: dict[tuple[str, bool], int] = {}
+    number: dict[str | None, int] = defaultdict(count().__next__)  # in order of appearance
     numbers, counts = [], []
     for text in texts:
         found = units_of(text) if text is not None else []
-        numbers += [number.setdefault(u, len(number)) for u in found]
+        numbers += map(number.__getitem__, found)
         counts.append(len(found))
     if not numbers:
         return np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
@@ -227,7 +257,7 @@ def draw(vocabulary: Vocabulary, keys: list[int], texts: list[str | None]) -> tu
     key = mix64(np.array([(k or 0) & ((1 << 64) - 1) for k in keys], np.uint64))[rows]
     seeds = mix64(key + place * np.uint64(0x9E3779B97F4A7C15))
     distinct = list(number)
-    long = np.array([len(u) > SHORT_CHARS for u, _ in distinct])
+    long = np.array([0 if u is None else len(u) for u in distinct]) > SHORT_CHARS
     which, drawn, runs = np.cumsum(long) - 1, [], []
     which[~long] = np.arange((~long).sum())
     for logs in (False, True):
