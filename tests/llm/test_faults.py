@@ -151,7 +151,7 @@ def test_long_units_are_one_lattice():
 
     vocabulary = pieces.Vocabulary()
     # a unit just over the limit gives the same distribution in logarithms as without
-    short, long = pieces.Lattices(vocabulary, [("▁thethe", False)]), pieces.Lattices(vocabulary, [("▁thethe", False)], logs=True)
+    short, long = pieces.Lattices(vocabulary, ["▁thethe"]), pieces.Lattices(vocabulary, ["▁thethe"], logs=True)
     assert np.allclose(short.share, long.share) and (short.source == long.source).all() and (short.first == long.first).all()
     text = "日本語の文章には空白がない。" * 900 + "x" * 3000
     ids = pieces.encode(vocabulary, [1, 2], [text, text])
