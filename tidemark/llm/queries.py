@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.balltree import OP6_SQL, op6_topk
+from tidemark.llm.curves import op11_neighbours
 from tidemark.llm.hmm import op7_hmm
 from tidemark.llm.hostpaths import op8_main_text
 from tidemark.llm.langid import op2_language
 from tidemark.llm.lcp import op1_fingerprints
 from tidemark.llm.linededup import op5_lines
+from tidemark.llm.manifest import OP12_SQL, op12_manifest
 from tidemark.llm.minhash import op4_minhash
 from tidemark.llm.packing import op3_packing
 from tidemark.llm.pieces import op9_pieces
+from tidemark.llm.threshold import OP13_SQL, op13_ranked
 from tidemark.llm.toxicity import op10_toxicity
 
 
@@ -30,8 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_main_text": op8_main_text,
         "op9_pieces": op9_pieces,
         "op10_toxicity": op10_toxicity,
+        "op11_neighbours": op11_neighbours,
+        "op12_manifest": op12_manifest,
+        "op13_ranked": op13_ranked,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": OP6_SQL}
+    return {"op6_topk": OP6_SQL, "op12_manifest": OP12_SQL, "op13_ranked": OP13_SQL}
