@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.time import local_date
+from tidemark.sources.versions import exists
+from tidemark.storage import stage
 
 #: Events may be so old, and so far ahead of the clock.
 MAX_AGE, MAX_SKEW = "24 hours", "300 seconds"
@@ -29,12 +30,16 @@ def identified(events: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def judged_batch(events: DataFrame, known: DataFrame, as_of: Column, order: str) -> DataFrame:
-    """Adds outcome: why an event isn't admitted, duplicate of a known one or of an earlier one of the batch, or accepted."""
-    first = F.row_number().over(Window.partitionBy("event_key").orderBy(order)) == 1
+    """Adds outcome: why an event isn't admitted, duplicate of a known one or of an earlier admissible one of the batch, or accepted.
+
+    A copy that isn't admitted never stands in the way of one that is.
+    """
+    why = events.withColumn("__why", rejection(F.col("ts"), as_of))
+    first = F.row_number().over(Window.partitionBy("event_key", F.col("__why").isNull()).orderBy(order)) == 1
     old = known.select("event_key").distinct().withColumn("__known", F.lit(True))
-    rows = events.withColumn("__first", first).join(old, "event_key", "left")
-    outcome = F.coalesce(rejection(F.col("ts"), as_of), F.when(~F.col("__first") | F.col("__known").isNotNull(), "duplicate"), F.lit("accepted"))
-    return rows.withColumn("outcome", outcome).drop("__first", "__known")
+    rows = why.withColumn("__first", first).join(old, "event_key", "left")
+    outcome = F.coalesce("__why", F.when(~F.col("__first") | F.col("__known").isNotNull(), "duplicate"), F.lit("accepted"))
+    return rows.withColumn("outcome", outcome).drop("__why", "__first", "__known")
 
 
 def refresh_requests(accepted: DataFrame, orders: DataFrame) -> DataFrame:
@@ -44,26 +49,35 @@ def refresh_requests(accepted: DataFrame, orders: DataFrame) -> DataFrame:
     return days.union(touched).distinct()
 
 
+def known_events(spark: SparkSession, path: str, batch: DataFrame, as_of: Column, number: int) -> DataFrame:
+    """event_key of other batches' events that this batch can repeat: those of the days that its clock still admits.
+
+    An event is admitted up to MAX_AGE after its time, so older days are never read and can be removed.
+    """
+    if not exists(spark, f"{path}/seen"):
+        return spark.createDataFrame([], "event_key string")
+    oldest, newest = batch.agg(F.to_date(F.min(as_of - F.expr(f"interval {MAX_AGE}"))), F.to_date(F.max(as_of + F.expr(f"interval {MAX_SKEW}")))).first()
+    seen = spark.read.schema("event_key string, day date, batch int").parquet(f"{path}/seen")
+    return seen.where(F.col("day").between(F.lit(oldest), F.lit(newest)) & (F.col("batch") != number)).select("event_key")
+
+
 def ingest(batch: DataFrame, path: str, number: int, columns: list[str], as_of: Column) -> None:
-    """One batch of a stream: judge, keep what is accepted, and write the batch's events, partial sessions and rejects.
+    """One batch of a stream: judge, keep what is accepted, and write the batch's events, keys, partial sessions, rejects and stale days.
 
-    All parts are written under the batch's number, so that a repeated batch replaces itself.  Known
-    events are those of other batches.
+    The keys that later batches are held against, ``seen``, lie by day of the event.  All parts are written under the batch's number, the keys last,
+    so that a batch that was broken off and comes again replaces itself.  ``as_of`` is the clock of an event's
+    reception, best a column, so that a repeated batch is judged as before.
     """
     spark = batch.sparkSession
-    put = lambda df, name: df.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/{name}")
     rows = identified(batch, columns)
-    try:
-        known = spark.read.parquet(f"{path}/events").where(F.col("batch") != number)
-    except AnalysisException:  # the first batch
-        known = rows.limit(0)
-    judged = judged_batch(rows, known, as_of, "ts").persist()
+    judged = stage(judged_batch(rows, known_events(spark, path, batch, as_of, number), as_of, "ts"), "judged")
     accepted = judged.where("outcome = 'accepted'").drop("outcome")
-    put(accepted, "events")
-    put(accepted.groupBy("session_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("events")), "sessions")
-    put(judged.where("outcome <> 'accepted'"), "rejected")
-    put(accepted.select(local_date(F.col("ts")).alias("day")).distinct(), "stale_days")
-    judged.unpersist()
+    sessions = accepted.groupBy("session_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("events"))
+    parts = {"events": accepted, "sessions": sessions, "rejected": judged.where("outcome <> 'accepted'"), "stale_days": accepted.select(local_date(F.col("ts")).alias("day")).distinct()}
+    for name, part in parts.items():
+        part.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+    for day in (r[0] for r in accepted.select(F.to_date("ts")).distinct().collect()):  # the days that the clock admits: two or three
+        accepted.where(F.to_date("ts") == F.lit(day)).select("event_key").write.mode("overwrite").parquet(f"{path}/seen/day={day}/batch={number}")
 
 
 def deduplicated(events: DataFrame, keys: list[str], ts: str = "ts", delay: str = MAX_AGE) -> DataFrame:
