@@ -31,7 +31,6 @@ from tidemark.session import ship
 ARITY = 3
 #: Levels of a block (2,187 leaves), and of a layer within it.
 HEIGHT, LAYER = 7, 2
-BLOCK = ARITY**HEIGHT
 PATH = "array<struct<before:string,after:string>>"
 
 
@@ -104,25 +103,28 @@ def traverse(leaves: list[str], levels: int) -> Iterator[list[tuple[str, str]]]:
         yield path
 
 
-def block_root(group: pa.Table) -> pa.Table:
-    """The nodes of one block to its root, a node of the next round."""
-    group = group.sort_by("pos")
-    nodes, n = group["node"].to_pylist(), group["n"][0].as_py()
-    for _ in range(min(HEIGHT, levels_of(n))):
-        nodes = [digest(nodes[i : i + ARITY]) for i in range(0, len(nodes), ARITY)]
-    return pa.table({"grp": group["grp"][:1], "pos": pa.array([group["pos"][0].as_py() // BLOCK]), "n": pa.array([-(-n // BLOCK)]), "node": nodes})
+def block_of(height: int) -> Column:
+    return F.expr(f"pos div {ARITY**height}").alias("block")
 
 
-def rounds_of(nodes: DataFrame) -> list[DataFrame]:
+def rounds_of(nodes: DataFrame, height: int) -> list[DataFrame]:
     """``nodes`` (grp, pos, n, node), the roots of its blocks, the roots of theirs, ... until each group has one."""
+
+    def block_root(group: pa.Table) -> pa.Table:
+        group = group.sort_by("pos")
+        nodes, n, block = group["node"].to_pylist(), group["n"][0].as_py(), ARITY**height
+        for _ in range(min(height, levels_of(n))):
+            nodes = [digest(nodes[i : i + ARITY]) for i in range(0, len(nodes), ARITY)]
+        return pa.table({"grp": group["grp"][:1], "pos": pa.array([group["pos"][0].as_py() // block]), "n": pa.array([-(-n // block)]), "node": nodes})
+
     rounds = [nodes]
     while (rounds[-1].agg(F.max("n")).first()[0] or 0) > 1:
-        own = rounds[-1].select("grp", "pos", "n", "node", F.floor(F.col("pos") / BLOCK).alias("block"))
+        own = rounds[-1].select("grp", "pos", "n", "node", block_of(height))
         rounds.append(stage(own.groupBy("grp", "block").applyInArrow(block_root, "grp string, pos long, n long, node string"), "roots"))
     return rounds
 
 
-def with_paths(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def with_paths(nodes: DataFrame, above: DataFrame, height: int) -> DataFrame:
     """Adds path, subroot and root to nodes; ``above`` has them for the roots of the nodes' blocks."""
     names = [f.name for f in nodes.schema]
     kind = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
@@ -131,7 +133,7 @@ def with_paths(nodes: DataFrame, above: DataFrame) -> DataFrame:
         block = block.sort_by("pos")
         rest = [(x["before"], x["after"]) for x in upper["path"][0].as_py()]
         before, after, ends = [], [], [0]
-        for path in traverse(block["node"].to_pylist(), min(HEIGHT, levels_of(block["n"][0].as_py()))):
+        for path in traverse(block["node"].to_pylist(), min(height, levels_of(block["n"][0].as_py()))):
             for siblings in (path, rest):
                 before += [s[0] for s in siblings]
                 after += [s[1] for s in siblings]
@@ -143,31 +145,31 @@ def with_paths(nodes: DataFrame, above: DataFrame) -> DataFrame:
         return block
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema)
-    own = nodes.withColumn("block", F.floor(F.col("pos") / BLOCK)).groupBy("grp", "block")
+    own = nodes.withColumn("block", block_of(height)).groupBy("grp", "block")
     tops = above.select("grp", F.col("pos").alias("block"), "path", "subroot", "root").groupBy("grp", "block")
     return own.cogroup(tops).applyInArrow(walk, f"{schema}, path {PATH}, subroot string, root string")
 
 
-def down(rounds: list[DataFrame], above: DataFrame) -> DataFrame:
+def down(rounds: list[DataFrame], above: DataFrame, height: int) -> DataFrame:
     """Paths of the first round's nodes, from those of the last round's."""
     for k in range(len(rounds) - 2, -1, -1):
-        above = with_paths(rounds[k], above)
+        above = with_paths(rounds[k], above, height)
         above = stage(above, "paths") if k else above
     return above
 
 
-def manifest(leaves: DataFrame) -> DataFrame:
+def manifest(leaves: DataFrame, height: int = HEIGHT) -> DataFrame:
     """grp, doc_id, node and any other columns to pos, n, path, subroot and root; grp is a text that isn't null."""
     ship(leaves.sparkSession)
-    rounds = rounds_of(positions(leaves, "grp", ["doc_id", "node"], "leaves"))
+    rounds = rounds_of(positions(leaves, "grp", ["doc_id", "node"], "leaves"), height)
     subroots = rounds[-1].select(F.lit("").alias("grp"), F.col("grp").alias("of"), "node")
-    upper = rounds_of(positions(subroots, "grp", ["of"], "subroots"))
+    upper = rounds_of(positions(subroots, "grp", ["of"], "subroots"), height)
     root = upper[-1].select("grp", "pos", F.array().cast(PATH).alias("path"), F.col("node").alias("subroot"), F.col("node").alias("root"))
-    tops = root.join(upper[0].select("grp", "of", "node"), "grp").drop("pos") if len(upper) == 1 else down(upper, root)
+    tops = root.join(upper[0].select("grp", "of", "node"), "grp").drop("pos") if len(upper) == 1 else down(upper, root, height)
     tops = stage(tops.select(F.col("of").alias("grp"), F.lit(0).cast("long").alias("pos"), "path", F.col("node").alias("subroot"), "root"), "tops")
     if len(rounds) == 1:  # every group has one leaf
         return rounds[0].join(tops.drop("pos"), "grp")
-    return down(rounds, tops)
+    return down(rounds, tops, height)
 
 
 def field(column: str | Column) -> Column:
@@ -186,21 +188,25 @@ def folded(node: str | Column, path: str = "path") -> Column:
     return F.aggregate(path, start, lambda own, s: F.sha2(F.concat(s["before"], own, s["after"]).cast("binary"), 256))
 
 
-def proofs(documents: DataFrame) -> DataFrame:
+def proofs(documents: DataFrame, height: int = HEIGHT) -> DataFrame:
     """doc_id, node (leaf), tampered (the leaf after tampering), pos, n, path, subroot, root of every document."""
     altered = F.when(crc_mod("doc_id", 2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
     grp = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
-    return manifest(documents.select(grp.alias("grp"), "doc_id", leaf("text").alias("node"), leaf(altered).alias("tampered"))).drop("grp")
+    return manifest(documents.select(grp.alias("grp"), "doc_id", leaf("text").alias("node"), leaf(altered).alias("tampered")), height).drop("grp")
 
 
-def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified: each document's proof, and whether it still holds."""
-    found = proofs(table(spark, sf_dir, "documents"))
+def checked(found: DataFrame) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of proofs: whether each, with its leaf after tampering, still holds."""
     siblings = F.array_join(F.transform("path", lambda s: F.concat(s["before"], s["after"])), "")
     out = found.select("doc_id", F.col("node").alias("leaf"), "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), folded("tampered").alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every document."""
+    return checked(proofs(table(spark, sf_dir, "documents")))
+
+
 def _field_sql(value: str) -> str:
     return f"coalesce(strlen({value}) || ':' || {value}, '-')"
 
