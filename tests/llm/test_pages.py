@@ -28,18 +28,27 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, u, h, "x", 1) for i, u, h in rows], "page_id long, url string, html string, text string, host int")
 
 
+def around(seen, node):
+    """The paths of a container and of all around it."""
+    out = set()
+    while node >= 0:
+        out.add(seen.keys[node])
+        node = seen.ups[node]
+    return out
+
+
 def plain(rows):
     """The vote, page by page."""
     read = {i: hostpaths.read(h) for i, _, h in rows}
-    own = {i: hostpaths.best_path(*read[i]) for i in read}
+    own = {i: hostpaths.best_path(read[i]) for i in read}
     host = {i: (u or "").split("/")[2] if u else "" for i, u, _ in rows}
     votes = collections.defaultdict(collections.Counter)
     for i, path in own.items():
         if path is not None:
             votes[host[i]][path] += 1
     out = {}
-    for i, (blocks, _) in read.items():
-        under = lambda path, blocks=blocks: " ".join(b.text for b in blocks if hostpaths.inside(b.path, path))
+    for i, seen in read.items():
+        under = lambda path, seen=seen: " ".join(b.text for b in seen.blocks if path in around(seen, b.node))
         if own[i] is None:
             out[i] = ""
             continue
@@ -67,15 +76,15 @@ def test_the_host_decides(spark):
     text, talk = "Words of the article stand here. " * 10, "Somebody says something about it. " * 25
     html = lambda rest: f"<body><nav>Menu</nav><div class='text'><p>{text}</p></div><div class='x9'>{rest}</div></body>"
     rows = [(i, "https://a.example/1", html("<p>short</p>")) for i in range(4)] + [(9, "https://a.example/2", html(f"<p>{talk}</p>"))]
-    assert hostpaths.best_path(*hostpaths.read(rows[-1][2])) == ">div.x#"
+    assert hostpaths.best_path(hostpaths.read(rows[-1][2])) == hostpaths.key_of(hostpaths.ROOT, "div.x#")
     got = {r["page_id"]: r["text"] for r in hostpaths.main_text(frame(spark, rows)).collect()}
     assert got[9] == text.strip()
 
 
 def one(html):
-    blocks, marked = hostpaths.read(html)
-    path = hostpaths.best_path(blocks, marked)
-    return " ".join(b.text for b in blocks if path is not None and hostpaths.inside(b.path, path))
+    seen = hostpaths.read(html)
+    path = hostpaths.best_path(seen)
+    return " ".join(seen.under(path)) if path is not None else ""
 
 
 @pytest.mark.parametrize(
@@ -89,6 +98,9 @@ def one(html):
         ("<article><p>One.</p><noscript><div>Turn it on</div></noscript><p>Two.</p></article>", "One. Two."),
         ("<article><p>One.</p><script>if (a < b) { x('</div></article>') }</script><p>Two.</p></article>", "One. Two."),
         ("<article><p>Text.</p><p class='ad'>Buy this</p><p>End &lt;here&gt;&#x21;</p></article><div class='comments'><article><p>A reader writes very many words here, more than the text has.</p></article></div>", "Text. End <here>!"),
+        ("<article><div class='share-price'><p>Share price of the firm fell.</p></div><table class='toc'><tr><td>Cell of the article</td></tr></table><p>And more.</p></article>", "Share price of the firm fell. Cell of the article And more."),
+        ("<article><p>Words of it.</p><div class='related-posts'><a href=/a>Another story</a></div><ul class='shareBar'><li><a href=/b>Share</a></li></ul></article>", "Words of it."),
+        ("<body><div class='main-nav'><p>Some words without links</p></div><div class='text'><p>The text of the article is longer than that.</p></div><div id='left_sidebar'><p>Side words</p></div></body>", "The text of the article is longer than that."),
         ("<p>Cut off <b>in the middle", "Cut off in the middle"),
         ("<article><p style='display: none'>Unseen</p><p>Seen</p></article>", "Seen"),
     ],
@@ -102,5 +114,20 @@ def test_ties_repeated_ids_and_long_pages(spark):
     rows = [(1, "https://t.example/1", "<nav>Menu</nav><div class='b'><p>same length</p></div><div class='a'><p>same lengti</p></div>")] * 2
     rows += [(2, "https://l.example/1", f"<article><p>{long}</p></article>"), (2, "https://l.example/2", "<article><p>other</p></article>")]
     got = sorted((r["page_id"], r["n_chars"], r["text"][:11]) for r in hostpaths.main_text(frame(spark, rows)).collect())
-    # the root has half of both, as much as each, and sorts first
+    # the root has half of both, as much as each, and is the outer one
     assert got == [(1, 23, "same length"), (1, 23, "same length"), (2, 5, "other"), (2, len(long) - 1, "word word w")]
+
+
+def test_deep_pages_take_memory_in_proportion():
+    """30,000 nested containers with a text each, read in a few megabytes and seconds."""
+    import time
+    import tracemalloc
+
+    html = "<article>" + "".join(f"<div class='d{k % 7}'><p>word {k}</p>" for k in range(30_000)) + "</section>" * 30_000 + "<div class='share'>" * 3_000
+    began = time.time()
+    tracemalloc.start()
+    text = one(html)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text.split() == [w for k in range(30_000) for w in ("word", str(k))]
+    assert peak < 100_000_000 and time.time() - began < 60
