@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 # An anomaly is a drop by this share of a mean that is at least so large.
 DROP_RATIO, LEAST_BASELINE = 0.35, 5
@@ -142,6 +144,37 @@ def dead_letters(old: DataFrame, failures: DataFrame) -> DataFrame:
     return both.groupBy("identity").agg(F.sum("failures").alias("failures"), F.min("first_failed").alias("first_failed"), F.max("last_failed").alias("last_failed"), F.max_by("last_error", F.struct("last_failed", "last_error")).alias("last_error"))
 
 
-def nearest_rank(values: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """One row with the nearest-rank percentiles p50, p95, ..."""
-    return values.agg(*[F.expr(f"percentile_disc({p}) within group (order by {column})").alias(f"p{round(p * 100)}") for p in shares])
+def splits(values: DataFrame, column: str, bins: int) -> list:
+    """At most ``bins`` - 1 ascending values that part the column into ranges of about equal numbers; from a sketch of bounded size."""
+    found = values.agg(F.percentile_approx(column, [i / bins for i in range(1, bins)], 10 * bins)).first()[0]
+    return sorted(set(found or []))
+
+
+def nearest_rank(values: DataFrame, column: str, shares: list[float], bins: int = 1_000, bin_rows: int = 1_000_000) -> DataFrame:
+    """One row with the nearest-rank percentiles p50, p95, ...: the smallest value that at least that share of the values doesn't exceed.
+
+    A sketch parts the values into ranges, whose exact counts tell the range of each rank; only that range
+    is looked at, parted anew while it has more than ``bin_rows`` different values.  So no task holds more than a range, and values that
+    are equal count as one.  Nulls are left out; without values all are null.
+    """
+    rows = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
+    total = values.agg(F.count(column)).first()[0]
+    kind, out = values.schema[column].dataType, {}
+    for share in shares:
+        name, inside, before = f"p{round(share * 100)}", rows, 0
+        rank = max(1, math.ceil(share * total - 1e-9))
+        while total and inside.count() > bin_rows:
+            cuts = splits(inside, column, bins)
+            bin_of = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(column)))
+            counts = sorted((r["bin"], r["n"]) for r in inside.groupBy(bin_of.alias("bin")).agg(F.sum("__n").alias("n")).collect())
+            for number, n in counts:
+                if before + n >= rank:
+                    break
+                before += n
+            if len(counts) == 1:
+                break  # the sketch tells no two values apart
+            low, high = cuts[number - 1] if number else None, cuts[number] if number < len(cuts) else None
+            inside = inside.where((F.lit(True) if low is None else F.col(column) > F.lit(low)) & (F.lit(True) if high is None else F.col(column) <= F.lit(high)))
+        ranked = inside.withColumn("__upto", F.sum("__n").over(Window.orderBy(column)) + before)  # a range of at most bin_rows
+        out[name] = ranked.where(F.col("__upto") >= rank).agg(F.min(column)).first()[0] if total else None
+    return values.sparkSession.createDataFrame([tuple(out.values())], StructType([StructField(name, kind) for name in out]))

@@ -65,6 +65,18 @@ def null_rate_anomalies(values: DataFrame, day: str, column: str) -> DataFrame:
     return out.where((F.col("rows") >= LEAST_ROWS) & (rate >= NULL_RATE) & (rate - base >= NULL_RATE_OVER_BASELINE)).select(day, "rows", "nulls")
 
 
+def zero_row_anomalies(rows: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, fetched, normalised of every expected sync that fetched nothing, or of which nothing was normalised.
+
+    ``expected`` has the keys (such as account, level and day) of the syncs that ran, a row each; rows have the keys and
+    ``is_normalised``.  A day that delivered nothing has no row of its own, so it is found only from what ran.
+    """
+    got = rows.groupBy(*keys).agg(F.count("*").alias("fetched"), F.count_if("is_normalised").alias("normalised"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    out = expected.select(*keys).distinct().join(got, keys, "left").select(*keys, zero("fetched"), zero("normalised"))
+    return out.where("fetched = 0 or normalised = 0")
+
+
 def entity_extracts(tables: dict[str, DataFrame], kinds: list[str]) -> DataFrame:
     """platform, account_id, kind, entity, name, report_date of every entity that a platform's spend rows name."""
     parts = []

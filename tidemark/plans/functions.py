@@ -68,11 +68,16 @@ def f31(spark, sf_dir):
     )
 
 
-@query("f36_local_day_bounds", "SELECT CAST(d AS VARCHAR) AS day, epoch_us((CAST(d AS TIMESTAMP) AT TIME ZONE 'America/Los_Angeles') AT TIME ZONE 'UTC') AS starts_us, epoch_us((CAST(d + INTERVAL 1 DAY AS TIMESTAMP) AT TIME ZONE 'America/Los_Angeles') AT TIME ZONE 'UTC') - 1000 AS ends_us FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS d)")
+@query("f36_local_day_bounds", over("""SELECT CAST(d AS VARCHAR) AS day, epoch_us(starts) AS starts_us, epoch_us(ends) AS ends_us, count(e.event_id) AS events FROM (
+  SELECT d, (CAST(d AS TIMESTAMP) AT TIME ZONE 'America/Los_Angeles') AT TIME ZONE 'UTC' AS starts, (CAST(d + INTERVAL 1 DAY AS TIMESTAMP) AT TIME ZONE 'America/Los_Angeles') AT TIME ZONE 'UTC' - INTERVAL 1 MILLISECOND AS ends FROM (SELECT CAST(unnest(generate_series(DATE '2023-12-31', DATE '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS d))
+  LEFT JOIN ev e ON e.ts >= starts AND e.ts <= ends GROUP BY ALL"""))
 def f36(spark, sf_dir):
-    rows = days(spark, "2024-01-01", "2024-12-31").withColumn("b", day_bounds(F.col("day")))
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return rows.select(F.col("day").cast("string").alias("day"), us("b.starts").alias("starts_us"), us("b.ends").alias("ends_us"))
+    """The bounds of the year's local days in UTC, two of which aren't 24 hours long, and the events within them."""
+    bounds = days(spark, "2023-12-31", "2024-12-31").withColumn("b", day_bounds(F.col("day"))).select("day", "b.starts", "b.ends")
+    events = V.events(spark, sf_dir).select("ts", F.explode(F.array(F.to_date("ts"), F.date_sub(F.to_date("ts"), 1))).alias("day"))  # a time lies on its UTC day or the one before
+    found = events.join(F.broadcast(bounds), "day").where(F.col("ts").between(F.col("starts"), F.col("ends"))).groupBy("day").agg(F.count("*").alias("events"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(f"{c}_us")
+    return bounds.join(found, "day", "left").select(F.col("day").cast("string").alias("day"), us("starts"), us("ends"), F.coalesce("events", F.lit(0).cast("long")).alias("events"))
 
 
 @query("p22_free_text", "SELECT c_custkey FROM customer WHERE contains(lower(c_name || chr(1) || c_mktsegment), 'mach')")

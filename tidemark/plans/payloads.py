@@ -6,6 +6,8 @@ expected rows from the tables' columns and parses no JSON.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -16,7 +18,9 @@ from tidemark.plans.base_sql import over
 from tidemark.plans.registry import query
 from tidemark.plans.spend import AD, ads
 from tidemark.sources import payloads as P
+from tidemark.sources import shards as D
 from tidemark.sources import views as V
+from tidemark.storage import shared_dir
 
 
 def expr(sql: str):
@@ -168,6 +172,31 @@ def s11(spark, sf_dir):
     return out.groupBy("table_type", "suffix").agg(F.count("*").alias("rows"))
 
 
+def laid_out(spark, sf_dir):
+    """All events as shards by day; those of the last four days are there as intraday shards, too."""
+    path = f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    rows = V.events(spark, sf_dir).select("event_id", "user_id", "ts")
+    late = rows.where(F.col("ts") >= F.lit("2024-01-27").cast("timestamp_ntz"))
+    both = rows.where(F.to_date("ts") < F.lit("2024-01-29").cast("date")).withColumn("kind", F.lit("events")).unionByName(late.withColumn("kind", F.lit("intraday")))
+    D.write_shards(both, path, F.col("kind"), F.to_date("ts"))
+    return D.read_shards(spark, path, "event_id long, user_id long, ts timestamp_ntz, kind string").drop("kind")
+
+
+SHARDS = "sh AS (SELECT event_id, 'events' AS table_type, strftime(ts, '%Y%m%d') AS suffix FROM ev WHERE ts < TIMESTAMP '2024-01-29' UNION ALL SELECT event_id, 'intraday', strftime(ts, '%Y%m%d') FROM ev WHERE ts >= TIMESTAMP '2024-01-27')"
+
+
+@query("s11_pruned_shards", over("SELECT table_type, suffix, count(*) AS rows FROM sh s WHERE suffix BETWEEN '20240126' AND '20240130' AND (table_type = 'events' OR NOT EXISTS (SELECT 1 FROM sh d WHERE d.table_type = 'events' AND d.suffix = s.suffix)) GROUP BY 1, 2", SHARDS))
+def s11_pruned(spark, sf_dir):
+    rows = D.one_kind_a_day(D.between(laid_out(spark, sf_dir), "20240126", "20240130"))
+    return rows.groupBy("table_type", F.col("table_suffix").alias("suffix")).agg(F.count("*").alias("rows"))
+
+
+@query("s11_shards_since_watermark", over("SELECT table_type, suffix, count(*) AS rows FROM sh WHERE suffix >= CASE table_type WHEN 'events' THEN '20240118' ELSE '20240127' END AND suffix <= '20240129' GROUP BY 1, 2", SHARDS))
+def s11_since(spark, sf_dir):
+    marks = V.events(spark, sf_dir).agg(F.max("ts")).select(F.explode(F.expr("map('events', date'2024-01-20', 'intraday', date'2024-01-29')")).alias("table_type", "watermark"))
+    return D.since(laid_out(spark, sf_dir), marks, "20240129", 2).groupBy("table_type", F.col("table_suffix").alias("suffix")).agg(F.count("*").alias("rows"))
+
+
 @query("s21_export_list", over("SELECT session_id, user_id, epoch_us(last_seen) AS last_us FROM sess"))
 def s21(spark, sf_dir):
     return G.export_list(V.sessions(spark, sf_dir), "last_seen", "session_id").select("session_id", "user_id", _us(F.col("last_seen")).alias("last_us"))

@@ -94,6 +94,20 @@ def c18(spark, sf_dir):
     return _day(S.null_rate_anomalies(rows, "report_date", "value_cents"))
 
 
+SYNCED = ", syncs AS (SELECT * FROM (SELECT DISTINCT account_id FROM ad) CROSS JOIN (SELECT unnest(['account', 'campaign', 'adset', 'ad']) AS level) CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS report_date))"
+
+
+@query("c18_zero_row_anomalies", over("""SELECT account_id, level, CAST(report_date AS VARCHAR) AS report_date, count(v.level) AS fetched, count(*) FILTER (v.ok) AS normalised
+  FROM syncs LEFT JOIN (SELECT account_id, ['account', 'campaign', 'adset', 'ad'][CAST(substr(campaign_id, 2) AS INTEGER) % 4 + 1] AS level, report_date, day(report_date) % 11 <> 5 AS ok FROM ad WHERE (day(report_date) + CAST(substr(account_id, 2) AS INTEGER)) % 7 > 0) v USING (account_id, level, report_date) GROUP BY 1, 2, 3 HAVING count(v.level) = 0 OR count(*) FILTER (v.ok) = 0""", AD, SYNCED.lstrip(", ")))
+def c18_zero(spark, sf_dir):
+    """Of every account, level and day of a month that were synced, those that brought no row, or none that could be used."""
+    level = F.element_at(F.array(*[F.lit(x) for x in ("account", "campaign", "adset", "ad")]), (F.substring("campaign_id", 2, 9).cast("int") % 4 + 1))
+    rows = ads(spark, sf_dir).where((F.dayofmonth("report_date") + F.substring("account_id", 2, 9).cast("int")) % 7 > 0).select("account_id", level.alias("level"), "report_date", (F.dayofmonth("report_date") % 11 != 5).alias("is_normalised"))
+    month = F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))
+    ran = ads(spark, sf_dir).select("account_id").distinct().withColumn("level", F.explode(F.array(*[F.lit(x) for x in ("account", "campaign", "adset", "ad")]))).withColumn("report_date", F.explode(month))
+    return _day(S.zero_row_anomalies(rows, ran, ["account_id", "level", "report_date"]))
+
+
 STATUSES = """newest AS (SELECT *, 'k' || CAST(CAST(substr(campaign_id, 2) AS INTEGER) % 30 AS VARCHAR) AS campaign, row_number() OVER (PARTITION BY account_id, campaign_id ORDER BY report_date DESC, ordinal DESC, campaign_name) AS rn FROM ad),
 stated AS (SELECT account_id, campaign_id, CASE WHEN campaign_id NOT LIKE '%7' AND campaign_id NOT LIKE '%3' THEN 'resolved' WHEN campaign_id NOT LIKE '%3' THEN 'fallback_name' ELSE 'unresolved' END AS status FROM newest WHERE rn = 1)"""
 
