@@ -9,6 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import identity as I
 from tidemark.operators import refresh as U
 from tidemark.operators import reporting as R
 from tidemark.sources.versions import Versioned, exists
@@ -170,3 +171,36 @@ def test_stream_that_is_killed_gives_the_rows_of_one_that_is_not(spark, tmp_path
     assert of("whole") == of("killed")
     ids = [r["event_key"] for r in spark.read.parquet(str(tmp_path / "killed/events")).collect()]
     assert sorted(ids) == sorted({f"e{k}" for k in range(12)})
+
+
+def test_changed_customers_give_the_journeys_of_a_full_rebuild(spark, tmp_path):
+    batches = 4
+    touches, orders, _ = world(spark, 11, batches)
+    touches = touches.withColumn("event_type", F.element_at(F.array(*[F.lit(x) for x in ("view", "click", "signup")]), (F.col("event_id") % 3 + 1).cast("int")))
+    upto = lambda df, b: df.where(F.col("batch") <= b).drop("batch")
+    data = lambda b: (sessions(upto(touches, b)), upto(touches, b), upto(orders, b))
+    first = U.facts_of(*data(0))
+    table = U.facts_table(spark, first, str(tmp_path))
+    table.replace(first, None, "first")
+    for b in range(1, batches):
+        one = F.col("user_id") == 3 if b == batches - 1 else F.lit(True)  # the last change set is one customer's
+        touches, orders = (df.where((F.col("batch") < batches - 1) | one) for df in (touches, orders)) if b == batches - 1 else (touches, orders)
+        new = touches.where(F.col("batch") == b).select("user_id").union(orders.where(F.col("batch") == b).select("user_id"))
+        parts = U.refresh_facts(table, *data(b), new, f"batch {b}")
+        want = U.facts_of(*data(b))
+        assert rows(table.read().select(want.columns)) == rows(want)
+    assert len(parts) == 1
+
+
+def test_hubs_and_pages_grow_with_rows_not_with_pairs(spark):
+    n = 20_000
+    records = spark.range(n).select(F.col("id").alias("record_id"), F.lit("hot").alias("checkout_token"), F.concat(F.lit("s"), (F.col("id") % 5_000).cast("string")).alias("visit"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("x"), F.col("id").cast("string"))).alias("session_id"))
+    hubs = I.evidence_hubs(records)
+    assert hubs.count() == n + 5_000 + 2 * (n // 2)
+    edged = records.select(F.lit("one").alias("journey"), (F.col("record_id") % 3 > 0).alias("is_active"), F.lit(20).alias("precedence"), F.lit("session_id").alias("node_type"), F.col("record_id").cast("string").alias("node_key"))
+    timed = records.select(F.lit("one").alias("journey"), F.lit(AT).cast("timestamp_ntz").alias("at"), F.col("record_id").cast("string").alias("id"))
+    pages = I.journey_pages(edged, timed.limit(7), timed.limit(0), 500).collect()
+    by = {(r["section"], r["page"]): r for r in pages}
+    assert sorted(by) == sorted([("edges", p) for p in range(40)] + [("sessions", 0)]) and all(len(r["entries"]) <= 500 and r["pages"] == (40 if r["section"] == "edges" else 1) for r in pages)
+    order = [e for p in range(40) for e in by["edges", p]["entries"]]
+    assert order == [f"session_id:{k}" for k in sorted(range(n), key=lambda k: (k % 3 == 0, f"session_id:{k}"))]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.graph import components
+from tidemark.operators.order import positions
 from tidemark.storage import stage
 
 # Kinds of keys and their precedence.
@@ -144,6 +145,32 @@ def journey_documents(edged: DataFrame, sessions: DataFrame, orders: DataFrame)
     return out.select("journey", F.transform("edges", lambda e: F.concat(e["node_type"], F.lit(":"), e["node_key"])).alias("edges"), ids(F.col("sessions")).alias("sessions"), ids(F.col("orders")).alias("orders"))
 
 
+def journey_pages(edged: DataFrame, sessions: DataFrame, orders: DataFrame, page_rows: int = 500) -> DataFrame:
+    """journey, section, page, pages, entries: a journey's nodes, sessions and orders in their order, in pages of ``page_rows``.
+
+    A journey of any size comes out in rows of bounded length: its entries get their places from sorted ranges, and only a page is
+    gathered.  ``sessions`` and ``orders`` have journey and the columns (at, id); times that are null come first.
+    """
+    node = edged.select("journey", F.lit("edges").alias("section"), ((~F.col("is_active")).cast("long") * 1_000 - F.col("precedence")).alias("rank"), F.concat("node_type", F.lit(":"), "node_key").alias("entry"))
+    timed = lambda df, name: df.select("journey", F.lit(name).alias("section"), F.unix_micros(F.col("at").cast("timestamp")).alias("rank"), F.col("id").alias("entry"))
+    entries = node.unionByName(timed(sessions, "sessions")).unionByName(timed(orders, "orders"))
+    placed = positions(entries.withColumn("__grp", F.concat("section", F.lit("="), "journey")), "__grp", ["rank", "entry"], "entries")
+    page = placed.groupBy("journey", "section", F.expr(f"pos div {page_rows}").alias("page")).agg(F.array_sort(F.collect_list(F.struct("pos", "entry"))).alias("list"), F.ceil(F.max("n") / page_rows).cast("long").alias("pages"))
+    return page.select("journey", "section", "page", "pages", F.transform("list", lambda x: x["entry"]).alias("entries"))
+
+
+def evidence_hubs(records: DataFrame) -> DataFrame:
+    """hub, kind, member: the records and the sessions of every token and of every named session, each once.
+
+    A record and a session belong together when they share a hub.  Rows grow with the records, however many share a token,
+    where pairs would grow with their product.
+    """
+    token = lambda member, kind: records.where("checkout_token is not null").select(F.concat(F.lit("checkout_token:"), "checkout_token").alias("hub"), F.lit(kind).alias("kind"), F.col(member).cast("string").alias("member"))
+    named = lambda member, kind: records.where("session_id is not null").select(F.concat(F.lit("session:"), "session_id").alias("hub"), F.lit(kind).alias("kind"), F.col(member).cast("string").alias("member"))
+    rows = token("record_id", "record").unionByName(token("visit", "session")).unionByName(named("record_id", "record")).unionByName(named("session_id", "session"))
+    return rows.where("member is not null").distinct()
+
+
 def evidence_sessions(records: DataFrame) -> DataFrame:
     """record_id, session_id: the session a record names and those that showed its checkout token.
 

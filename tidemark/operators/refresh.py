@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.time import local_date
 from tidemark.operators import attribution as A
+from tidemark.operators import journey as J
 from tidemark.operators import reporting as R
 from tidemark.sources.versions import Versioned
 from tidemark.storage import shared_dir, stage
@@ -102,3 +103,34 @@ def refresh(tables: Tables, data: Data, before: DataFrame, touches: DataFrame, o
     rows = R.cube(on_days(data.sessions, begins, days), tables.credits.read(days), ranked, on_days(data.spend, F.col("report_date"), days))
     tables.cube.replace(rows, days, f"{run}:cube")
     return days
+
+
+#: Parts of the stored journey facts; a customer's rows lie in one.
+FACT_PARTS = 64
+
+
+def fact_part(user_id: Column | str) -> Column:
+    return F.pmod(F.xxhash64(user_id), F.lit(FACT_PARTS)).cast("int")
+
+
+def facts_of(sessions: DataFrame, events: DataFrame, orders: DataFrame) -> DataFrame:
+    return J.journey_facts(sessions, events, orders).withColumn("part", fact_part("user_id"))
+
+
+def facts_table(spark: SparkSession, facts: DataFrame, path: str | None = None) -> Versioned:
+    path = path or f"{shared_dir(spark).rstrip('/')}/facts-{uuid.uuid4().hex}"
+    return Versioned(spark, path, facts.schema, "part")
+
+
+def refresh_facts(table: Versioned, sessions: DataFrame, events: DataFrame, orders: DataFrame, changed: DataFrame, run: str) -> list[str]:
+    """Bring the stored journey facts up to date for the customers (user_id) of new or changed rows; returns the parts that were written.
+
+    All that a session's row says, its numbers and running sums among the customer's sessions, the window that ends with the customer's latest
+    event, and the orders that its tokens meet, comes from rows of the same customer.  So a change spreads over its customers and no
+    further: only their rows are read, put together again and swapped with their parts.
+    """
+    who = stage(changed.select("user_id").where("user_id is not null").distinct(), "customers")
+    own = lambda df: df.join(who, "user_id", "left_semi")
+    parts = sorted(str(r[0]) for r in who.select(fact_part("user_id")).distinct().collect())
+    table.merge(facts_of(own(sessions), own(events), own(orders)), who, parts, run)
+    return parts

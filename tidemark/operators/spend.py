@@ -27,6 +27,20 @@ def rollup(rows: DataFrame, first_seen: list[str], ordinal: Column) -> DataFrame
     return out.select("report_date", "granularity", "entity_key", "cents", "clicks", "impressions", "__f.*")
 
 
+def granular(rows: DataFrame, first_seen: list[str], ordinal: str) -> DataFrame:
+    """Sums by day, granularity and entity, with the attributes of the entity's row of the least ordinal (of equal ones, the smallest).
+
+    Only numbers are summed up, on the map side already; the attributes are looked up for the few groups that are left.
+    """
+    ids = [f"{g}_id" for g in GRANULARITIES]
+    narrow = normalise(rows.select("report_date", *ids, "cents", "clicks", "impressions", F.col(ordinal).alias("__ordinal"))).drop(*ids)
+    keys = ["report_date", "granularity", "entity_key"]
+    sums = narrow.groupBy(*keys).agg(F.sum("cents").alias("cents"), F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.min("__ordinal").alias("__ordinal"))
+    named = rows.select("report_date", F.col(ordinal).alias("__ordinal"), F.create_map(*[x for g in GRANULARITIES for x in (F.lit(g), F.col(f"{g}_id"))]).alias("__ids"), F.struct(*first_seen).alias("__f"))
+    met = sums.join(named, ["report_date", "__ordinal"]).where(F.col("entity_key") == F.element_at("__ids", F.col("granularity")))
+    return met.groupBy(*keys, "cents", "clicks", "impressions").agg(F.min("__f").alias("__f")).select(*keys, "cents", "clicks", "impressions", "__f.*")
+
+
 def account_totals(rows: DataFrame) -> DataFrame:
     """Per day and account the sum of its campaign rows, or of its ad rows where it has no campaign row."""
     by = rows.groupBy("report_date", "account_id").agg(F.sum(F.when(F.col("granularity") == "campaign", F.col("cents"))).alias("c"), F.sum(F.when(F.col("granularity") == "ad", F.col("cents"))).alias("a"))

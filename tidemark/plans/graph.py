@@ -11,6 +11,7 @@ from tidemark.plans.identity import NODES, found, records
 from tidemark.plans.registry import query
 from tidemark.sources import payloads as P
 from tidemark.sources import views as V
+from tidemark.storage import stage
 
 EDGES = """
 bestj AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_type, node_key ORDER BY rank DESC, last_at DESC, journey) AS rn FROM (SELECT n.node_type, n.node_key, a.journey, max(n.precedence) AS rank, max(n.seen_at) AS last_at FROM nod n JOIN asg a USING (record_id) WHERE a.journey IS NOT NULL GROUP BY 1, 2, 3)) WHERE rn = 1),
@@ -31,8 +32,8 @@ def _us(c):
 
 
 def _graph(spark, sf_dir):
-    rows = found(spark, sf_dir)
-    journeys = I.assigned(rows)
+    rows = stage(found(spark, sf_dir), "nodes")
+    journeys = stage(I.assigned(rows), "journeys")
     return rows, journeys, I.edges(rows, journeys)
 
 
@@ -95,9 +96,9 @@ def a14(spark, sf_dir):
 LINKED = """linked AS (SELECT DISTINCT r.visit AS session_id FROM rec r JOIN asg a USING (record_id) WHERE a.journey IS NOT NULL)"""
 
 
-def _visits(spark, sf_dir):
+def _visits(spark, sf_dir, journeys=None):
     """session_id, journey: a session's journey is the smallest of its records'."""
-    journeys = I.assigned(found(spark, sf_dir)).where("journey is not null")
+    journeys = (I.assigned(found(spark, sf_dir)) if journeys is None else journeys).where("journey is not null")
     return records(spark, sf_dir).join(journeys, "record_id").groupBy(F.col("visit").alias("session_id")).agg(F.min("journey").alias("journey"))
 
 
@@ -153,10 +154,29 @@ je AS (SELECT journey, string_agg(node_type || ':' || node_key, ',' ORDER BY cod
 """
 
 
-@query("c32_journey_documents", over("SELECT journey, edges, coalesce(sessions, '') AS sessions, coalesce(orders, '') AS orders FROM je LEFT JOIN js USING (journey) LEFT JOIN jo USING (journey)", NODES, EDGES, DOCUMENTS))
-def c32(spark, sf_dir):
+def _document_parts(spark, sf_dir):
+    """The edges, sessions and orders of all journeys; components are built once."""
     _, journeys, edged = _graph(spark, sf_dir)
-    sessions = V.sessions(spark, sf_dir).join(_visits(spark, sf_dir), "session_id").select("journey", F.col("first_seen").alias("at"), F.col("session_id").alias("id"))
+    sessions = V.sessions(spark, sf_dir).join(_visits(spark, sf_dir, journeys), "session_id").select("journey", F.col("first_seen").alias("at"), F.col("session_id").alias("id"))
     orders = V.orders(spark, sf_dir).join(journeys, F.col("order_id") == F.col("record_id")).select("journey", F.col("ts").alias("at"), F.col("order_id").cast("string").alias("id"))
-    out = I.journey_documents(edged, sessions, orders)
+    return edged, sessions, orders
+
+
+@query("c32_journey_pages", over("""SELECT journey, section, place // 25 AS page, CAST(ceil(max(n) / 25.0) AS BIGINT) AS pages, string_agg(entry, ',' ORDER BY place) AS entries FROM (SELECT *, row_number() OVER (PARTITION BY journey, section ORDER BY rank, entry) - 1 AS place, count(*) OVER (PARTITION BY journey, section) AS n FROM (
+  SELECT journey, 'edges' AS section, CASE WHEN code IS NULL THEN 0 ELSE 1000 END - precedence AS rank, node_type || ':' || node_key AS entry FROM edg UNION ALL SELECT v.journey, 'sessions', epoch_us(s.first_seen), s.session_id FROM sess s JOIN vis v USING (session_id)
+  UNION ALL SELECT a.journey, 'orders', epoch_us(o.ts), CAST(o.order_id AS VARCHAR) FROM ord o JOIN asg a ON a.record_id = o.order_id WHERE a.journey IS NOT NULL)) GROUP BY ALL""", NODES, EDGES, DOCUMENTS))
+def c32_pages(spark, sf_dir):
+    edged, sessions, orders = _document_parts(spark, sf_dir)
+    rows = I.journey_pages(edged, sessions, orders.where("journey is not null"), 25)
+    return rows.select("journey", "section", "page", "pages", F.array_join("entries", ",").alias("entries"))
+
+
+@query("u04_evidence_hubs", over("SELECT 'checkout_token:' || checkout_token AS hub, 'record' AS kind, CAST(record_id AS VARCHAR) AS member FROM rec WHERE checkout_token IS NOT NULL UNION SELECT 'checkout_token:' || checkout_token, 'session', visit FROM rec WHERE checkout_token IS NOT NULL UNION SELECT 'session:' || session_id, 'record', CAST(record_id AS VARCHAR) FROM rec WHERE session_id IS NOT NULL UNION SELECT 'session:' || session_id, 'session', session_id FROM rec WHERE session_id IS NOT NULL", NODES))
+def u04_hubs(spark, sf_dir):
+    return I.evidence_hubs(records(spark, sf_dir))
+
+
+@query("c32_journey_documents", over("SELECT journey, edges, coalesce(sessions, '') AS sessions, coalesce(orders, '') AS orders FROM je LEFT JOIN js USING (journey) LEFT JOIN jo USING (journey)", NODES, EDGES, DOCUMENTS))
+def c32(spark, sf_dir):
+    out = I.journey_documents(*_document_parts(spark, sf_dir))
     return out.select("journey", *[F.array_join(c, ",").alias(c) for c in ("edges", "sessions", "orders")])

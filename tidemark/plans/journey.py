@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import journey as J
+from tidemark.operators import refresh as U
 from tidemark.plans.base_sql import over
 from tidemark.plans.registry import query
 from tidemark.sources import views as V
@@ -39,22 +40,49 @@ num AS (SELECT *, row_number() OVER o AS session_number, count(*) OVER p AS jour
 COUNTS = "event_count, page_view_count, product_view_count, add_to_cart_count, checkout_started_count"
 
 
+def sessions_of(touches):
+    """Sessions of the touches that are there, as the view makes them of all."""
+    first = F.min_by(F.struct("event_id", *V.DIMENSIONS, "click_type", "click_value"), F.struct("ts", "event_id"))
+    return touches.groupBy("session_id", "user_id").agg(first.alias("first"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")).select("session_id", "user_id", "first_seen", "last_seen", "first.*")
+
+
 def facts(spark, sf_dir):
     return J.journey_facts(V.sessions(spark, sf_dir), _events(spark, sf_dir), V.orders(spark, sf_dir))
 
 
-@query("c14_customer_journey", over(f"""SELECT user_id, session_id, epoch_us(started_at) AS started_us, epoch_us(ended_at) AS ended_us, {COUNTS}, session_orders, session_cents, journey_orders, journey_cents,
+FACTS_SQL = over(f"""SELECT user_id, session_id, epoch_us(started_at) AS started_us, epoch_us(ended_at) AS ended_us, {COUNTS}, session_orders, session_cents, journey_orders, journey_cents,
   CAST(session_number AS BIGINT) AS session_number, journey_sessions, epoch_us(journey_started_at) AS journey_started_us, epoch_us(journey_ended_at) AS journey_ended_us, journey_events, event_end_number,
   CAST(journey_sessions - session_number + 1 AS BIGINT) AS reverse_number, CASE WHEN event_count > 0 THEN event_end_number - event_count + 1 ELSE 0 END AS event_start_number,
-  session_number = 1 AS is_first, session_number = journey_sessions AS is_last, session_orders > 0 AS is_converting FROM num""", JOURNEY))
-def c14(spark, sf_dir):
-    return facts(spark, sf_dir).select(
+  session_number = 1 AS is_first, session_number = journey_sessions AS is_last, session_orders > 0 AS is_converting FROM num""", JOURNEY)
+
+
+def shown(rows):
+    return rows.select(
         "user_id", "session_id", _us("started_at").alias("started_us"), _us("ended_at").alias("ended_us"), *COUNTS.split(", "), "session_orders", "session_cents", "journey_orders", "journey_cents",
         F.col("session_number").cast("long").alias("session_number"), "journey_sessions", _us("journey_started_at").alias("journey_started_us"), _us("journey_ended_at").alias("journey_ended_us"),
         "journey_events", "event_end_number", F.col("reverse_number").cast("long").alias("reverse_number"), "event_start_number", "is_first", "is_last", "is_converting",
     )
 
 
+@query("c14_customer_journey", FACTS_SQL)
+def c14(spark, sf_dir):
+    return shown(facts(spark, sf_dir))
+
+
+@query("c14_refreshed_journeys", FACTS_SQL)
+def c14_refreshed(spark, sf_dir):
+    """The facts of all rows, reached by two change sets that come in any order of time; only their customers are put together anew."""
+    last = lambda df, n, c="event_id": df.where((F.col(c) * 7 + F.col("user_id")) % 3 <= n)
+    data = lambda n: (sessions_of(last(V.touches(spark, sf_dir), n)), last(_events(spark, sf_dir), n), last(V.orders(spark, sf_dir), n, "order_id"))
+    first = U.facts_of(*data(0))
+    table = U.facts_table(spark, first)
+    table.replace(first, None, "first")
+    for n in (1, 2):
+        new = _events(spark, sf_dir).where((F.col("event_id") * 7 + F.col("user_id")) % 3 == n)
+        U.refresh_facts(table, *data(n), new, f"batch {n}")
+    return shown(table.read())
+
+
 @query("a10_event_rollup", over("SELECT session_id, epoch_us(first_event_at) AS first_us, epoch_us(last_event_at) AS last_us, event_count, page_view_count, product_view_count, add_to_cart_count, checkout_started_count, array_to_string(checkout_tokens, ',') AS tokens FROM roll", JOURNEY))
 def a10(spark, sf_dir):
     return J.event_rollup(_events(spark, sf_dir)).select("session_id", _us("first_event_at").alias("first_us"), _us("last_event_at").alias("last_us"), *COUNTS.split(", "), F.array_join("checkout_tokens", ",").alias("tokens"))

@@ -10,6 +10,7 @@ from tidemark.operators import attribution as A
 from tidemark.operators import refresh as U
 from tidemark.operators import reporting as R
 from tidemark.plans.base_sql import over_credits, over_cube
+from tidemark.plans.journey import sessions_of
 from tidemark.plans.registry import query
 from tidemark.sources import views as V
 from tidemark.sources.versions import Versioned
@@ -45,12 +46,7 @@ def arrived(spark, sf_dir, last: int) -> U.Data:
     """All that has arrived with batches 0 to ``last``: every third touch and order comes a batch later than the one before, whatever its time."""
     here = lambda df, c: df.where(F.col(c) % 3 <= last)
     touches = here(V.touches(spark, sf_dir), "event_id")
-    return U.Data(touches, stage(_sessions(touches), "sessions"), here(V.orders(spark, sf_dir), "order_id"), here(V.spend(spark, sf_dir).withColumn("__day", F.dayofmonth("report_date")), "__day").drop("__day"))
-
-
-def _sessions(touches):
-    first = F.min_by(F.struct("event_id", *V.DIMENSIONS, "click_type", "click_value"), F.struct("ts", "event_id"))
-    return touches.groupBy("session_id", "user_id").agg(first.alias("first"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")).select("session_id", "user_id", "first_seen", "last_seen", "first.*")
+    return U.Data(touches, stage(sessions_of(touches), "sessions"), here(V.orders(spark, sf_dir), "order_id"), here(V.spend(spark, sf_dir).withColumn("__day", F.dayofmonth("report_date")), "__day").drop("__day"))
 
 
 @query("c13_refreshed_cube", over_cube(f"SELECT CAST(metric_date AS VARCHAR) AS metric_date, model, source, medium, campaign, content, term, {MEASURES} FROM cube"))

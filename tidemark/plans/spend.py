@@ -132,7 +132,7 @@ def a35(spark, sf_dir):
 
 @query("c19_spend_granularities", over("SELECT CAST(report_date AS VARCHAR) AS report_date, granularity, entity_key, CAST(sum(cents) AS BIGINT) AS cents, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, arg_min(campaign_name, ordinal) AS campaign_name, arg_min(account_id, ordinal) AS account_id FROM norm GROUP BY ALL", AD))
 def c19(spark, sf_dir):
-    return _day(S.rollup(S.normalise(ads(spark, sf_dir)), ["campaign_name", "account_id"], F.col("ordinal")))
+    return _day(S.granular(ads(spark, sf_dir), ["campaign_name", "account_id"], "ordinal"))
 
 
 @query("a26_account_totals", over("SELECT CAST(report_date AS VARCHAR) AS report_date, account_id, CAST(coalesce(sum(cents) FILTER (granularity = 'campaign'), sum(cents) FILTER (granularity = 'ad'), 0) AS BIGINT) AS cents FROM norm GROUP BY ALL", AD))

@@ -69,7 +69,8 @@ class Versioned:
         if done:
             return done
         now, root = self.version(), f"data/{uuid.uuid4().hex}"
-        rows.select(self.columns).write.partitionBy(self.part).parquet(f"{self.path}/{root}")
+        dealt = rows.select(self.columns).hint("rebalance", self.part)  # few files a part, and large parts in several
+        dealt.write.partitionBy(self.part).parquet(f"{self.path}/{root}")
         own = [str(r[0]) for r in self.spark.read.schema(self.schema).parquet(f"{self.path}/{root}").select(F.col(self.part).cast("string")).distinct().collect()]
         if parts is not None and set(own) - set(parts):
             raise ValueError(f"rows outside the replaced parts: {sorted(set(own) - set(parts))[:3]}")
