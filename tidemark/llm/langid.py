@@ -5,9 +5,11 @@ bytes of a segment in both directions, gives every position a distribution over
 languages, and a document's distribution is the mean over all positions of its whole text.
 
 A segment is a sentence or line: the bytes between two ends of sentences or lines, in which runs of
-other than ASCII letters and parts of multi-byte characters are one space, cut every ``MAX_BYTES`` bytes.  The
-recurrent state runs over all words of a segment and starts anew at the next, so the positions of a
-segment that occurs again have the same labels and are computed once per task.
+other than ASCII letters and parts of multi-byte characters are one space.  The recurrent state runs over all of a
+segment, however long, and starts anew at the next, so the positions of a segment that occurs again have the
+same labels and are computed once per task.  Segments of more than ``STRETCH`` bytes are read in stretches that hand
+their states on: from right to left for the states at the cuts, then from left to right with both directions, so that
+memory holds a stretch.  Only examples that the network is trained on are cut to that length.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; rows with equal
 text get equal predictions; without any labelled row that holds a segment everything is ``und``.
@@ -26,7 +28,8 @@ from tidemark.llm.common import crc_mod, id_hash, table
 from tidemark.session import ship
 
 UNDETERMINED = "und"
-MAX_BYTES = 192
+#: Bytes that are read at a time, and of a training example at most; bytes of long segments that run side by side.
+STRETCH, LONG_BYTES = 192, 1 << 25
 #: Training takes at most so many rows of a language, and of each a window of so many characters.
 ROWS_PER_LANGUAGE, WINDOW_CHARS, SEGMENTS_PER_LANGUAGE = 400, 1200, 4_000
 #: Beyond so many languages each gets a smaller part, so that all are learned and the driver's sample stays bounded.
@@ -41,11 +44,28 @@ POOLED = 2_048
 SEGMENT_BYTES = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 10 if b in b".!?;:\n\r" else 32 for b in range(256))
 
 
+#: Ends of sentences outside ASCII.
+WIDE_ENDS = "。！？"
+
+
+def lines_of(text: str) -> list[bytes]:
+    for end in WIDE_ENDS:
+        if end in text:
+            text = text.replace(end, "\n")
+    return text.encode("utf-8", "surrogatepass").translate(SEGMENT_BYTES).split(b"\n")
+
+
 def segments(text: str) -> list[bytes]:
-    out = [b" ".join(words) for line in text.encode("utf-8", "surrogatepass").translate(SEGMENT_BYTES).split(b"\n") if (words := line.split())]
-    if any(len(s) > MAX_BYTES for s in out):
-        out = [s[i : i + MAX_BYTES] for s in out for i in range(0, len(s), MAX_BYTES)]
-    return out
+    return [b" ".join(words) for line in lines_of(text) if (words := line.split())]
+
+
+def long_segments(text: str) -> list[bytes]:
+    """The segments of more than STRETCH bytes."""
+    return [s for line in lines_of(text) if len(line) > STRETCH and len(s := b" ".join(line.split())) > STRETCH]
+
+
+def examples(text: str) -> list[bytes]:
+    return [s[i : i + STRETCH] for s in segments(text) for i in range(0, len(s), STRETCH)]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -151,14 +171,14 @@ class BiGru:
                     self.w[k] -= (RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def _states(self, x: np.ndarray, active: np.ndarray, d: str) -> np.ndarray:
+    def _states(self, x: np.ndarray, active: np.ndarray, d: str, h: np.ndarray) -> np.ndarray:
         """States of sequences that lie in columns of x, the longest first: at step t only the first active[t] go on.
 
-        One row per position, step by step.
+        One row per position, step by step.  They start from ``h``, which holds the last states afterwards.
         """
         H, wx, u = self.hidden, self.w["x" + d] + self.w["b" + d], self.w["u" + d]
         at = np.cumsum(active) - active
-        out, h = np.empty((int(active.sum()), H), np.float32), np.zeros((x.shape[1], H), np.float32)
+        out = np.empty((int(active.sum()), H), np.float32)
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
             k = active[t]
             own = h[:k]
@@ -177,32 +197,63 @@ class BiGru:
             out[at[t] : at[t] + k] = own
         return out
 
+    def _sums(self, x: np.ndarray, active: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Each column's sum of the language probabilities over its positions, from the states at both ends."""
+        p = self._states(x, active, "f", left) @ self.w["o"][: self.hidden]
+        p += self._states(x, active, "b", right) @ self.w["o"][self.hidden :]
+        p += self.w["c"]
+        if float(np.abs(self.w["o"]).sum(axis=0).max() + np.abs(self.w["c"]).max()) > 80:  # states are at most 1; else exp can't overflow
+            p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
+        total, at = np.zeros((x.shape[1], len(self.languages)), np.float32), 0
+        for k in active.tolist():
+            total[:k] += p[at : at + k]
+            at += k
+        return total
+
     def pooled(self, found: list[bytes]) -> np.ndarray:
-        """For each segment the sums over its positions of the language probabilities, and their number."""
+        """For each segment of at most some hundred bytes the sums over its positions of the language probabilities, and their number."""
         out = np.zeros((len(found), len(self.languages) + 1), np.float32)
         lengths = np.array([len(s) for s in found])
         order = np.argsort(-lengths, kind="stable")
+        start = lambda n: np.zeros((n, self.hidden), np.float32)
         for lo in range(0, len(order), POOLED):
             who = order[lo : lo + POOLED]
-            longest = int(lengths[who[0]])
-            x = np.frombuffer(b"".join(found[j].ljust(longest, b"\0") for j in who), np.uint8).reshape(len(who), longest).T.copy()
-            active = np.searchsorted(-lengths[who], -np.arange(longest), "left")
-            p = self._states(x, active, "f") @ self.w["o"][: self.hidden]
-            p += self._states(x, active, "b") @ self.w["o"][self.hidden :]
-            p += self.w["c"]
-            if float(np.abs(self.w["o"]).sum(axis=0).max() + np.abs(self.w["c"]).max()) > 80:  # states are at most 1; else exp can't overflow
-                p -= p.max(axis=1, keepdims=True)
-            np.exp(p, out=p)
-            p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
-            total, at = np.zeros((len(who), len(self.languages)), np.float32), 0
-            for k in active.tolist():
-                total[:k] += p[at : at + k]
-                at += k
-            out[who, :-1] = total
+            x, active = columns([found[j] for j in who])
+            out[who, :-1] = self._sums(x, active, start(len(who)), start(len(who)))
+        out[:, -1] = lengths
+        return out
+
+    def pooled_long(self, found: list[bytes]) -> np.ndarray:
+        """The same for segments of any length, a stretch at a time."""
+        out = np.zeros((len(found), len(self.languages) + 1))
+        lengths = np.array([len(s) for s in found])
+        order = np.argsort(-lengths, kind="stable")
+        begins = range(0, int(lengths.max(initial=0)), STRETCH)
+        reach = [int((lengths > lo).sum()) for lo in begins]  # segments that have something of a stretch
+        stretch = lambda lo, k: columns([found[j][lo : lo + STRETCH] for j in order[:k]])
+        right = np.zeros((len(found), self.hidden), np.float32)
+        cuts = {}  # states that come in from the right of a stretch
+        for lo, k in reversed(list(zip(begins, reach, strict=True))):
+            cuts[lo] = right[:k].copy()
+            if lo:
+                self._states(*stretch(lo, k), "b", right)
+        left = np.zeros((len(found), self.hidden), np.float32)
+        for lo, k in zip(begins, reach, strict=True):
+            out[order[:k], :-1] += self._sums(*stretch(lo, k), left, cuts.pop(lo))
         out[:, -1] = lengths
         return out
 
 
+def columns(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Segments, the longest first, as columns of bytes, and how many go on at each position."""
+    lengths = np.array([len(s) for s in found])
+    longest = int(lengths[0])
+    x = np.frombuffer(b"".join(s.ljust(longest, b"\0") for s in found), np.uint8).reshape(len(found), longest).T.copy()
+    return x, np.searchsorted(-lengths, -np.arange(longest), "left")
+
+
 def padded(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     length = max(map(len, found))
     x = np.frombuffer(b"".join(s.ljust(length, b"\0") for s in found), np.uint8).reshape(len(found), length)
@@ -232,12 +283,26 @@ def train(docs: DataFrame, learn_from: Column | None = None) -> BiGru | None:
     number = {k: i for i, k in enumerate(languages)}
     own: list[list[bytes]] = [[] for _ in languages]
     for r in rows:
-        own[number[r["lang"]]] = sorted(s for w in r["windows"] for s in segments(w))
+        own[number[r["lang"]]] = sorted(s for w in r["windows"] for s in examples(w))
     rng = np.random.default_rng(SEED)
     chosen = [(found[j], i) for i, found in enumerate(own) for j in rng.permutation(len(found))[:most_segments]]
     return BiGru(languages).fit(chosen) if chosen else None
 
 
+def long_sums(net: BiGru, texts: pa.Array) -> dict[bytes, np.ndarray]:
+    """The pooled rows of a batch's long segments, which run side by side."""
+    found = list({s for lo in range(0, len(texts), 512) for t in texts.slice(lo, 512).to_pylist() if t and len(t) * 4 > STRETCH for s in long_segments(t)})
+    out: dict[bytes, np.ndarray] = {}
+    part, size = [], 0
+    for k, s in enumerate(found, 1):
+        part.append(s)
+        size += len(s)
+        if size >= LONG_BYTES or k == len(found):
+            out.update(zip(part, net.pooled_long(part), strict=True))
+            part, size = [], 0
+    return out
+
+
 def predictor(spark: SparkSession, model: BiGru | None):
     """A column function: text to struct(lang_pred, score)."""
     shared = spark.sparkContext.broadcast(model)
@@ -248,12 +313,13 @@ def predictor(spark: SparkSession, model: BiGru | None):
         net, cache, sums = shared.value, {}, None
         for texts in batches:
             preds, scores = [], []
+            long = long_sums(net, texts) if net else {}
             for lo in range(0, len(texts), 512):
                 rows = [segments(t) if net and t and any(map(str.isalpha, t)) else [] for t in texts.slice(lo, 512).to_pylist()]
                 if len(cache) > CACHED_SEGMENTS:
                     cache, sums = {}, None
-                new = list({s for r in rows for s in r if s not in cache})
-                if new:
+                new = list({s for r in rows for s in r if s not in cache and len(s) <= STRETCH})
+                if new or sums is None and net:
                     pooled = net.pooled(new)
                     cache.update(zip(new, range(len(cache), len(cache) + len(new)), strict=True))
                     sums = pooled if sums is None else np.concatenate([sums, pooled])
@@ -262,7 +328,10 @@ def predictor(spark: SparkSession, model: BiGru | None):
                         preds.append(UNDETERMINED)
                         scores.append(0.0)
                         continue
-                    total = sums[np.fromiter(map(cache.__getitem__, r), np.int64, len(r))].sum(axis=0, dtype=np.float64)
+                    short = [cache[s] for s in r if len(s) <= STRETCH]
+                    total = sums[np.array(short, np.int64)].sum(axis=0, dtype=np.float64)
+                    if len(short) < len(r):
+                        total = total + sum(long[s] for s in r if len(s) > STRETCH)
                     best = int(total[:-1].argmax())
                     preds.append(net.languages[best])
                     scores.append(min(1.0, max(0.0, float(total[best] / total[-1]))))
