@@ -249,9 +249,10 @@ def top_k(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     for first, last in ((0, 1), (1, 1 + FIRST_CELLS), (1 + FIRST_CELLS, CELLS)):
         if last > 1 and max((len(b[0]) for b in balls.values()), default=0) <= first:
             break
-        asks = asked.withColumn("c", F.explode(F.slice("cells", first + 1, last - first))).select("dimension", "c.cell", "c.bound", "vec_id", "v")
-        if kth is not None:
-            asks = asks.join(kth, F.col("vec_id") == F.col("query_id"), "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor")))
+        asks = asked.select("dimension", "vec_id", "v", F.slice("cells", first + 1, last - first).alias("cells"))
+        if kth is not None:  # cells that can't reach the k-th score go before the query is copied
+            asks = asks.join(kth, F.col("vec_id") == F.col("query_id"), "left").withColumn("cells", F.filter("cells", lambda c: F.col("floor").isNull() | (c["bound"] >= F.col("floor"))))
+        asks = asks.withColumn("c", F.explode("cells")).drop("cells").select("*", "c.cell")
         asks = stage(asks.select("dimension", "cell", "vec_id", "v", F.coalesce("floor", least).alias("floor") if kth is not None else least.alias("floor")), "asks")
         met = asks.groupBy("dimension", "cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks")).join(F.broadcast(shards), ["dimension", "cell"])
         each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
