@@ -154,7 +154,8 @@ def journey_pages(edged: DataFrame, sessions: DataFrame, orders: DataFrame, page
     node = edged.select("journey", F.lit("edges").alias("section"), ((~F.col("is_active")).cast("long") * 1_000 - F.col("precedence")).alias("rank"), F.concat("node_type", F.lit(":"), "node_key").alias("entry"))
     timed = lambda df, name: df.select("journey", F.lit(name).alias("section"), F.unix_micros(F.col("at").cast("timestamp")).alias("rank"), F.col("id").alias("entry"))
     entries = node.unionByName(timed(sessions, "sessions")).unionByName(timed(orders, "orders"))
-    placed = positions(entries.withColumn("__grp", F.concat("section", F.lit("="), "journey")), "__grp", ["rank", "entry"], "entries")
+    entries = stage(entries.withColumn("__grp", F.concat("section", F.lit("="), "journey")), "entries")
+    placed = positions(entries, "__grp", ["rank", "entry"], "placed")
     page = placed.groupBy("journey", "section", F.expr(f"pos div {page_rows}").alias("page")).agg(F.array_sort(F.collect_list(F.struct("pos", "entry"))).alias("list"), F.ceil(F.max("n") / page_rows).cast("long").alias("pages"))
     return page.select("journey", "section", "page", "pages", F.transform("list", lambda x: x["entry"]).alias("entries"))
 
