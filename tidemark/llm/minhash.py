@@ -205,17 +205,17 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_they_came(docs: DataFrame, came: DataFrame) -> DataFrame:
-    """doc_id, text as it came, of the rows of docs that have lost lines of it or nothing; ids that ``came`` repeats aren't known."""
+    """doc_id, text as it came, of the rows of docs that have lost lines of it; ids that ``came`` repeats aren't known."""
     once = came.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("__tm_came")).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.first("__tm_came").alias("__tm_came")).where("n = 1").drop("n")
     lines = lambda c: F.split(c, "\n")
-    return docs.join(once, "doc_id").where(F.size(F.array_except(lines("text"), lines("__tm_came"))) == 0).select("doc_id", F.col("__tm_came").alias("text"))
+    return docs.join(once, "doc_id").where("text <> __tm_came").where(F.size(F.array_except(lines("text"), lines("__tm_came"))) == 0).select("doc_id", F.col("__tm_came").alias("text"))
 
 
 def keep_one_of_each(docs: DataFrame, came: DataFrame | None = None) -> DataFrame:
     """Pipeline stage: of each group of near duplicates the row of the smallest doc_id stays.
 
-    With ``came``, documents as they were before lines left them, those that were near duplicates then are so still, as well as
-    those that are now.  Rows are judged one by one where a doc_id is null or repeats: each of its different texts is a
+    With ``came``, documents as they were before lines left them, a document is known by both its texts, and documents are near
+    duplicates if one of the texts of one and one of the other's are.  Rows are judged one by one where a doc_id is null or repeats: each of its different texts is a
     document of its own, so none goes for what another says.  Null ids come first; of rows that
     are equal in id and text one stays; rows without a word all stay, unless by what they came as.
     """
@@ -223,14 +223,18 @@ def keep_one_of_each(docs: DataFrame, came: DataFrame | None = None) -> DataFram
     own = docs.join(twice, F.col("doc_id") == F.col("__tm_id"), "left")
     single = F.col("doc_id").isNotNull() & F.col("__tm_id").isNull()
     keyed = stage(own.withColumn("__tm_single", single).withColumn("__tm_key", F.when(single, F.col("doc_id").cast("long")).otherwise(F.xxhash64("doc_id", "text"))).drop("__tm_id"), "keyed")
-    judged = near_duplicates(keyed.select(F.col("__tm_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__tm_key"), F.col("component_id").alias("component"))
+    texts = keyed.select(F.col("__tm_key").alias("doc_id"), "text")
+    if came is not None:  # a second text of a document has a key of its own
+        second = as_they_came(keyed.where("__tm_single").select(F.col("__tm_key").alias("doc_id"), "text"), came)
+        other = stage(second.select(F.xxhash64(F.lit("came"), "doc_id").alias("__tm_other"), F.col("doc_id").alias("__tm_key"), "text"), "came")
+        texts = texts.unionByName(other.select(F.col("__tm_other").alias("doc_id"), "text"))
+    judged = near_duplicates(texts).select(F.col("doc_id").alias("__tm_other"), F.col("component_id").alias("component"))
     if came is not None:
-        before = near_duplicates(as_they_came(keyed.where("__tm_single").select(F.col("__tm_key").alias("doc_id"), "text"), came))
-        both = judged.join(before.select(F.col("doc_id").alias("__tm_key"), F.col("component_id").alias("before")), "__tm_key", "left")
-        both = stage(both, "judged")
-        # a group then and a group now that share a document are one
-        joined = components(both.where("before <> component").select(F.col("component").alias("a"), F.col("before").alias("b")).distinct()).select(F.col("id").alias("component"), F.col("component").alias("joined"))
-        judged = both.join(joined, "component", "left").select("__tm_key", F.coalesce("joined", "component").alias("component"))
+        judged = stage(judged, "judged")
+        both = judged.join(other, "__tm_other").select(F.col("component").alias("b"), F.col("__tm_key").alias("own")).join(judged.select(F.col("__tm_other").alias("own"), F.col("component").alias("a")), "own")
+        joined = components(both.where("a <> b").select("a", "b").distinct()).select(F.col("id").alias("component"), F.col("component").alias("joined"))
+        judged = judged.join(joined, "component", "left").select("__tm_other", F.coalesce("joined", "component").alias("component"))
+    judged = judged.withColumnRenamed("__tm_other", "__tm_key")
     met = judged.join(keyed.select("__tm_key", "doc_id"), "__tm_key")
     stays = met.groupBy("component").agg(F.min(F.struct("doc_id", "__tm_key"))["__tm_key"].alias("__tm_key")).select("__tm_key")
     spread = F.when(~F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False)), F.monotonically_increasing_id())
