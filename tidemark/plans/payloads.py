@@ -107,21 +107,21 @@ EXPORT = "array<struct<order_id:bigint,cents:bigint,ordered_at:timestamp_ntz,ver
 def s07(spark, sf_dir):
     orders = V.orders(spark, sf_dir).select("order_id", "cents", F.col("ts").alias("ordered_at"), F.lit(1).alias("version"))
     again = orders.where("order_id % 4 = 0").withColumns({"cents": F.col("cents") + 1, "version": F.lit(2)})
-    pages = orders.unionByName(again).groupBy((F.col("order_id") % 40).alias("page_no")).agg(F.to_json(F.struct(F.collect_list(F.struct("order_id", "cents", "ordered_at", "version")).alias("orders")), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("body"))
+    pages = orders.unionByName(again).groupBy(F.expr("order_id div 500").alias("page_no")).agg(F.to_json(F.struct(F.collect_list(F.struct("order_id", "cents", "ordered_at", "version")).alias("orders")), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("body"))
     rows = P.paged_rows(pages, f"orders {EXPORT}", "orders").select("item.*")
     at = lambda d: F.lit(f"{d} 00:00:00").cast("timestamp_ntz")
     return P.latest_orders(rows, at("2024-01-08"), at("2024-01-20")).select("order_id", "cents", _us(F.col("ordered_at")).alias("ordered_us"))
 
 
 def _insight_pages(spark, sf_dir):
-    """Pages of about 20 rows; page n names page n + 1 as its next."""
+    """Pages of 200 orders' rows, however many orders there are; page n names page n + 1 as its next."""
     o, n = F.col("ordinal"), F.col("l_linenumber")
     entry = lambda name, value: F.array(F.struct(F.lit(name).alias("action_type"), value.alias("value")))
     value = F.when(o % 17 == 0, "n/a").otherwise(F.col("l_quantity").cast("long").cast("string"))
     r = o % 23
     name = F.when(r == 0, "purchase").when(r == 1, "omni_purchase").when(r == 2, "Web_Purchase").when(r == 3, "app_purchase").otherwise("link_click")
     metric = lambda k: F.when(n % 3 == k, F.array(F.struct(name.alias("action_type"), value.alias("value"))))
-    rows = ads(spark, sf_dir).select((o % 50).alias("page_no"), o.alias("ordinal"), "l_quantity", F.struct("campaign_id", "campaign_name", F.col("report_date").cast("string").alias("date_start"), F.col("cents").cast("string").alias("spend"), metric(1).alias("actions"), metric(0).alias("action_values"), metric(2).alias("purchase_roas")).alias("row"))
+    rows = ads(spark, sf_dir).select(F.expr("ordinal div 2000").alias("page_no"), o.alias("ordinal"), "l_quantity", F.struct("campaign_id", "campaign_name", F.col("report_date").cast("string").alias("date_start"), F.col("cents").cast("string").alias("spend"), metric(1).alias("actions"), metric(0).alias("action_values"), metric(2).alias("purchase_roas")).alias("row"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "l_quantity", "row"))), lambda x: x["row"])
     following = F.concat(F.lit("https://api.example/p"), (F.col("page_no") + 1).cast("string"))
     return rows.groupBy("page_no").agg(listed.alias("data")).select("page_no", F.concat(F.lit("https://api.example/p"), F.col("page_no").cast("string")).alias("url"), F.to_json(F.struct("data", F.struct(following.alias("next")).alias("paging"))).alias("body"))
@@ -133,13 +133,13 @@ def s08(spark, sf_dir):
     return rows.groupBy(F.col("date_start").alias("day"), "campaign_id").agg(F.count("*").alias("rows"), F.sum(F.col("spend").cast("long")).alias("cents"))
 
 
-@query("s09_missing_pages", over("SELECT 'https://api.example/p' || CAST(p + 1 AS VARCHAR) AS url FROM (SELECT DISTINCT ordinal % 50 AS p FROM ad) WHERE p + 1 NOT IN (SELECT DISTINCT ordinal % 50 FROM ad)", AD))
+@query("s09_missing_pages", over("SELECT 'https://api.example/p' || CAST(p + 1 AS VARCHAR) AS url FROM (SELECT DISTINCT ordinal // 2000 AS p FROM ad) WHERE p + 1 NOT IN (SELECT DISTINCT ordinal // 2000 FROM ad)", AD))
 def s09(spark, sf_dir):
     return P.missing_pages(_insight_pages(spark, sf_dir))
 
 
 RAW_VALUES = """
-ent AS (SELECT report_date, campaign_id, ordinal % 50 AS page, ordinal, l_quantity, CASE l_linenumber % 3 WHEN 0 THEN 'action_values' WHEN 1 THEN 'actions' ELSE 'purchase_roas' END AS kind,
+ent AS (SELECT report_date, campaign_id, ordinal // 2000 AS page, ordinal, l_quantity, CASE l_linenumber % 3 WHEN 0 THEN 'action_values' WHEN 1 THEN 'actions' ELSE 'purchase_roas' END AS kind,
   CASE ordinal % 23 WHEN 0 THEN 'purchase' WHEN 1 THEN 'omni_purchase' WHEN 2 THEN 'Web_Purchase' WHEN 3 THEN 'app_purchase' ELSE 'link_click' END AS action_type, CASE WHEN ordinal % 17 = 0 THEN NULL ELSE CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) END AS v FROM ad),
 byt AS (SELECT report_date, campaign_id, action_type, min((page, ordinal)) AS first, sum(CASE WHEN kind = 'action_values' THEN CAST(v * 100 AS BIGINT) END) AS value_cents, sum(CASE WHEN kind = 'actions' THEN CAST(v AS BIGINT) END) AS purchases,
   arg_min(v, (page, ordinal, l_quantity)) FILTER (kind = 'purchase_roas' AND v IS NOT NULL) AS roas FROM ent WHERE lower(action_type) LIKE '%purchase%' GROUP BY ALL),
@@ -158,7 +158,7 @@ def c17_raw(spark, sf_dir):
 
 @query("s10_query_language_rows", over("SELECT campaign_id, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(cents) * 10000 AS BIGINT) AS micros FROM ad WHERE report_date = DATE '2024-01-12' GROUP BY 1", AD))
 def s10(spark, sf_dir):
-    rows = ads(spark, sf_dir).select((F.col("ordinal") % 30).alias("batch"), F.struct(F.struct(F.col("campaign_id").alias("id")).alias("campaign"), F.struct(F.col("report_date").cast("string").alias("date")).alias("segments"), F.struct("clicks", (F.col("cents") * 10_000).cast("string").alias("costMicros")).alias("metrics")).alias("r"))
+    rows = ads(spark, sf_dir).select(F.expr("ordinal div 5000").alias("batch"), F.struct(F.struct(F.col("campaign_id").alias("id")).alias("campaign"), F.struct(F.col("report_date").cast("string").alias("date")).alias("segments"), F.struct("clicks", (F.col("cents") * 10_000).cast("string").alias("costMicros")).alias("metrics")).alias("r"))
     pages = rows.groupBy("batch").agg(F.to_json(F.struct(F.collect_list("r").alias("results"))).alias("body"))
     kind = "results array<struct<campaign:struct<id:string>,segments:struct<date:string>,metrics:struct<clicks:bigint,costMicros:string>>>"
     found = P.dated_rows(P.paged_rows(pages, kind, "results"), "item.segments.date", "2024-01-12")
