@@ -38,8 +38,10 @@ def net():
     return made
 
 
-@pytest.mark.parametrize("sizes", [[1], [3, 1, 192, 7, 7], [193], [192 * 3], [1000, 193, 384, 385, 1, 577]])
-def test_pooled_like_a_plain_loop(net, sizes):
+@pytest.mark.parametrize("sizes", [[1], [3, 1, 1024, 7, 7], [1025], [1024 * 2], [2100, 1025, 300, 2048, 1, 1500]])
+def test_pooled_like_a_plain_loop(net, monkeypatch, sizes):
+    monkeypatch.setattr(langid, "LONG_STRETCH", 512)
+    monkeypatch.setattr(langid, "POOLED_BYTES", 4_000)
     rng = np.random.default_rng(sum(sizes))
     found = [bytes(rng.integers(97, 123, n).tolist()) for n in sizes]
     want = np.array([[*plain(net, s), len(s)] for s in found])
@@ -58,7 +60,7 @@ def test_segments_of_any_length_and_script():
     assert len(langid.segments(wide)) == 3 and not langid.long_segments(wide)
     long = "wort " * 5_000
     assert langid.segments(long) == langid.long_segments(long) == [b" ".join([b"wort"] * 5_000)]
-    assert all(len(s) <= langid.STRETCH for s in langid.examples(long))
+    assert all(len(s) <= langid.EXAMPLE_BYTES for s in langid.examples(long))
 
 
 def test_long_texts_without_ends_are_read_whole(spark):

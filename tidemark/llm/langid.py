@@ -7,9 +7,9 @@ languages, and a document's distribution is the mean over all positions of its w
 A segment is a sentence or line: the bytes between two ends of sentences or lines, in which runs of
 other than ASCII letters and parts of multi-byte characters are one space.  The recurrent state runs over all of a
 segment, however long, and starts anew at the next, so the positions of a segment that occurs again have the
-same labels and are computed once per task.  Segments of more than ``STRETCH`` bytes are read in stretches that hand
+same labels and are computed once per task.  Segments of more than ``STRETCH`` bytes are read apart, in stretches that hand
 their states on: from right to left for the states at the cuts, then from left to right with both directions, so that
-memory holds a stretch.  Only examples that the network is trained on are cut to that length.
+memory holds a stretch.  Only examples that the network is trained on are cut, to ``EXAMPLE_BYTES``.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; rows with equal
 text get equal predictions; without any labelled row that holds a segment everything is ``und``.
@@ -28,8 +28,10 @@ from tidemark.llm.common import crc_mod, id_hash, table
 from tidemark.session import ship
 
 UNDETERMINED = "und"
-#: Bytes that are read at a time, and of a training example at most; bytes of long segments that run side by side.
-STRETCH, LONG_BYTES = 192, 1 << 25
+#: Bytes of a segment that is read at once with the others, and of a training example at most.
+STRETCH, EXAMPLE_BYTES = 1_024, 192
+#: Longer ones are read this many bytes at a time, so many bytes of them side by side.
+LONG_STRETCH, LONG_BYTES = 16_384, 1 << 20
 #: Training takes at most so many rows of a language, and of each a window of so many characters.
 ROWS_PER_LANGUAGE, WINDOW_CHARS, SEGMENTS_PER_LANGUAGE = 400, 1200, 4_000
 #: Beyond so many languages each gets a smaller part, so that all are learned and the driver's sample stays bounded.
@@ -38,8 +40,8 @@ HIDDEN, EPOCHS, BATCH, RATE, SEED = 8, 3, 64, 0.01, 7
 #: Few examples are seen more often, so that training takes so many steps at least.
 LEAST_STEPS = 150
 CACHED_SEGMENTS = 200_000
-#: Segments that run side by side.
-POOLED = 2_048
+#: Segments that run side by side, and their bytes, about.
+POOLED, POOLED_BYTES = 2_048, 400_000
 #: ASCII letters in lower case, bytes of multi-byte characters as they are, ends of sentences and lines as line ends, all else a space.
 SEGMENT_BYTES = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 10 if b in b".!?;:\n\r" else 32 for b in range(256))
 
@@ -65,7 +67,7 @@ def long_segments(text: str) -> list[bytes]:
 
 
 def examples(text: str) -> list[bytes]:
-    return [s[i : i + STRETCH] for s in segments(text) for i in range(0, len(s), STRETCH)]
+    return [s[i : i + EXAMPLE_BYTES] for s in segments(text) for i in range(0, len(s), EXAMPLE_BYTES)]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -172,86 +174,97 @@ class BiGru:
         return self
 
     def _states(self, x: np.ndarray, active: np.ndarray, d: str, h: np.ndarray) -> np.ndarray:
-        """States of sequences that lie in columns of x, the longest first: at step t only the first active[t] go on.
+        """States of one or both directions over sequences that lie in columns of x (directions, length, n), the longest first.
 
-        One row per position, step by step.  They start from ``h``, which holds the last states afterwards.
+        At step t only the first active[t] go on; a backward direction reads columns from their ends.  One row per step and
+        column, for each of the directions ``d``.  They start from ``h``, which holds the last states afterwards.
         """
-        H, wx, u = self.hidden, self.w["x" + d] + self.w["b" + d], self.w["u" + d]
+        H, table, u = self.hidden, np.concatenate([self.w["x" + k] + self.w["b" + k] for k in d]), np.stack([self.w["u" + k] for k in d])
+        x = x + (np.arange(len(d), dtype=np.int16) * 256)[:, None, None]
         at = np.cumsum(active) - active
-        out = np.empty((int(active.sum()), H), np.float32)
-        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            k = active[t]
-            own = h[:k]
-            a, g = wx[x[t, :k]], own @ u
-            zr = a[:, : 2 * H] + g[:, : 2 * H]
+        out = np.empty((len(d), int(active.sum()), H), np.float32)
+        for t, k in enumerate(active.tolist()):
+            own = h[:, :k]
+            a, g = table[x[:, t, :k]], own @ u
+            zr = a[..., : 2 * H] + g[..., : 2 * H]
             _sigmoid_of(zr)
-            c = zr[:, H:] * g[:, 2 * H :]
-            c += a[:, 2 * H :]
+            c = zr[..., H:] * g[..., 2 * H :]
+            c += a[..., 2 * H :]
             c *= 2  # tanh(x) = 2 sigmoid(2 x) - 1
             _sigmoid_of(c)
             c *= 2
             c -= 1
             own -= c
-            own *= zr[:, :H]
+            own *= zr[..., :H]
             own += c
-            out[at[t] : at[t] + k] = own
+            out[:, at[t] : at[t] + k] = own
         return out
 
-    def _sums(self, x: np.ndarray, active: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Each column's sum of the language probabilities over its positions, from the states at both ends."""
-        p = self._states(x, active, "f", left) @ self.w["o"][: self.hidden]
-        p += self._states(x, active, "b", right) @ self.w["o"][self.hidden :]
+    def _sums(self, found: list[bytes], ends: np.ndarray) -> np.ndarray:
+        """The sums of the language probabilities over the positions of segments, the longest first, from the states at both ends."""
+        x, active = columns(found)
+        states = self._states(x, active, "fb", ends)
+        p = states[0] @ self.w["o"][: self.hidden]
         p += self.w["c"]
+        # the state from the right of a position comes as many steps after the end as the position is before it
+        lengths, at = np.array([len(s) for s in found]), np.cumsum(active) - active
+        step = np.repeat(np.arange(len(active)), active)
+        column = np.arange(len(step)) - at[step]
+        p += (states[1] @ self.w["o"][self.hidden :])[at[lengths[column] - 1 - step] + column]
         if float(np.abs(self.w["o"]).sum(axis=0).max() + np.abs(self.w["c"]).max()) > 80:  # states are at most 1; else exp can't overflow
             p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
         p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
-        total, at = np.zeros((x.shape[1], len(self.languages)), np.float32), 0
+        total, done = np.zeros((len(found), len(self.languages)), np.float32), 0
         for k in active.tolist():
-            total[:k] += p[at : at + k]
-            at += k
+            total[:k] += p[done : done + k]
+            done += k
         return total
 
     def pooled(self, found: list[bytes]) -> np.ndarray:
-        """For each segment of at most some hundred bytes the sums over its positions of the language probabilities, and their number."""
+        """For each segment of at most about a stretch the sums over its positions of the language probabilities, and their number."""
         out = np.zeros((len(found), len(self.languages) + 1), np.float32)
         lengths = np.array([len(s) for s in found])
         order = np.argsort(-lengths, kind="stable")
-        start = lambda n: np.zeros((n, self.hidden), np.float32)
-        for lo in range(0, len(order), POOLED):
-            who = order[lo : lo + POOLED]
-            x, active = columns([found[j] for j in who])
-            out[who, :-1] = self._sums(x, active, start(len(who)), start(len(who)))
+        lo = 0
+        while lo < len(order):
+            who = order[lo : lo + max(1, min(POOLED, POOLED_BYTES // int(lengths[order[lo]])))]
+            lo += len(who)
+            out[who, :-1] = self._sums([found[j] for j in who], np.zeros((2, len(who), self.hidden), np.float32))
         out[:, -1] = lengths
         return out
 
     def pooled_long(self, found: list[bytes]) -> np.ndarray:
-        """The same for segments of any length, a stretch at a time."""
+        """The same for segments of any length, LONG_STRETCH at a time."""
         out = np.zeros((len(found), len(self.languages) + 1))
         lengths = np.array([len(s) for s in found])
         order = np.argsort(-lengths, kind="stable")
-        begins = range(0, int(lengths.max(initial=0)), STRETCH)
+        begins = range(0, int(lengths.max(initial=0)), LONG_STRETCH)
         reach = [int((lengths > lo).sum()) for lo in begins]  # segments that have something of a stretch
-        stretch = lambda lo, k: columns([found[j][lo : lo + STRETCH] for j in order[:k]])
-        right = np.zeros((len(found), self.hidden), np.float32)
+        stretch = lambda lo, k: [found[j][lo : lo + LONG_STRETCH] for j in order[:k]]
+        right = np.zeros((1, len(found), self.hidden), np.float32)
         cuts = {}  # states that come in from the right of a stretch
         for lo, k in reversed(list(zip(begins, reach, strict=True))):
-            cuts[lo] = right[:k].copy()
+            cuts[lo] = right[0, :k].copy()
             if lo:
-                self._states(*stretch(lo, k), "b", right)
+                x, active = columns(stretch(lo, k))
+                self._states(x[1:], active, "b", right)
         left = np.zeros((len(found), self.hidden), np.float32)
         for lo, k in zip(begins, reach, strict=True):
-            out[order[:k], :-1] += self._sums(*stretch(lo, k), left, cuts.pop(lo))
+            ends = np.stack([left[:k], cuts.pop(lo)])
+            sums = self._sums(stretch(lo, k), ends)
+            left[:k] = ends[0]
+            out[order[:k], :-1] += sums
         out[:, -1] = lengths
         return out
 
 
 def columns(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Segments, the longest first, as columns of bytes, and how many go on at each position."""
+    """Segments, the longest first, as columns of bytes from their starts and from their ends, and how many go on at each step."""
     lengths = np.array([len(s) for s in found])
     longest = int(lengths[0])
-    x = np.frombuffer(b"".join(s.ljust(longest, b"\0") for s in found), np.uint8).reshape(len(found), longest).T.copy()
-    return x, np.searchsorted(-lengths, -np.arange(longest), "left")
+    x = np.stack([np.frombuffer(b"".join(s[::way].ljust(longest, b"\0") for s in found), np.uint8).reshape(len(found), longest).T for way in (1, -1)])
+    return x.astype(np.int16), np.searchsorted(-lengths, -np.arange(longest), "left")
 
 
 def padded(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
