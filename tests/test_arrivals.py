@@ -79,9 +79,9 @@ def plain(records):
     return {k: fold.take(k, DAY + timedelta(hours=h) if h is not None else None, sorted((t, v, I.PRECEDENCE[t]) for t, v in keys.items())) for k, h, keys in rows}, fold
 
 
-@pytest.mark.parametrize("part_rows", [1_000_000, 25])
+@pytest.mark.parametrize("part_rows", [1_000_000, 45])
 def test_parts_and_cuts_of_time_change_nothing(spark, part_rows):
-    records = random_records(160, 3)
+    records = random_records(120, 3)
     want, fold = plain(records)
     log, edges, journeys = logged(spark, *records, part_rows=part_rows)
     assert {k: (r["outcome"], r["reason"], r["journey"], r["attached"], r["merged"], [x["node_key"] for x in r["rehomed"]], [x["node_key"] for x in r["quarantined"]]) for k, r in log.items()} == {

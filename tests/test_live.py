@@ -54,6 +54,17 @@ def test_writer_that_dies_before_its_manifest_changes_nothing(spark, tmp_path, m
     assert t.version() == 1 and (3, "b", "z") in rows(t.read())
 
 
+def test_manifest_that_was_broken_off_is_passed_over(spark, tmp_path):
+    t = table(spark, tmp_path)
+    (tmp_path / "t/manifests/version=2/_temporary").mkdir(parents=True)
+    assert t.version() == 1 and t.replace(spark.createDataFrame([(9, "b", "new")], t.schema), ["b"], "second") == 3
+    assert rows(t.read()) == [(1, "a", "x"), (2, "a", "y"), (9, "b", "new")]
+    stale = Versioned(spark, t.path, t.schema, t.part)
+    stale.version = lambda real=t.version, seen=iter([1]): next(seen, None) or real()
+    with pytest.raises(RuntimeError, match="another writer"):
+        stale.replace(spark.createDataFrame([(8, "b", "late")], t.schema), ["b"], "late")
+
+
 def test_only_wanted_parts_are_read(spark, tmp_path):
     t = table(spark, tmp_path)
     files = t.read(["b"]).inputFiles()

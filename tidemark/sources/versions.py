@@ -3,7 +3,8 @@
 Rows are written to a new folder, parted by one column; then a manifest, one file, names for every part the
 folder that holds it now.  A reader takes the newest manifest, so it sees all of a change or nothing, and a
 writer that dies before its manifest leaves the old rows in place.  Each change has the name of its run; a run that
-a manifest already has is not done again.  Folders that no manifest names are for a lifetime rule to remove.
+a manifest already has is not done again.  A table has one writer at a time; one that finds a newer version than it
+started from stops.  Folders that no manifest names are for a lifetime rule to remove.
 """
 
 from __future__ import annotations
@@ -76,9 +77,18 @@ class Versioned:
             raise ValueError(f"rows outside the replaced parts: {sorted(set(own) - set(parts))[:3]}")
         kept = [] if parts is None else [(p, r) for r, held in self.roots(now).items() for p in held if p not in set(parts)]
         listed = [(run, p, r) for p, r in [*kept, *[(p, root) for p in own]]] or [(run, None, None)]
-        manifest = self.spark.createDataFrame(listed, "run string, part string, root string").coalesce(1)
-        manifest.write.mode("errorifexists").parquet(f"{self.path}/manifests/version={now + 1}")
-        return now + 1
+        manifest, number = self.spark.createDataFrame(listed, "run string, part string, root string").coalesce(1), now + 1
+        while True:
+            try:
+                manifest.write.mode("errorifexists").parquet(f"{self.path}/manifests/version={number}")
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_ALREADY_EXISTS":
+                    raise
+                if self.version() != now:
+                    raise RuntimeError(f"another writer has changed {self.path}") from e
+                number += 1  # a manifest that was broken off has no rows
+            else:
+                return number
 
     def merge(self, rows: DataFrame, ids: DataFrame, parts: list[str], run: str) -> int:
         """All rows of the ``ids`` in ``parts`` give way to ``rows``; the parts' other rows stay."""
