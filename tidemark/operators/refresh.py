@@ -28,7 +28,7 @@ class Data:
     spend: DataFrame
 
     def credits(self, orders: DataFrame) -> DataFrame:
-        return A.credits(A.journeys(orders, self.sessions, self.touches)).select(CREDIT)
+        return A.credits_of_lists(A.touch_lists(orders, self.sessions, self.touches)).select(CREDIT)
 
 
 @dataclass

@@ -41,7 +41,7 @@ def visit_part(sessions: DataFrame, models: list[str] = MODELS) -> DataFrame:
 
 def order_part(credited: DataFrame, orders: DataFrame) -> DataFrame:
     """Attributed orders and revenue of web orders, parted into new and returning customers."""
-    rows = credited.where(F.coalesce("source_name", F.lit("")) == "web").join(customer_rank(orders), "order_id")
+    rows = credited.where(F.coalesce("source_name", F.lit("")) == "web").join(customer_rank(orders).hint("shuffle_hash"), "order_id")
     rows = rows.select(F.col("order_date").alias("metric_date"), "model", *[or_unknown(F.col(d)).alias(d) for d in DIMENSIONS], weight_e8(F.col("weight")).alias("w"), "credit_cents", (F.col("customer_rank") == 1).alias("new"))
     only = lambda c, new: F.sum(F.when(F.col("new") == new, F.col(c)).otherwise(0))
     return _part(

@@ -19,7 +19,7 @@ def _micros(c):
 
 def credited(spark, sf_dir, models=A.MODELS, sessions=None, **options):
     sessions = stage(V.sessions(spark, sf_dir), "sessions") if sessions is None else sessions  # two kinds of evidence read them
-    return A.credits(A.journeys(V.orders(spark, sf_dir), sessions, V.touches(spark, sf_dir)), models, **options)
+    return A.credits_of_lists(A.touch_lists(V.orders(spark, sf_dir), sessions, V.touches(spark, sf_dir)), models, **options)
 
 
 def _candidates(spark, sf_dir):

@@ -122,7 +122,7 @@ def f51(spark, sf_dir):
 @query("p08_tier_filter", over_tiers("SELECT c.order_id, c.source, c.campaign FROM cred c JOIN tiered t USING (order_id) WHERE c.model = 'linear' AND c.source = 'google' AND t.tier = 'deterministic_first_party'"))
 def p08(spark, sf_dir):
     sessions, touches = tracked(spark, sf_dir)
-    rows = A.credits(A.journeys(V.orders(spark, sf_dir), sessions, touches), ["linear"]).join(tiers(spark, sf_dir).select("order_id", "tier"), "order_id")
+    rows = A.credits_of_lists(A.touch_lists(V.orders(spark, sf_dir), sessions, touches), ["linear"]).join(tiers(spark, sf_dir).select("order_id", "tier"), "order_id")
     return H.filtered(rows, "linear", source="google", tier="deterministic_first_party").select("order_id", "source", "campaign")
 
 
@@ -137,7 +137,7 @@ def c12(spark, sf_dir):
 @query("c12_stored_credits", over_tiers("SELECT model, count(*) AS rows, count(DISTINCT order_id) AS orders, CAST(sum(credit_cents) AS BIGINT) AS cents, count(*) FILTER (is_primary) AS primaries FROM cred GROUP BY 1"))
 def c12_credits(spark, sf_dir):
     sessions, touches = tracked(spark, sf_dir)
-    rows = B.credit_rows(A.credits(A.journeys(V.orders(spark, sf_dir), sessions, touches)))
+    rows = B.credit_rows(A.credits_of_lists(A.touch_lists(V.orders(spark, sf_dir), sessions, touches)))
     return rows.groupBy("model").agg(F.count("*").alias("rows"), F.countDistinct("order_id").alias("orders"), F.sum("credit_cents").alias("cents"), F.count_if("is_primary").alias("primaries"))
 
 

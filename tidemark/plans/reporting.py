@@ -75,7 +75,7 @@ def w01_history(spark, sf_dir):
 
 @query("j01_credits_orders_ranks", over_cube("SELECT c.order_id, c.model, CAST(c.position AS INTEGER) AS position, c.credit_cents, CAST(r.customer_rank AS INTEGER) AS customer_rank FROM cred c JOIN ranks r USING (order_id)"))
 def j01(spark, sf_dir):
-    return credited(spark, sf_dir).join(R.customer_rank(V.orders(spark, sf_dir)), "order_id").select("order_id", "model", "position", "credit_cents", "customer_rank")
+    return credited(spark, sf_dir).join(R.customer_rank(V.orders(spark, sf_dir)).hint("shuffle_hash"), "order_id").select("order_id", "model", "position", "credit_cents", "customer_rank")
 
 
 @query("j03_primary_credit", over_credits("SELECT o.order_id, o.cents, c.source, c.medium, c.campaign, c.credit_cents FROM ord o LEFT JOIN cred c ON c.order_id = o.order_id AND c.model = 'linear' AND c.is_primary"))
