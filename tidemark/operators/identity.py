@@ -194,6 +194,14 @@ def best_journeys(found: DataFrame, journeys: DataFrame) -> DataFrame:
     return scored.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
 
 
+def met_by(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Left join by a key that many rows lack: these meet nothing, and are dealt out by record_id, as one task would get all nulls."""
+    known = lambda: F.concat(F.lit("key:"), F.col(key).cast("string"))
+    at = F.coalesce(known(), F.concat(F.lit("none:"), F.col("record_id").cast("string")))
+    keyed = others.select(known().alias("__at"), *[c for c in others.columns if c != key])
+    return rows.withColumn("__at", at).join(keyed, "__at", "left").drop("__at")
+
+
 def stitch(identities: DataFrame, incoming: DataFrame) -> DataFrame:
     """record_id, decision: how an e-mail hash and a customer id fit the known identities.
 
@@ -202,7 +210,7 @@ def stitch(identities: DataFrame, incoming: DataFrame) -> DataFrame:
     """
     by_email = identities.where("email_hash is not null").select("email_hash", F.col("identity_id").alias("e_id"), F.col("customer_id").alias("e_customer"))
     by_customer = identities.where("customer_id is not null").select("customer_id", F.col("identity_id").alias("c_id"), F.col("email_hash").alias("c_email"))
-    out = incoming.join(by_email, "email_hash", "left").join(by_customer, "customer_id", "left")
+    out = met_by(met_by(incoming, by_email, "email_hash"), by_customer, "customer_id")
     none: Column = F.col("email_hash").isNull() & F.col("customer_id").isNull()
     decision = (
         F.when(none, "skipped").when(F.col("e_id").isNotNull() & F.col("c_id").isNotNull() & (F.col("e_id") != F.col("c_id")), "conflict_two_identities")
@@ -224,11 +232,11 @@ def upserted(identities: DataFrame, incoming: DataFrame) -> DataFrame:
     rows = incoming.join(stitch(identities, incoming).where("decision in ('reuse', 'create')"), "record_id")
     key = F.when(F.col("identity_id").isNull(), F.coalesce(F.concat(F.lit("e"), "email_hash"), F.concat(F.lit("c"), "customer_id")))
     new = rows.where("identity_id is null").groupBy(key.alias("__key")).agg((-F.min("record_id")).alias("__new"))
-    rows = rows.withColumn("__key", key).join(new, "__key", "left").withColumn("identity_id", F.coalesce("identity_id", "__new"))
+    rows = met_by(rows.withColumn("__key", key), new, "__key").withColumn("identity_id", F.coalesce("identity_id", "__new"))
     fields = ("email_hash", "customer_id")
     for f in fields:
         owners = identities.where(F.col(f).isNotNull()).select(f, F.col("identity_id").alias("__owner"))
-        rows = rows.join(owners, f, "left").withColumn(f"__{f}", F.when(F.coalesce(F.col("__owner") == F.col("identity_id"), F.lit(True)), F.col(f))).drop("__owner")
+        rows = met_by(rows, owners, f).withColumn(f"__{f}", F.when(F.coalesce(F.col("__owner") == F.col("identity_id"), F.lit(True)), F.col(f))).drop("__owner")
     found = rows.groupBy("identity_id").agg(*[F.min_by(f"__{f}", F.when(F.col(f"__{f}").isNotNull(), F.col("record_id"))).alias(f"__{f}") for f in fields])
     out = identities.join(found, "identity_id", "full_outer")
     return out.select("identity_id", *[F.coalesce(f, f"__{f}").alias(f) for f in fields])
