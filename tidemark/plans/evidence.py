@@ -261,7 +261,7 @@ def t08(spark, sf_dir):
 
 @query("t12_top_slices", over_cube("SELECT 'campaign' AS slice, campaign AS name, CAST(sum(revenue_cents) AS BIGINT) AS cents FROM cube WHERE model = 'linear' GROUP BY 2 QUALIFY row_number() OVER (ORDER BY sum(revenue_cents) DESC, campaign) <= 5 UNION ALL SELECT 'source', source, CAST(sum(revenue_cents) AS BIGINT) FROM cube WHERE model = 'linear' GROUP BY 2 QUALIFY row_number() OVER (ORDER BY sum(revenue_cents) DESC, source) <= 3"))
 def t12(spark, sf_dir):
-    rows = R.filtered(cube(spark, sf_dir), model="linear")
+    rows = R.filtered(cube(spark, sf_dir, ["linear"]), model="linear")
     return R.top_slices(rows, {"campaign": 5, "source": 3})
 
 

@@ -21,9 +21,9 @@ RATES = """coalesce(CASE WHEN visits <> 0 THEN (orders_e8 / 1e8::DOUBLE) / CAST(
   coalesce(CASE WHEN orders_e8 <> 0 THEN CAST(new_orders_e8 AS DOUBLE) / CAST(orders_e8 AS DOUBLE) END, 0.0::DOUBLE) AS new_customer_rate"""
 
 
-def cube(spark, sf_dir):
+def cube(spark, sf_dir, models=R.MODELS):
     orders, sessions = V.orders(spark, sf_dir), stage(V.sessions(spark, sf_dir), "sessions")
-    return R.cube(sessions, credited(spark, sf_dir, sessions=sessions), orders, V.spend(spark, sf_dir))
+    return R.cube(sessions, credited(spark, sf_dir, models, sessions=sessions), orders, V.spend(spark, sf_dir), models)
 
 
 def _text_date(df):
@@ -96,39 +96,39 @@ def p04(spark, sf_dir):
 
 @query("p07_optional_filters", over_cube(f"SELECT {SUMS} FROM cube WHERE model = 'linear' AND source = 'google' AND metric_date >= DATE '2024-01-03'"))
 def p07(spark, sf_dir):
-    return R.totals(R.filtered(cube(spark, sf_dir), model="linear", source="google", first="2024-01-03"))
+    return R.totals(R.filtered(cube(spark, sf_dir, ["linear"]), model="linear", source="google", first="2024-01-03"))
 
 
 @query("a05_summary", over_cube(f"SELECT {SUMS} FROM cube WHERE model = 'last_touch'"))
 def a05(spark, sf_dir):
-    return R.totals(R.filtered(cube(spark, sf_dir), model="last_touch"))
+    return R.totals(R.filtered(cube(spark, sf_dir, ["last_touch"]), model="last_touch"))
 
 
 @query("a06_campaigns", over_cube(f"SELECT source, medium, campaign, content, {SUMS} FROM cube WHERE model = 'linear' GROUP BY ALL ORDER BY sum(revenue_cents) DESC, sum(orders_e8) DESC, sum(visits) DESC, source, campaign, medium, content LIMIT 50"))
 def a06(spark, sf_dir):
-    return R.campaign_table(R.filtered(cube(spark, sf_dir), model="linear"), 50)
+    return R.campaign_table(R.filtered(cube(spark, sf_dir, ["linear"]), model="linear"), 50)
 
 
 @query("a07_spend_details", over_cube("SELECT source, medium, campaign, CAST(sum(spend_cents) AS BIGINT) AS spend_cents, CAST(sum(clicks) AS BIGINT) AS clicks FROM cube WHERE model = 'linear' GROUP BY ALL HAVING sum(spend_cents) > 0"))
 def a07(spark, sf_dir):
-    return R.totals(R.filtered(cube(spark, sf_dir), model="linear"), "source", "medium", "campaign").where("spend_cents > 0").select("source", "medium", "campaign", "spend_cents", "clicks")
+    return R.totals(R.filtered(cube(spark, sf_dir, ["linear"]), model="linear"), "source", "medium", "campaign").where("spend_cents > 0").select("source", "medium", "campaign", "spend_cents", "clicks")
 
 
 @query("a08_channel_groups", over_cube("SELECT source, medium, CAST(sum(s) AS BIGINT) AS spend_cents, count(*) AS campaigns, string_agg(campaign, ',' ORDER BY s DESC, campaign) AS campaign_names, CAST(sum(sum(s)) OVER () AS BIGINT) AS grand_cents, row_number() OVER (ORDER BY sum(s) DESC, source, medium) = 1 AS is_top FROM (SELECT source, medium, campaign, sum(spend_cents) AS s FROM cube WHERE model = 'linear' GROUP BY ALL HAVING sum(spend_cents) > 0) GROUP BY 1, 2"))
 def a08(spark, sf_dir):
-    return R.channel_groups(R.filtered(cube(spark, sf_dir), model="linear")).withColumn("campaign_names", F.array_join("campaign_names", ","))
+    return R.channel_groups(R.filtered(cube(spark, sf_dir, ["linear"]), model="linear")).withColumn("campaign_names", F.array_join("campaign_names", ","))
 
 
 for _bucket, _sql in (("day", "CAST(metric_date AS VARCHAR)"), ("source", "source"), ("campaign", "campaign")):
 
     @query(f"a09_timeseries_by_{_bucket}", over_cube(f"SELECT {_sql} AS bucket, {SUMS} FROM cube WHERE model = 'time_decay' GROUP BY 1"))
     def a09(spark, sf_dir, bucket=_bucket):
-        return R.timeseries(R.filtered(cube(spark, sf_dir), model="time_decay"), bucket)
+        return R.timeseries(R.filtered(cube(spark, sf_dir, ["time_decay"]), model="time_decay"), bucket)
 
 
 @query("f25_kpis_by_source", over_cube(f"SELECT source, {M}, {RATES} FROM (SELECT source, {SUMS} FROM cube WHERE model = 'linear' GROUP BY 1)"))
 def f25(spark, sf_dir):
-    return R.kpis(R.totals(R.filtered(cube(spark, sf_dir), model="linear"), "source")).select("source", *R.MEASURES, "conversion_rate", "roas", "blended_cac", "click_through_rate", "new_customer_rate")
+    return R.kpis(R.totals(R.filtered(cube(spark, sf_dir, ["linear"]), model="linear"), "source")).select("source", *R.MEASURES, "conversion_rate", "roas", "blended_cac", "click_through_rate", "new_customer_rate")
 
 
 DELTA_METRICS = {
@@ -141,23 +141,23 @@ DELTAS = " UNION ALL ".join(f"SELECT model, '{m}' AS metric, {c} AS v FROM rated
 @query("f26_model_deltas", over_cube("").rstrip() + f""", rated AS (SELECT model, {M}, {RATES} FROM (SELECT model, {SUMS} FROM cube WHERE source = 'google' GROUP BY 1))
   SELECT metric, baseline, comparison, comparison - baseline AS absolute_delta, CASE WHEN baseline <> 0 THEN (comparison - baseline) / baseline END AS relative_delta FROM (SELECT metric, max(CASE WHEN model = 'first_touch' THEN v END) AS baseline, max(CASE WHEN model = 'linear' THEN v END) AS comparison FROM ({DELTAS}) GROUP BY 1)""")
 def f26(spark, sf_dir):
-    return R.compare_models(R.filtered(cube(spark, sf_dir), source="google"), "first_touch", "linear", list(DELTA_METRICS))
+    return R.compare_models(R.filtered(cube(spark, sf_dir, ["first_touch", "linear"]), source="google"), "first_touch", "linear", list(DELTA_METRICS))
 
 
 @query("a37_revenue_share", over_cube("SELECT campaign, CAST(r AS BIGINT) AS revenue_cents, CASE WHEN t > 0 THEN floor(CAST(r AS DOUBLE) * 10000 / t + 0.5) / 100.0::DOUBLE ELSE 0.0::DOUBLE END AS share FROM (SELECT campaign, sum(revenue_cents) AS r, CAST(sum(sum(revenue_cents)) OVER () AS DOUBLE) AS t FROM cube WHERE model = 'linear' GROUP BY 1)"))
 def a37(spark, sf_dir):
-    return R.revenue_share(R.filtered(cube(spark, sf_dir), model="linear"))
+    return R.revenue_share(R.filtered(cube(spark, sf_dir, ["linear"]), model="linear"))
 
 
 @query("a38_source_mix", over_cube("SELECT coalesce(nullif(source, ''), 'Unknown') AS source, CAST(sum(revenue_cents) AS BIGINT) AS revenue_cents, CAST(sum(orders_e8) AS BIGINT) AS orders_e8 FROM cube WHERE model = 'linear' GROUP BY 1"))
 def a38(spark, sf_dir):
-    rows = R.filtered(cube(spark, sf_dir), model="linear").withColumn("source", F.coalesce(F.nullif("source", F.lit("")), F.lit("Unknown")))
+    rows = R.filtered(cube(spark, sf_dir, ["linear"]), model="linear").withColumn("source", F.coalesce(F.nullif("source", F.lit("")), F.lit("Unknown")))
     return R.totals(rows, "source").select("source", "revenue_cents", "orders_e8").orderBy(F.desc("revenue_cents"), "source")
 
 
 @query("t02_lowest_buckets", over_cube("SELECT bucket, revenue_cents FROM (SELECT campaign AS bucket, CAST(sum(revenue_cents) AS BIGINT) AS revenue_cents, sum(orders_e8) AS o, sum(visits) AS v FROM cube WHERE model = 'linear' GROUP BY 1) ORDER BY revenue_cents, o, v, bucket LIMIT 3"))
 def t02(spark, sf_dir):
-    rows = R.timeseries(R.filtered(cube(spark, sf_dir), model="linear"), "campaign")
+    rows = R.timeseries(R.filtered(cube(spark, sf_dir, ["linear"]), model="linear"), "campaign")
     return rows.orderBy("revenue_cents", "orders_e8", "visits", "bucket").limit(3).select("bucket", "revenue_cents")
 
 
@@ -168,7 +168,7 @@ def t03(spark, sf_dir):
 
 @query("t04_sorted_page", over_cube("SELECT source, campaign, s AS spend_cents, true AS has_more FROM (SELECT source, campaign, CAST(sum(spend_cents) AS BIGINT) AS s FROM cube WHERE model = 'linear' GROUP BY 1, 2) ORDER BY s DESC NULLS LAST, campaign, source LIMIT 20 OFFSET 10"))
 def t04(spark, sf_dir):
-    rows = R.totals(R.filtered(cube(spark, sf_dir), model="linear"), "source", "campaign").select("source", "campaign", "spend_cents")
+    rows = R.totals(R.filtered(cube(spark, sf_dir, ["linear"]), model="linear"), "source", "campaign").select("source", "campaign", "spend_cents")
     return R.page(rows, [F.col("spend_cents").desc_nulls_last(), F.col("campaign"), F.col("source")], 20, 10)
 
 
