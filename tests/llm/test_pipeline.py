@@ -1,10 +1,13 @@
 """The pipeline's stages on the smallest tables: what each drops, and that columns stay."""
 
+from pathlib import Path
+
 import corpus_pipeline
 from oracle import difference
 from test_text_operators import brute_components, brute_lines
 
-from tidemark.llm import minhash
+from tidemark import storage
+from tidemark.llm import linededup, minhash
 from tidemark.llm import queries as registered
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +68,14 @@ def test_run_is_the_stages(spark):
 
 def test_sql_of_exact_search(spark):
     assert not difference(registered.queries()["op6_topk"](spark, SF), registered.oracle_sql()["op6_topk"], SF)
+
+
+def test_intermediate_tables_of_texts_do_not_stay(spark):
+    """pipeline: every table that a stage had written stayed on disk until the end of the run."""
+    shared = Path(storage.shared_dir(spark).removeprefix("file://"))
+    there = set(shared.iterdir())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept, lines = minhash.near_duplicates(docs), linededup.judged_lines(docs)
+    left = {p.name.split("-")[0] for p in set(shared.iterdir()) - there}
+    assert not left & {"classes", "banded", "dealt", "members", "rest", "distinctlines", "pairs", "firsts", "linelinks"} and {"signed", "names", "lines"} <= left
+    assert kept.count() == docs.count() and lines.where("kept").count() > 0

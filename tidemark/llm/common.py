@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import ship
-from tidemark.storage import shared_dir, stage
+from tidemark.storage import discard, shared_dir, stage
 
-__all__ = ["LOWER", "crc_mod", "id_hash", "mix64", "shared_dir", "stage", "table", "words_of"]
+__all__ = ["LOWER", "crc_mod", "discard", "id_hash", "mix64", "shared_dir", "stage", "table", "words_of"]
 
 #: Upper-case ASCII to lower case; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

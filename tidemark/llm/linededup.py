@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix64, stage, table
+from tidemark.llm.common import discard, mix64, stage, table
 from tidemark.session import ship
 
 #: The most edits of a link, the characters a line needs for each, and the length that gives a line a class.
@@ -295,7 +295,9 @@ def line_links(docs: DataFrame) -> DataFrame:
     texts = distinct.join(ids, "id", "left_semi")
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("line_a")), "a")
     with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("line_b")), "b")
-    return stage(with_b.mapInArrow(verify, "a long, a2 long, b long, b2 long"), "linelinks")
+    links = stage(with_b.mapInArrow(verify, "a long, a2 long, b long, b2 long"), "linelinks")
+    discard(distinct, pairs)
+    return links
 
 
 def judged_rows(docs: DataFrame) -> DataFrame:
@@ -310,6 +312,7 @@ def judged_rows(docs: DataFrame) -> DataFrame:
     met = each.join(first.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("first").alias("other")), ["b", "b2"])
     met = met.groupBy(F.col("a").alias("h1"), F.col("a2").alias("h2")).agg(F.count("*").alias("n_links"), F.min("other").alias("other"))
     classes = stage(first.join(met, ["h1", "h2"], "left"), "lineclasses")
+    discard(first, links)
     out = lines.join(classes, ["h1", "h2"], "left")
     own = F.struct("doc_id", "line_no", "row")
     earlier = F.coalesce(F.col("other") < F.col("first"), F.lit(False))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix64, stage, table, words_of
+from tidemark.llm.common import discard, mix64, stage, table, words_of
 from tidemark.operators.graph import components
 from tidemark.session import ship
 
@@ -195,6 +195,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     second = stage(links(met), "links")
     final = components(first.union(second)) if second.limit(1).count() else found
     names = stage(classes.join(final, "id", "left").select("class", F.coalesce("component", "id").alias("component")), "names")
+    discard(classes, banded, dealt, texts, first, rest, second)  # only signed and names are read from here on
     out = signed.select("doc_id", "n_shingles", "class").join(names, "class", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
