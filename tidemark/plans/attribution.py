@@ -19,11 +19,11 @@ def _micros(c):
 
 def credited(spark, sf_dir, models=A.MODELS, sessions=None, **options):
     sessions = stage(V.sessions(spark, sf_dir), "sessions") if sessions is None else sessions  # two kinds of evidence read them
-    return A.credits_of_lists(A.touch_lists(V.orders(spark, sf_dir), sessions, V.touches(spark, sf_dir)), models, **options)
+    return A.credits_of_lists(A.touch_lists(V.orders(spark, sf_dir), sessions, V.touches(spark, sf_dir, dealt=True)), models, **options)
 
 
 def _candidates(spark, sf_dir):
-    return A.candidates(V.orders(spark, sf_dir), V.sessions(spark, sf_dir), V.touches(spark, sf_dir))
+    return A.candidates(V.orders(spark, sf_dir), V.sessions(spark, sf_dir), V.touches(spark, sf_dir, dealt=True))
 
 
 @query("v_touch", over("SELECT event_id, session_id, source, medium, campaign, click_type, click_value, checkout_token FROM touch"))
@@ -38,12 +38,12 @@ def j04(spark, sf_dir):
 
 @query("j06_as_of_checkout_token", over_credits("SELECT order_id, session_id, event_id, source, click_value FROM tok"))
 def j06(spark, sf_dir):
-    return A.latest_by_token(V.orders(spark, sf_dir), V.touches(spark, sf_dir), "checkout_token").select("order_id", "session_id", "event_id", "source", "click_value")
+    return A.latest_by_token(V.orders(spark, sf_dir), V.touches(spark, sf_dir, dealt=True), "checkout_token").select("order_id", "session_id", "event_id", "source", "click_value")
 
 
 @query("j06_as_of_cart_token", over_credits("SELECT order_id, session_id, event_id FROM cart"))
 def j06_cart(spark, sf_dir):
-    return A.latest_by_token(V.orders(spark, sf_dir), V.touches(spark, sf_dir), "cart_token").select("order_id", "session_id", "event_id")
+    return A.latest_by_token(V.orders(spark, sf_dir), V.touches(spark, sf_dir, dealt=True), "cart_token").select("order_id", "session_id", "event_id")
 
 
 @query("j07_sessions_in_window", over_credits("SELECT order_id, session_id, epoch_us(ts) AS ts_us FROM ident"))
@@ -84,7 +84,7 @@ def w10(spark, sf_dir):
 
 @query("c09_unattributed_touch", over_credits("SELECT order_id, cents, epoch_us(ts) AS ts_us FROM journey WHERE evidence = 'unattributed'"))
 def c09(spark, sf_dir):
-    rows = A.journeys(V.orders(spark, sf_dir), V.sessions(spark, sf_dir), V.touches(spark, sf_dir))
+    rows = A.journeys(V.orders(spark, sf_dir), V.sessions(spark, sf_dir), V.touches(spark, sf_dir, dealt=True))
     return rows.where("evidence = 'unattributed'").select("order_id", "cents", _micros("ts").alias("ts_us"))
 
 
@@ -128,7 +128,7 @@ def over_tiers(select: str) -> str:
 
 def tracked(spark, sf_dir):
     """Sessions and touches of tracked browsers."""
-    return V.sessions(spark, sf_dir).where("user_id % 3 > 0"), V.touches(spark, sf_dir).where("user_id % 3 > 0")
+    return V.sessions(spark, sf_dir).where("user_id % 3 > 0"), V.touches(spark, sf_dir, dealt=True).where("user_id % 3 > 0")
 
 
 def with_attributes(spark, sf_dir):

@@ -146,7 +146,7 @@ LACKS = "(r.order_id IS NULL OR (r.session_id IS NULL AND r.source IS NULL AND r
 
 
 def _backfill(spark, sf_dir):
-    orders, touches = V.orders(spark, sf_dir), V.touches(spark, sf_dir)
+    orders, touches = V.orders(spark, sf_dir), V.touches(spark, sf_dir, dealt=True)
     at = lambda d: F.lit(f"{d} 00:00:00").cast("timestamp_ntz")
     old = A.latest_by_token(orders, touches, "cart_token").where("order_id % 3 > 0")
     return B.backfill_scope(orders, at("2024-01-05"), at("2024-01-25")), old, A.latest_by_token(orders, touches, "checkout_token")
@@ -175,7 +175,7 @@ want AS (SELECT w.order_id, w.session, t.source, t.medium, t.campaign, t.click_v
 
 
 def _wanted(spark, sf_dir):
-    orders, touches = V.orders(spark, sf_dir), V.touches(spark, sf_dir)
+    orders, touches = V.orders(spark, sf_dir), V.touches(spark, sf_dir, dealt=True)
     results = A.latest_by_token(orders, touches, "cart_token").select("order_id", "session_id")
     known = orders.withColumn("session_id", F.when(F.col("order_id") % 6 > 0, F.col("session_id")))
     return H.writeback_attributes(known, results, touches)

@@ -21,7 +21,7 @@ MEASURES = ", ".join(R.MEASURES)
 
 def corrected(spark, sf_dir):
     """All orders' credits are stored; then every third order comes back with twice its money and replaces its rows, twice under one name."""
-    orders, sessions, touches = V.orders(spark, sf_dir), stage(V.sessions(spark, sf_dir), "sessions"), V.touches(spark, sf_dir)
+    orders, sessions, touches = V.orders(spark, sf_dir), stage(V.sessions(spark, sf_dir), "sessions"), V.touches(spark, sf_dir, dealt=True)
     journeys = stage(A.journeys(orders, sessions, touches), "journeys")
     credits = lambda rows: A.credits(rows).select(U.CREDIT)
     table = Versioned(spark, f"{shared_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}", credits(journeys).schema, "order_date")
@@ -45,7 +45,7 @@ def c12_versions(spark, sf_dir):
 def arrived(spark, sf_dir, last: int) -> U.Data:
     """All that has arrived with batches 0 to ``last``: every third touch and order comes a batch later than the one before, whatever its time."""
     here = lambda df, c: df.where(F.col(c) % 3 <= last)
-    touches = here(V.touches(spark, sf_dir), "event_id")
+    touches = here(V.touches(spark, sf_dir, dealt=True), "event_id")
     return U.Data(touches, stage(sessions_of(touches), "sessions"), here(V.orders(spark, sf_dir), "order_id"), here(V.spend(spark, sf_dir).withColumn("__day", F.dayofmonth("report_date")), "__day").drop("__day"))
 
 

@@ -153,7 +153,7 @@ def a24(spark, sf_dir):
 def a23(spark, sf_dir):
     orders = V.orders(spark, sf_dir)
     scope = orders.where("source_name = 'web' and ts between timestamp_ntz '2024-01-05 00:00:00' and timestamp_ntz '2024-01-25 00:00:00'")
-    return Q.completeness(scope, A.latest_by_token(orders, V.touches(spark, sf_dir), "cart_token"))
+    return Q.completeness(scope, A.latest_by_token(orders, V.touches(spark, sf_dir, dealt=True), "cart_token"))
 
 
 JOBS = "jobs AS (SELECT 'order:' || CAST(o_orderkey AS VARCHAR) AS queue_key, 'seed' AS reason, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'processing' ELSE 'completed' END AS status, CAST(o_orderkey % 5 AS INTEGER) AS attempts, o_orderdate AS available_at, o_orderdate + INTERVAL 1 HOUR AS locked_at, o_orderkey FROM orders)"

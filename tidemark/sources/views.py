@@ -18,9 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Micro events with session, tokens, dimensions and click id."""
-    raw = table(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("int"))
+def events(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Micro events with session, tokens, dimensions and click id; ``dealt`` deals the rows of the table out, by user and time, before anything is made of them."""
+    raw = table(spark, sf_dir, "events")
+    raw = (raw.repartition("user_id", "ts") if dealt else raw).withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("int"))
     r = F.col("k") % 6
     paid = F.when(r.isin(0, 3), "cpc").when(r.isin(1, 2), "paid_social").when(r == 4, "email")
     named = F.when(r == 0, "google").when(r == 1, "meta").when(r == 2, "tiktok").when(r == 3, "microsoft").when(r == 4, "email")
@@ -38,14 +39,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).where(F.col("event_type").isin("view", "click", "signup"))
+def touches(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    return events(spark, sf_dir, dealt).where(F.col("event_type").isin("view", "click", "signup"))
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A session's first and last time and the dimensions of its first touch."""
+    """A session's first and last time and the dimensions of its first touch.
+
+    Touches are put in order before they are summed up, in the task that reads them.  A row group of the table is one task's
+    at any size, so they are dealt out first, as narrow rows; a hot session is dealt out by time.
+    """
     first = F.min_by(F.struct("event_id", *DIMENSIONS, "click_type", "click_value"), F.struct("ts", "event_id"))
-    out = touches(spark, sf_dir).groupBy("session_id", "user_id").agg(first.alias("first"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("touches"))
+    out = touches(spark, sf_dir, dealt=True).groupBy("session_id", "user_id").agg(first.alias("first"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("touches"))
     return out.select("session_id", "user_id", "first_seen", "last_seen", "touches", "first.*")
 
 
