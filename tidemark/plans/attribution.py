@@ -17,9 +17,15 @@ def _micros(c):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def credited(spark, sf_dir, models=A.MODELS, sessions=None, **options):
+def dealt_orders(spark, sf_dir):
+    """Orders, written once: each of their many uses would read a row group of events as one task again."""
+    return stage(V.orders(spark, sf_dir, dealt=True), "orders")
+
+
+def credited(spark, sf_dir, models=A.MODELS, sessions=None, orders=None, **options):
     sessions = stage(V.sessions(spark, sf_dir), "sessions") if sessions is None else sessions  # two kinds of evidence read them
-    return A.credits_of_lists(A.touch_lists(V.orders(spark, sf_dir), sessions, V.touches(spark, sf_dir, dealt=True)), models, **options)
+    orders = dealt_orders(spark, sf_dir) if orders is None else orders
+    return A.credits_of_lists(A.touch_lists(orders, sessions, V.touches(spark, sf_dir, dealt=True)), models, **options)
 
 
 def _candidates(spark, sf_dir):

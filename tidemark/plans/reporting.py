@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.time import in_local_days
 from tidemark.operators import reporting as R
-from tidemark.plans.attribution import credited
+from tidemark.plans.attribution import credited, dealt_orders
 from tidemark.plans.base_sql import over, over_credits, over_cube
 from tidemark.plans.registry import query
 from tidemark.sources import views as V
@@ -22,8 +22,8 @@ RATES = """coalesce(CASE WHEN visits <> 0 THEN (orders_e8 / 1e8::DOUBLE) / CAST(
 
 
 def cube(spark, sf_dir, models=R.MODELS):
-    orders, sessions = V.orders(spark, sf_dir), stage(V.sessions(spark, sf_dir), "sessions")
-    return R.cube(sessions, credited(spark, sf_dir, models, sessions=sessions), orders, V.spend(spark, sf_dir), models)
+    orders, sessions = dealt_orders(spark, sf_dir), stage(V.sessions(spark, sf_dir), "sessions")
+    return R.cube(sessions, credited(spark, sf_dir, models, sessions=sessions, orders=orders), orders, V.spend(spark, sf_dir), models)
 
 
 def _text_date(df):
@@ -47,7 +47,8 @@ def a01(spark, sf_dir):
 
 @query("a02_new_and_returning", over_cube("SELECT model, CAST(sum(new_revenue_cents) AS BIGINT) AS new_cents, CAST(sum(returning_revenue_cents) AS BIGINT) AS returning_cents, CAST(sum(orders_e8) AS BIGINT) AS orders_e8 FROM cube GROUP BY 1"))
 def a02(spark, sf_dir):
-    part = R.order_part(credited(spark, sf_dir), V.orders(spark, sf_dir))
+    orders = dealt_orders(spark, sf_dir)
+    part = R.order_part(credited(spark, sf_dir, orders=orders), orders)
     return part.groupBy("model").agg(F.sum("new_revenue_cents").alias("new_cents"), F.sum("returning_revenue_cents").alias("returning_cents"), F.sum("orders_e8").alias("orders_e8"))
 
 
@@ -75,12 +76,14 @@ def w01_history(spark, sf_dir):
 
 @query("j01_credits_orders_ranks", over_cube("SELECT c.order_id, c.model, CAST(c.position AS INTEGER) AS position, c.credit_cents, CAST(r.customer_rank AS INTEGER) AS customer_rank FROM cred c JOIN ranks r USING (order_id)"))
 def j01(spark, sf_dir):
-    return credited(spark, sf_dir).join(R.customer_rank(V.orders(spark, sf_dir)).hint("shuffle_hash"), "order_id").select("order_id", "model", "position", "credit_cents", "customer_rank")
+    orders = dealt_orders(spark, sf_dir)
+    return credited(spark, sf_dir, orders=orders).join(R.customer_rank(orders).hint("shuffle_hash"), "order_id").select("order_id", "model", "position", "credit_cents", "customer_rank")
 
 
 @query("j03_primary_credit", over_credits("SELECT o.order_id, o.cents, c.source, c.medium, c.campaign, c.credit_cents FROM ord o LEFT JOIN cred c ON c.order_id = o.order_id AND c.model = 'linear' AND c.is_primary"))
 def j03(spark, sf_dir):
-    return R.primary_credit(V.orders(spark, sf_dir), credited(spark, sf_dir, ["linear"]), "linear").select("order_id", "cents", "source", "medium", "campaign", "credit_cents")
+    orders = dealt_orders(spark, sf_dir)
+    return R.primary_credit(orders, credited(spark, sf_dir, ["linear"], orders=orders), "linear").select("order_id", "cents", "source", "medium", "campaign", "credit_cents")
 
 
 @query("p03_local_dates", over("SELECT CAST(order_date AS VARCHAR) AS order_date, count(*) AS orders, CAST(sum(cents) AS BIGINT) AS cents FROM ord GROUP BY 1"))

@@ -54,9 +54,9 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("session_id", "user_id", "first_seen", "last_seen", "touches", "first.*")
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """Purchases as orders, money in cents."""
-    bought = events(spark, sf_dir).where("event_type = 'purchase'")
+    bought = events(spark, sf_dir, dealt).where("event_type = 'purchase'")
     return bought.select(
         F.col("event_id").alias("order_id"), "user_id", "ts", cents(F.col("value")).alias("cents"),
         F.when(F.col("k") % 7 == 0, "pos").otherwise("web").alias("source_name"), "checkout_token", "cart_token", "session_id",
